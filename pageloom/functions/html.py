@@ -62,10 +62,16 @@ def drop_elements(html: Column, tag: str) -> Column:
         ).otherwise(F.struct(depth.alias("depth"), acc["kept"].alias("kept")))
 
     start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    folded = F.aggregate(
-        F.split(html, edge), start, step, lambda acc: F.array_join(acc["kept"], "")
+
+
+    def folded(page: Column) -> Column:
+        return F.aggregate(
+            F.split(page, edge), start, step, lambda acc: F.array_join(acc["kept"], "")
+        )
+
+    return tx.let(
+        html, lambda t: F.when(t.rlike(rf"(?i)<{tag}[\s>/]"), folded(t)).otherwise(t)
     )
-    return F.when(html.rlike(rf"(?i)<{tag}[\s>/]"), folded).otherwise(html)
 
 
 def page_text(html: Column, drop=DROPPED) -> Column:
@@ -147,19 +153,24 @@ def main_region(html: Column, keep=("main",), drop=()) -> Column:
             region = without_one(region, element_id)
         return region
 
-    region = F.concat(*[element_by_id(html, e) for e in keep])
-    present = F.lit(False)
-    for element_id in keep:
-        present = present | (_tag_with_id(html, element_id) != "")
-    return F.when(present, without_dropped(region)).otherwise(html)
+    def kept(page: Column) -> Column:
+        region = F.concat(*[element_by_id(page, e) for e in keep])
+        return tx.let(region, lambda r: F.when(r == "", page).otherwise(without_dropped(r)))
+
+    return tx.let(html, kept)
 
 
 def _lists(html: Column) -> Column:
     """List items as ``* `` or ``n. ``, numbered within their own list."""
 
     def step(acc: Column, piece: Column) -> Column:
+        return tx.let(
+            F.lower(F.regexp_extract(piece, r"(?i)\A<(/?(?:ol|ul|li))[\s>]", 1)),
+            lambda opened: take(acc, piece, opened),
+        )
+
+    def take(acc: Column, piece: Column, opened: Column) -> Column:
         stack = acc["stack"]
-        opened = F.lower(F.regexp_extract(piece, r"(?i)\A<(/?(?:ol|ul|li))[\s>]", 1))
         top = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(-1))
         rest = F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
         body = F.regexp_replace(piece, r"\A<[^>]*>", "")
@@ -186,13 +197,16 @@ def _lists(html: Column) -> Column:
     start = F.struct(
         F.array().cast("array<int>").alias("stack"), F.array().cast("array<string>").alias("kept")
     )
-    folded = F.aggregate(
-        F.split(html, r"(?i)(?=</?(?:ol|ul|li)[\s>])"),
-        start,
-        step,
-        lambda a: F.array_join(a["kept"], ""),
-    )
-    return F.when(html.rlike(r"(?i)<li[\s>]"), folded).otherwise(html)
+
+    def folded(page: Column) -> Column:
+        return F.aggregate(
+            F.split(page, r"(?i)(?=</?(?:ol|ul|li)[\s>])"),
+            start,
+            step,
+            lambda a: F.array_join(a["kept"], ""),
+        )
+
+    return tx.let(html, lambda t: F.when(t.rlike(r"(?i)<li[\s>]"), folded(t)).otherwise(t))
 
 
 def _tables(html: Column) -> Column:
@@ -206,25 +220,25 @@ def _tables(html: Column) -> Column:
             head != "", F.concat(head, rule, F.substring(piece, F.length(head) + 1, F.length(piece)))
         ).otherwise(piece)
 
-    ruled = F.array_join(F.transform(F.split(html, r"(?i)(?=<table[\s>])"), one), "")
-    joined = F.regexp_replace(ruled, r"(?i)</t[dh]\s*>\s*<t[dh](?:\s[^>]*)?>", "| ")
-    return F.when(html.rlike(r"(?i)<table[\s>]"), joined).otherwise(html)
+
+    def joined(page: Column) -> Column:
+        ruled = F.array_join(F.transform(F.split(page, r"(?i)(?=<table[\s>])"), one), "")
+        return F.regexp_replace(ruled, r"(?i)</t[dh]\s*>\s*<t[dh](?:\s[^>]*)?>", "| ")
+
+    return tx.let(html, lambda t: F.when(t.rlike(r"(?i)<table[\s>]"), joined(t)).otherwise(t))
 
 
 def page_markdown(html: Column) -> Column:
     """Markdown of a page: headings, lists, links, images, emphasis, tables."""
     body = F.regexp_replace(without_raw(html), r"(?is)<head[\s>].*?</head\s*>|<![^>]*>", "")
     # white space means nothing outside <pre>
-    body = F.when(
-        body.rlike(r"(?i)<pre[\s>]"),
-        F.array_join(
-            F.transform(
-                F.split(body, r"(?i)(?=<pre[\s>])|(?<=</pre>)"),
-                lambda p: F.when(p.rlike(r"(?i)\A<pre[\s>]"), p).otherwise(tx.squeeze(p)),
-            ),
-            "",
+    body = F.array_join(
+        F.transform(
+            F.split(body, r"(?i)(?=<pre[\s>])|(?<=</pre>)"),
+            lambda p: F.when(p.rlike(r"(?i)\A<pre[\s>]"), p).otherwise(tx.squeeze(p)),
         ),
-    ).otherwise(tx.squeeze(body))
+        "",
+    )
     # a text node that would read as a list item is escaped
     body = F.regexp_replace(body, r"(>\s*\d+)\.(?=\s)", r"$1\\.")
     body = F.regexp_replace(body, r"(>\s*)([-+])(?=\s)", r"$1\\$2")

@@ -94,7 +94,9 @@ def flatten_tables(c: Column) -> Column:
         )
 
     def step(acc: Column, raw: Column) -> Column:
-        line = strip(raw)
+        return let(strip(raw), lambda line: take(acc, raw, line))
+
+    def take(acc: Column, raw: Column, line: Column) -> Column:
         is_row = line.rlike(r"\A\|.*\|")
         header = acc["header"]
         no_header = F.lit(None).cast("array<string>")
@@ -202,18 +204,19 @@ def unescape(c: Column) -> Column:
         ).otherwise(ref)
         return F.decode(F.unhex(F.lpad(F.hex(number.cast("bigint")), 8, "0")), "UTF-32")
 
-    named = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))),
-        c,
-        lambda text, n: F.replace(
-            text,
-            F.concat(F.lit("&"), n, F.lit(";")),
-            F.coalesce(F.try_element_at(table, n), F.concat(F.lit("&"), n, F.lit(";"))),
-        ),
-    )
-    numbered = let(
-        named,
-        lambda t: F.when(
+    def named(t: Column) -> Column:
+        return F.aggregate(
+            F.array_distinct(F.regexp_extract_all(t, F.lit(r"&([A-Za-z][A-Za-z0-9]*);"), F.lit(1))),
+            t,
+            lambda text, n: F.replace(
+                text,
+                F.concat(F.lit("&"), n, F.lit(";")),
+                F.coalesce(F.try_element_at(table, n), F.concat(F.lit("&"), n, F.lit(";"))),
+            ),
+        )
+
+    def numbered(t: Column) -> Column:
+        return F.when(
             t.contains("&#"),
             F.aggregate(
                 F.array_distinct(
@@ -224,8 +227,11 @@ def unescape(c: Column) -> Column:
                     text, F.concat(F.lit("&#"), n, F.lit(";")), code_point(n)
                 ),
             ),
+        ).otherwise(t)
+
+    return let(
+        c,
+        lambda t: F.when(
+            t.contains("&"), F.replace(let(named(t), numbered), F.lit("&amp;"), F.lit("&"))
         ).otherwise(t),
     )
-    return F.when(
-        c.contains("&"), F.replace(numbered, F.lit("&amp;"), F.lit("&"))
-    ).otherwise(c)

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
 AUTHORITY = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -73,71 +75,79 @@ def percent_decode(c: Column, rounds: int = 5) -> Column:
 
     A plus sign is kept, and a percent sign that starts no escape is literal.
     """
-    decoded = c
-    for _ in range(rounds):
-        safe = F.regexp_replace(
-            F.replace(decoded, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25"
-        )
-        decoded = F.try_url_decode(safe)
-    return F.when(c.contains("%"), decoded).otherwise(c)
+
+    def decoded(text: Column) -> Column:
+        for _ in range(rounds):
+            safe = F.regexp_replace(
+                F.replace(text, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25"
+            )
+            text = F.try_url_decode(safe)
+        return text
+
+    return let(c, lambda t: F.when(t.contains("%"), decoded(t)).otherwise(t))
 
 
 def _without_dots(p: Column) -> Column:
-    segments = F.split(p, "/")
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(
-            s == "..",
-            F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc),
+    def folded(path_text: Column) -> Column:
+        kept = F.aggregate(
+            F.split(path_text, "/"),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(
+                s == "..",
+                F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc),
+            )
+            .otherwise(F.concat(acc, F.array(s))),
         )
-        .otherwise(F.concat(acc, F.array(s))),
+        end = F.when(path_text.rlike(r"(\A|/)\.\.?\z"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(F.array_join(kept, "/"), end)
+
+    return let(
+        p, lambda t: F.when(t.rlike(r"(\A|/)\.\.?(/|\z)"), folded(t)).otherwise(t)
     )
-    closed = F.when(p.rlike(r"(\A|/)\.\.?\z"), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    return F.when(p.rlike(r"(\A|/)\.\.?(/|\z)"), F.array_join(closed, "/")).otherwise(p)
 
 
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` found on page ``base``."""
-    root = F.concat(scheme(base), F.lit("://"), host(base))
-    folder = F.regexp_extract(path(base), r"\A(.*/)", 1)
-    href_path = path(href)
-    tail = F.substring(href, F.length(href_path) + 1, F.length(href))
-    bare = without_fragment(base)
-    return (
-        F.when(href == "", base)
-        .when(href.rlike(SCHEME), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("#"), F.concat(bare, href))
-        .when(href.startswith("?"), F.concat(F.regexp_replace(bare, r"\?.*\z", ""), href))
-        .when(href.startswith("/"), F.concat(root, _without_dots(href_path), tail))
-        .otherwise(
-            F.concat(
-                root,
-                _without_dots(
-                    F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), href_path)
-                ),
-                tail,
+
+    def resolved(href: Column) -> Column:
+        root = F.concat(scheme(base), F.lit("://"), host(base))
+        folder = F.coalesce(
+            F.nullif(F.regexp_extract(path(base), r"\A(.*/)", 1), F.lit("")), F.lit("/")
+        )
+        tail = F.regexp_extract(href, r"(?s)\A[^?#]*(.*)\z", 1)
+        return (
+            F.when(href.rlike(SCHEME), href)
+            .when(
+                href.startswith("/") & ~href.startswith("//"),
+                F.concat(root, _without_dots(path(href)), tail),
             )
+            .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
+            .when(href == "", base)
+            .when(href.startswith("#"), F.concat(without_fragment(base), href))
+            .when(href.startswith("?"), F.concat(F.regexp_replace(base, r"(?s)[?#].*\z", ""), href))
+            .otherwise(F.concat(root, _without_dots(F.concat(folder, path(href))), tail))
         )
-    )
+
+    return let(href, resolved)
 
 
 def normalize(url: Column) -> Column:
     """Decode, drop the fragment, close a last segment without a dot by ``/``."""
-    decoded = percent_decode(url)
-    sch, net, whole, query = scheme(decoded), host(decoded), path(decoded), F.regexp_extract(decoded, QUERY, 1)
-    params = F.regexp_extract(whole, r"(;[^/]*)\z", 1)
-    bare = F.substring(whole, F.lit(1), F.length(whole) - F.length(params))
-    closed = F.when(bare.rlike(r"(/|\A)[^/.]+\z") | (bare == ""), F.concat(bare, F.lit("/"))).otherwise(bare)
-    return F.concat(
-        F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
-        F.when(net != "", F.concat(F.lit("//"), net)).otherwise(F.lit("")),
-        closed,
-        params,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
-    )
+
+    def rebuilt(decoded: Column) -> Column:
+        sch, net, query = scheme(decoded), host(decoded), F.regexp_extract(decoded, QUERY, 1)
+        closed = F.regexp_replace(
+            path(decoded), r"(?s)\A(.*/[^/.;]+|[^/.;]+|)(;[^/]*)?\z", "$1/$2"
+        )
+        return F.concat(
+            F.when(sch != "", F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
+            F.when(net != "", F.concat(F.lit("//"), net)).otherwise(F.lit("")),
+            closed,
+            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
+        )
+
+    return let(percent_decode(url), rebuilt)
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -160,9 +170,9 @@ def in_scope_of(url: Column, include: Column, exclude: Column) -> Column:
         scheme(url).isin("http", "https")
         & (
             (F.coalesce(F.size(include), F.lit(0)) <= 0)
-            | F.coalesce(F.exists(include, lambda p: bare.rlike(p)), F.lit(False))
+            | F.coalesce(F.exists(include, lambda p: F.rlike(bare, p)), F.lit(False))
         )
-        & ~F.coalesce(F.exists(exclude, lambda p: bare.rlike(p)), F.lit(False))
+        & ~F.coalesce(F.exists(exclude, lambda p: F.rlike(bare, p)), F.lit(False))
     )
 
 

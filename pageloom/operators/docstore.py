@@ -132,15 +132,17 @@ def settle_copies(classified: DataFrame, id_of: Column | None = None) -> DataFra
     later = is_new & F.col("_first").isNotNull() & (F.col("url") != F.col("_first")["url"])
     return (
         rows.join(first, "_key", "left")
-        .withColumn(
-            "operation",
-            F.when(later & F.col("site_id").eqNullSafe(F.col("_first")["site_id"]), F.lit(SKIP))
-            .when(later, F.lit(NEW_SITE))
-            .otherwise(F.col("operation")),
-        )
-        .withColumn(
-            "document_id",
-            F.when(later, F.col("_first")["document_id"]).otherwise(F.col("document_id")),
+        .withColumns(
+            {
+                "operation": F.when(
+                    later & F.col("site_id").eqNullSafe(F.col("_first")["site_id"]), F.lit(SKIP)
+                )
+                .when(later, F.lit(NEW_SITE))
+                .otherwise(F.col("operation")),
+                "document_id": F.when(later, F.col("_first")["document_id"]).otherwise(
+                    F.col("document_id")
+                ),
+            }
         )
         .drop("_key", "_first")
     )

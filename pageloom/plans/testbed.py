@@ -438,8 +438,10 @@ def sql(body: str, *ctes: str) -> str:
         need(name)
     joined = ",\n".join(SQL[n].strip() for n in names)
     body = body.strip()
+    if not names:
+        return body
     if body.startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {joined},{body.removeprefix('WITH RECURSIVE')}"
     if body.startswith("WITH"):
         return f"WITH {joined},{body.removeprefix('WITH')}"
-    return f"WITH {joined}\n{body}" if names else body
+    return f"WITH {joined}\n{body}"
