@@ -18,7 +18,7 @@ DROPPED_RAW = ("script", "style")
 TAG = r"""<(?:[^"'<>]++|"[^"]*"|'[^']*')*+>"""
 BLOCKS = (
     "p|div|section|article|main|aside|header|footer|nav|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|"
-    "caption|tr|form|fieldset|figure|figcaption|blockquote|pre|address|html|body|h[1-6]|li"
+    "caption|tr|br|form|fieldset|figure|figcaption|blockquote|pre|address|html|body|h[1-6]|li"
 )
 HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
@@ -243,10 +243,10 @@ def page_markdown(html: Column) -> Column:
     body = F.regexp_replace(body, r"(>\s*\d+)\.(?=\s)", r"$1\\.")
     body = F.regexp_replace(body, r"(>\s*)([-+])(?=\s)", r"$1\\$2")
     body = F.regexp_replace(body, r"(?i)<hr(?:\s[^>]*)?/?>", "\n* * *\n")
-    body = F.regexp_replace(body, r"(?i)<br(?:\s[^>]*)?/?>", "\n")
     body = _tables(_lists(body))
+    body = F.regexp_replace(body, r"(?i)<h([1-6])(?:\s[^>]*)?>\s*", "\n\x04$1 ")
     for level in range(1, 7):
-        body = F.regexp_replace(body, rf"(?i)<h{level}(?:\s[^>]*)?>\s*", "\n" + "#" * level + " ")
+        body = F.replace(body, F.lit(f"\x04{level}"), F.lit("#" * level))
     body = F.regexp_replace(body, r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**")
     body = F.regexp_replace(body, r"(?i)</?(?:i|em|u)(?:\s[^>]*)?>", "_")
     body = F.regexp_replace(
@@ -266,7 +266,7 @@ def page_markdown(html: Column) -> Column:
         r"""(?is)<a(?=\s)[^>]*\shref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""",
         "[$2]($1)",
     )
-    body = F.regexp_replace(body, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?>", "\n")
+    body = F.regexp_replace(body, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
     text = tx.unescape(F.regexp_replace(body, TAG, ""))
     text = F.translate(text, "\x02\x03", "<>")
     return tx.clean_markdown(tx.replace_inline_images(tx.strip(text)))
@@ -296,16 +296,19 @@ def hrefs(html: Column, drop_anchors: bool = False) -> Column:
 def headings(html: Column) -> Column:
     """``array<struct<level,text>>`` of h1 to h6, level by level."""
 
-    def of_level(level: int) -> Column:
+    def of_level(body: Column, level: int) -> Column:
         found = F.regexp_extract_all(
-            without_raw(html), F.lit(rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}\s*>"), F.lit(1)
+            body, F.lit(rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}\s*>"), F.lit(1)
         )
         return F.transform(
             found, lambda h: F.struct(F.lit(level).alias("level"), inner_text(h).alias("text"))
         )
 
-    return F.filter(
-        F.concat(*[of_level(n) for n in range(1, 7)]), lambda h: h["text"] != ""
+    return tx.let(
+        without_raw(html),
+        lambda body: F.filter(
+            F.concat(*[of_level(body, n) for n in range(1, 7)]), lambda h: h["text"] != ""
+        ),
     )
 
 

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 # Unicode white space, as one character class. The same text is valid for
 # java.util.regex and RE2.
-_SPACE_CHARS = (
-    r"\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+_OTHERS = (
+    r"\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-BLANK = f"[{_SPACE_CHARS}]"  # white space but for the line feed
-SPACE = rf"[\n{_SPACE_CHARS}]"
+BLANK = f"[ {_OTHERS}]"  # white space but for the line feed
+SPACE = rf"[\n {_OTHERS}]"
+# what a squeeze must touch: a single space stays as it is
+_BLANK_RUN = f"{BLANK}(?:{BLANK}+|(?<! ))"
+_SPACE_RUN = f"{SPACE}(?:{SPACE}+|(?<! ))"
 
 # Inline image payloads that are taken out of Markdown.
 INLINE_IMAGE = r"data:image/(?:png|jpeg|jpg);base64,"
@@ -36,7 +39,7 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+", " ")
+    return F.regexp_replace(c, _SPACE_RUN, " ")
 
 
 def content_hash(c: Column) -> Column:
@@ -46,14 +49,14 @@ def content_hash(c: Column) -> Column:
 
 def tidy_lines(c: Column) -> Column:
     """Trim every line, squeeze its blanks, drop empty lines."""
-    one_blank = F.regexp_replace(c, f"{BLANK}+", " ")
+    one_blank = F.regexp_replace(c, _BLANK_RUN, " ")
     no_empty = F.regexp_replace(one_blank, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(no_empty, r"\A[ \n]+|[ \n]+\z", "")
+    return F.btrim(no_empty, F.lit(" \n"))
 
 
 def clean_markdown(c: Column) -> Column:
     """Tidy lines; a line that held an inline image stays as an empty line."""
-    return F.regexp_replace(tidy_lines(c), rf"[^\n]*{INLINE_IMAGE}[^\n]*", "")
+    return F.regexp_replace(tidy_lines(c), rf"(?<![^\n])[^\n]*?{INLINE_IMAGE}[^\n]*", "")
 
 
 def clean_plain(c: Column) -> Column:
