@@ -17,7 +17,11 @@ BASE_SECONDS = 1_700_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its times without zone are UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
 
 
 def now():
