@@ -1,0 +1,42 @@
+"""Passages that occur in whole texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+
+
+def containing(docs: DataFrame, passages: DataFrame, doc_key: str, passage_key: str) -> DataFrame:
+    """(passage, document) pairs where the text holds the passage, letter for letter.
+
+    The passage's rarest word pair is the join key: a text that holds the
+    passage holds the pair as well, unless the pair lies at the passage's
+    edge, so only pairs of inner words count. A passage with fewer than four
+    words has no such pair and is tested against all texts.
+    """
+    def pairs(words):
+        return F.array_distinct(
+            F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        )
+
+    def usable(words):
+        return F.filter(tx.let(words, pairs), lambda p: p.isNotNull())
+
+    inner = F.slice(tx.words(F.col("text")), 2, F.greatest(F.size(tx.words(F.col("text"))) - 2, F.lit(0)))
+    keyed = passages.select(passage_key, F.col("text").alias("_passage"), F.explode_outer(usable(inner)).alias("_pair"))
+    spread = docs.select(doc_key, F.explode(usable(tx.words(F.col("text")))).alias("_pair"))
+    seen = spread.join(keyed.select("_pair").distinct(), "_pair", "left_semi")
+    frequency = seen.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        keyed.filter(F.col("_pair").isNotNull()).join(frequency, "_pair")
+        .groupBy(passage_key).agg(F.min_by("_pair", F.struct("_n", "_pair")).alias("_pair"))
+    )
+    pairs_found = seen.join(rarest, "_pair").select(passage_key, doc_key)
+    return (
+        pairs_found.join(passages.select(passage_key, F.col("text").alias("_passage")), passage_key)
+        .join(docs.select(doc_key, "text"), doc_key)
+        .filter(F.contains(F.col("text"), F.col("_passage")))
+        .select(passage_key, doc_key)
+    )

@@ -468,8 +468,8 @@ def score_percent(spark, sf):
 
 
 @query("t9_retry_requeue", """
-    SELECT event_id, CAST(event_id % 5 + 1 AS INTEGER) AS retry_count FROM events WHERE event_type = 'error' AND event_id % 5 < 3""")
+    SELECT event_id, CAST(user_id // 40 + 1 AS INTEGER) AS retry_count FROM events WHERE event_type = 'error' AND user_id // 40 < 3""")
 def retry_requeue(spark, sf):
     failed = tb.table(spark, sf, "events").filter("event_type = 'error'").select(
-        "event_id", (F.col("event_id") % 5).cast("int").alias("retry_count"))
+        "event_id", F.floor(F.col("user_id") / 40).cast("int").alias("retry_count"))
     return qu.next_attempts(failed, 3)
