@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _module in ("store_queries", "page_queries", "control_queries", "search_queries"):
+for _module in ("store_queries", "page_queries", "control_queries", "search_queries", "stream_queries"):
     importlib.import_module(f"{__package__}.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

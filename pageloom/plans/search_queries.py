@@ -94,11 +94,11 @@ def top_k_per_query(spark, sf):
     return rt.dense_search(_vectors(spark, sf), _centroids(spark, sf), 3, by=["label"]).select("query_id", "label", "node_id", "rank")
 
 
-@query("p13_similarity_cutoff", f"WITH {_VEC} SELECT query_id, node_id, round(score, 6) AS score FROM cos WHERE score >= 0.6")
+@query("p13_similarity_cutoff", f"WITH {_VEC} SELECT query_id, node_id, round(score, 6) AS score FROM cos WHERE score >= 0.25")
 def similarity_cutoff(spark, sf):
     v = _vectors(spark, sf)
     hits = rt.dense_search(v, _centroids(spark, sf), v.count())
-    return _rounded(rt.cutoff(hits, 0.6)).select("query_id", "node_id", "score")
+    return _rounded(rt.cutoff(hits, 0.25)).select("query_id", "node_id", "score")
 
 
 @query("p18_output_fields", "SELECT vec_id AS node_id, 'label ' || label AS text FROM embeddings")

@@ -115,6 +115,10 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_task_events(table(spark, sf_dir, "events"))
+
+
+def as_task_events(events: DataFrame) -> DataFrame:
     event = (
         F.when(F.col("event_type") == "signup", "enqueue")
         .when(F.col("event_type") == "view", "dequeue")
@@ -122,7 +126,7 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", "fail")
         .otherwise("retry")
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("q"), F.pmod("user_id", F.lit(4))).alias("queue"),
         F.col("user_id").cast("string").alias("task_id"),
         event.alias("event"),
