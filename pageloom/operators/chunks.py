@@ -26,6 +26,11 @@ def token_windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     return tx.let(tx.words(text), windows)
 
 
+def _tokens(sentence: Column) -> Column:
+    """Token count of a text without white space at its ends."""
+    return F.size(F.split(sentence, f"{tx.SPACE}+"))
+
+
 def sentences(text: Column, size: int = CHUNK_SIZE) -> Column:
     """Sentences and lines; one longer than ``size`` tokens is cut into windows."""
     parts = F.filter(
@@ -34,7 +39,7 @@ def sentences(text: Column, size: int = CHUNK_SIZE) -> Column:
     return F.flatten(
         F.transform(
             parts,
-            lambda s: F.when(tx.word_count(s) > size, token_windows(s, size, 0)).otherwise(F.array(s)),
+            lambda s: F.when(_tokens(s) > size, token_windows(s, size, 0)).otherwise(F.array(s)),
         )
     )
 
@@ -80,7 +85,7 @@ def sentence_chunks(
     rest = [c for c in df.columns if c != text]
     return (
         df.withColumn("_s", sentences(F.col(text), size))
-        .withColumn("_runs", runs(F.transform("_s", tx.word_count)))
+        .withColumn("_runs", runs(F.transform("_s", _tokens)))
         .select(*rest, "_s", F.posexplode("_runs").alias("chunk_no", "_run"))
         .select(
             *rest, "chunk_no",

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..session import materialize
 
 DIMENSIONS = 64
+BROADCAST_TERMS = 500_000  # term rows of some 40 bytes each
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -83,40 +85,53 @@ def salt_of(key: str, salts: int) -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, term, tf). The texts are shuffled once, by key.
+
+    Everything that follows per key (counting, scaling, scoring) finds its
+    rows in place; the far larger token rows are never shuffled.
+    """
     return (
-        df.select(key, F.explode(tx.terms(F.col(text))).alias("term"))
+        df.select(key, text).repartition(key)
+        .select(key, F.explode(tx.terms(F.col(text))).alias("term"))
         .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
-def idf_weights(counts: DataFrame, total: int | Column) -> DataFrame:
-    """(term, idf) from (key, term) rows: ln(1 + N / df)."""
-    total = F.lit(total) if isinstance(total, int) else total
-    return counts.groupBy("term").agg(F.log(1 + total / F.count(F.lit(1))).alias("idf"))
-
+def join_terms(rows: DataFrame, small: DataFrame, key: str, limit: int = BROADCAST_TERMS, salts: int = 16) -> DataFrame:
+    """Join on ``term`` where a frequent term may be in most ``rows``.
 
-def weigh(counts: DataFrame, idf: DataFrame, key: str, salts: int = 8) -> DataFrame:
-    """(key, term, weight): tf × idf, scaled to length one per key.
-
-    A frequent term is in most texts, so the term join is salted.
+    A ``small`` side of checked size goes to every task, which leaves ``rows``
+    where they are. A larger one is copied per salt, so that the rows of one
+    term are spread over many tasks.
     """
-    salted = counts.withColumn("_salt", salt_of(key, salts)).join(
-        spread_table(idf, salts), ["term", "_salt"]
+    if small.limit(limit + 1).count() <= limit:
+        return rows.join(F.broadcast(small), "term")
+    return (
+        rows.withColumn("_salt", salt_of(key, salts))
+        .join(spread_table(small, salts), ["term", "_salt"]).drop("_salt")
     )
-    raw = salted.withColumn("_w", F.col("tf") * F.col("idf"))
+
+
+def weigh(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight): tf × idf, scaled to length one per key."""
+    raw = join_terms(counts, idf, key).withColumn("_w", F.col("tf") * F.col("idf"))
     # one key is one text, so this window stays as small as that text
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     return raw.select(key, "term", (F.col("_w") / length).alias("weight"))
 
 
 def sparse_postings(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, idf) of a text table; queries are weighed with the same idf."""
-    counts = term_counts(df, key, text)
-    total = df.select(key).agg(F.count(F.lit(1))).scalar()
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).select(
-        "term", F.log(1 + total / F.col("_df")).alias("idf")
+    """(postings, idf) of a text table; queries are weighed with the same idf.
+
+    The idf table, ln(1 + N / df) per term, is written once: postings and
+    queries both read it, and its size decides how it is joined.
+    """
+    distinct = df.select(F.explode(F.array_distinct(tx.terms(F.col(text)))).alias("term"))
+    total = df.count()
+    idf = materialize(
+        distinct.groupBy("term").agg(F.log(1 + total / F.count(F.lit(1))).alias("idf")), "idf"
     )
-    return weigh(counts, idf, key), idf
+    return weigh(term_counts(df, key, text), idf, key), idf
 
 
 def term_id(term: Column) -> Column:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..functions import text as tx
 from ..schemas import GLOSSARY_ENTRY
 from . import ordered
 
 # Fixed value: the frame of a hint.
 HINT_HEAD = "\nHint for specific terms:\n"
-SMALL_GLOSSARY = 2000
+SMALL_GLOSSARY = 256
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -29,13 +30,12 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _occurs(text: Column, term: Column, whole_word: bool) -> Column:
-    found = F.contains(F.lower(text), F.lower(term))
+    """Both sides are in lower case already."""
+    found = F.contains(text, term)
     if not whole_word:
         return found
     edge = r"[\p{L}\p{N}_]"
-    return found & F.rlike(
-        F.lower(text), F.concat(F.lit(rf"(?<!{edge})\Q"), F.lower(term), F.lit(rf"\E(?!{edge})"))
-    )
+    return found & F.rlike(text, F.concat(F.lit(rf"(?<!{edge})\Q"), term, F.lit(rf"\E(?!{edge})")))
 
 
 def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False) -> DataFrame:
@@ -50,10 +50,14 @@ def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str
         if not rows:
             return messages.select(*key).limit(0).withColumn("term", F.lit(""))
         columns = glossary.columns
-        entries = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in columns]) for r in rows])
-        return messages.select(
-            *key, F.inline(F.filter(entries, lambda g: _occurs(F.col(text), g["term"], whole_word)))
+        entries = F.array(*[
+            F.struct(*[F.lit(r[c]).alias(c) for c in columns], F.lit(r["term"].lower()).alias("_low")) for r in rows
+        ])
+        hits = tx.let(
+            F.lower(F.col(text)),
+            lambda low: F.filter(entries, lambda g: _occurs(low, g["_low"], whole_word)),
         )
+        return messages.select(*key, F.inline(hits)).drop("_low")
     return matches_by_prefix(messages, glossary, key, text, whole_word)
 
 
@@ -69,13 +73,13 @@ def matches_by_prefix(messages: DataFrame, glossary: DataFrame, key: list[str],
 
     keyed = glossary.filter(F.col("term") != "").withColumn("_gram", F.substring(F.lower("term"), 1, 3))
     spread = messages.select(
-        *key, F.col(text).alias("_text"),
+        *key, low.alias("_text"),
         F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram"),
     )
     # grams that start no term go first, before the text is shuffled
     used = spread.join(keyed.select("_gram").distinct(), "_gram", "left_semi")
     return (
-        used.join(keyed, "_gram").filter(_occurs(F.col("_text"), F.col("term"), whole_word))
+        used.join(keyed, "_gram").filter(_occurs(F.col("_text"), F.lower("term"), whole_word))
         .drop("_gram", "_text")
     )
 

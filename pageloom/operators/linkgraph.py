@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as h
 from ..functions import urls as u
-from ..session import cut_lineage
+from ..session import cut_lineage, materialize
 
 ALREADY_CRAWLED, LIMIT_REACHED = "already_crawled", "limit_reached"
 
@@ -57,6 +57,8 @@ def crawl_plan(
     links = edges.select(F.col("src_url").alias("url"), "dst_url")
     if failed is not None:
         links = links.join(failed.select("url"), "url", "left_anti")
+    # every round reads the edges again, so they are computed once
+    links = materialize(links, "edges")
     for depth in range(1, max_depth + 1) if expand else ():
         if max_urls is not None and reached >= max_urls:
             break

@@ -210,18 +210,16 @@ def dense_search_grid(
 
 def sparse_search(
     postings: DataFrame, query_postings: DataFrame, k: int, groups: DataFrame | None = None,
-    by: Sequence[str] = (), salts: int = 8,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """(query_id, *by, node_id, score, rank): top k by inner product.
 
-    A term that most nodes hold is spread over ``salts`` tasks.
+    With postings kept by node and a query batch of checked size, scores are
+    summed where the postings are and only k rows per query and task move on.
     """
-    wanted = embedding.spread_table(
-        query_postings.select("query_id", "term", F.col("weight").alias("_qw")), salts
-    )
+    wanted = query_postings.select("query_id", "term", F.col("weight").alias("_qw"))
     hits = (
-        postings.withColumn("_salt", embedding.salt_of("node_id", salts))
-        .join(wanted, ["term", "_salt"])
+        embedding.join_terms(postings, wanted, "node_id")
         .groupBy("query_id", "node_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("_qw")), DECIMALS).alias("score"))
     )

@@ -138,7 +138,7 @@ def clean_records(spark, sf):
     p = tb.pages(spark, sf).select(
         "page_id", "url", F.lit("text/html").alias("mimetype"), F.col("html").alias("content"),
         h.page_markdown(F.col("html")).alias("expected"))
-    d = tb.table(spark, sf, "documents").select(
+    d = tb.text_table(spark, sf, "documents").select(
         (-1 - F.col("doc_id")).alias("page_id"), F.lit("https://d.example/").alias("url"),
         F.when(F.col("lang") == "fr", "text/plain").otherwise("text/markdown").alias("mimetype"),
         F.col("text").alias("content"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import urls as u
 from ..functions import vectors
+from ..session import materialize
 from ..operators import chunks, docstore as ds, embedding as em, retrieval as rt
 from . import testbed as tb
 from .registry import query
@@ -172,11 +173,16 @@ def _query_texts(spark, sf):
 
 def _search_tables(spark, sf):
     """(nodes with vectors, postings, queries with vectors, query postings)."""
-    nodes = _nodes(spark, sf)
-    queries = _query_texts(spark, sf)
+    nodes = materialize(em.embed(_nodes(spark, sf)), "nodes")
+    queries = em.embed(_query_texts(spark, sf))
+    postings, q_postings = _postings(nodes, queries)
+    return nodes, postings, queries, q_postings
+
+
+def _postings(nodes, queries):
+    """(node postings, query postings) as stored tables."""
     postings, idf = em.sparse_postings(nodes, "node_id")
-    q_postings = em.weigh(em.term_counts(queries, "query_id"), idf, "query_id")
-    return em.embed(nodes), postings, em.embed(queries), q_postings
+    return postings, materialize(em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), "query-postings")
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"
@@ -239,7 +245,7 @@ def token_window_chunks(spark, sf):
 
 @query("v1_sentence_chunks")
 def sentence_chunks(spark, sf):
-    d = tb.table(spark, sf, "documents").select("doc_id", "text")
+    d = tb.text_table(spark, sf, "documents").select("doc_id", "text")
     return chunks.sentence_chunks(d)
 
 
@@ -259,9 +265,7 @@ def sparse_vectors(spark, sf):
     WITH {_SPARSE} SELECT query_id, node_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM sp) x WHERE r <= 10""", "docs"))
 def sparse_search(spark, sf):
-    nodes, queries = _nodes(spark, sf), _query_texts(spark, sf)
-    postings, idf = em.sparse_postings(nodes, "node_id")
-    return _rounded(rt.sparse_search(postings, em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), 10))
+    return _rounded(rt.sparse_search(*_postings(_nodes(spark, sf), _query_texts(spark, sf)), 10))
 
 
 @query("v6_hybrid_search", sql(f"""
@@ -275,9 +279,8 @@ def hybrid_search(spark, sf):
     WITH {_SPARSE}, hy AS (SELECT query_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM sp) x WHERE r <= 20),
     {_reranked(5)} SELECT query_id, node_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM rr""", "docs"))
 def rerank(spark, sf):
-    nodes, queries = _nodes(spark, sf), _query_texts(spark, sf)
-    postings, idf = em.sparse_postings(nodes, "node_id")
-    hits = rt.sparse_search(postings, em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), 20)
+    nodes, queries = materialize(_nodes(spark, sf), "nodes"), _query_texts(spark, sf)
+    hits = rt.sparse_search(*_postings(nodes, queries), 20)
     return _rounded(rt.rerank(hits, nodes, queries, 5))
 
 
@@ -353,9 +356,8 @@ def parents_and_orphans(spark, sf):
     SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM t QUALIFY rank <= 3""", "docs"))
 def rerank_top_n(spark, sf):
     """A custom scorer in the reranker slot: shorter texts first."""
-    nodes, queries = _nodes(spark, sf), _query_texts(spark, sf)
-    postings, idf = em.sparse_postings(nodes, "node_id")
-    hits = rt.sparse_search(postings, em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), 10)
+    nodes, queries = materialize(_nodes(spark, sf), "nodes"), _query_texts(spark, sf)
+    hits = rt.sparse_search(*_postings(nodes, queries), 10)
     return rt.rerank(hits, nodes, queries, 3, scorer=lambda q, t: -F.length(t).cast("double"))
 
 
@@ -386,9 +388,8 @@ _DEEP = f"""{_SPARSE.replace('qt AS (SELECT item_id AS query_id, term, count(*)
 
 
 def _deep_hits(spark, sf):
-    nodes, queries = _nodes(spark, sf), _rewrites(spark, sf)
-    postings, idf = em.sparse_postings(nodes, "node_id")
-    hits = rt.sparse_search(postings, em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), 3)
+    nodes, queries = materialize(_nodes(spark, sf), "nodes"), _rewrites(spark, sf)
+    hits = rt.sparse_search(*_postings(nodes, queries), 3)
     return nodes, hits.join(queries.select("query_id", "question_id"), "query_id")
 
 

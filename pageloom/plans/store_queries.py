@@ -18,7 +18,7 @@ from .testbed import sql
     SELECT doc_id, CASE WHEN text = '' THEN '' ELSE sha256(text) END AS content_hash FROM documents
     UNION ALL SELECT -1 - page_id, sha256(html) FROM pages""")
 def content_hash(spark, sf):
-    docs = tb.table(spark, sf, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
+    docs = tb.text_table(spark, sf, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
     pages = tb.pages(spark, sf).select((-1 - F.col("page_id")).alias("doc_id"), tx.content_hash(F.col("html")).alias("content_hash"))
     return docs.unionByName(pages)
 
@@ -34,7 +34,7 @@ def markdown_links(spark, sf):
         F.lit("["), F.substring_index("text", "\n", 1), F.lit("]("), "source", F.lit("/"), F.col("doc_id"),
         F.lit(") ![i](img"), F.col("doc_id"), F.lit(".png)\n"), "text",
     )
-    return tb.table(spark, sf, "documents").select(
+    return tb.text_table(spark, sf, "documents").select(
         "doc_id", F.posexplode(tx.markdown_links(md)).alias("pos", "target")
     ).withColumn("pos", F.col("pos").cast("bigint"))
 
@@ -47,7 +47,7 @@ def inline_images(spark, sf):
         F.lit("!["), "lang", F.lit("](data:image/png;base64,"), payload, F.lit(")\n[f](data:image/gif;base64,"),
         payload, F.lit(")\n"), "text",
     )
-    return tb.table(spark, sf, "documents").select("doc_id", tx.replace_inline_images(md).alias("text"))
+    return tb.text_table(spark, sf, "documents").select("doc_id", tx.replace_inline_images(md).alias("text"))
 
 
 @query("f4_clean_markdown", r"""
@@ -57,14 +57,14 @@ def inline_images(spark, sf):
     UNION ALL SELECT doc_id, chr(10) || 'end' FROM documents WHERE NOT regexp_matches(text, '\S')""")
 def clean_markdown(spark, sf):
     md = F.concat("text", F.lit("\n\n![i](data:image/jpeg;base64,"), F.sha2("text", 256), F.lit(")\n  end  "))
-    return tb.table(spark, sf, "documents").select("doc_id", tx.clean_markdown(md).alias("text"))
+    return tb.text_table(spark, sf, "documents").select("doc_id", tx.clean_markdown(md).alias("text"))
 
 
 @query("f5_clean_plain", r"""
     SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)),
       lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM documents""")
 def clean_plain(spark, sf):
-    return tb.table(spark, sf, "documents").select("doc_id", tx.clean_plain(F.col("text")).alias("text"))
+    return tb.text_table(spark, sf, "documents").select("doc_id", tx.clean_plain(F.col("text")).alias("text"))
 
 
 @query("f6_flatten_tables", r"""
@@ -98,7 +98,7 @@ def flatten_tables(spark, sf):
     t = F.concat(
         F.lit("| k | lang |\n|---|---|\n| "), F.col("doc_id"), F.lit(" | "), "lang", F.lit(" |\n"), "text"
     )
-    return tb.table(spark, sf, "documents").select("doc_id", tx.flatten_tables(t).alias("text"))
+    return tb.text_table(spark, sf, "documents").select("doc_id", tx.flatten_tables(t).alias("text"))
 
 
 @query("f10_strategy_routing", r"""
@@ -122,7 +122,7 @@ def strategy_routing(spark, sf):
       ELSE regexp_replace(regexp_replace(text, '(?i)(the)', '<strong>\1</strong>', 'g'), '(?i)(que)', '<strong>\1</strong>', 'g') END AS text
     FROM documents""")
 def highlight(spark, sf):
-    return tb.table(spark, sf, "documents").select(
+    return tb.text_table(spark, sf, "documents").select(
         "doc_id", tx.highlight(F.col("text"), F.lit("the a  que")).alias("text")
     )
 
@@ -532,7 +532,7 @@ def primary_site(spark, sf):
     SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: i = 1 OR l[i] <> l[i - 1]), lambda i: l[i]), chr(10)) AS text
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) x""")
 def repeated_lines(spark, sf):
-    return tb.table(spark, sf, "documents").select("doc_id", tx.drop_repeated_lines(F.col("text")).alias("text"))
+    return tb.text_table(spark, sf, "documents").select("doc_id", tx.drop_repeated_lines(F.col("text")).alias("text"))
 
 
 @query("w11_change_timeline", sql("""

@@ -146,7 +146,7 @@ def back_pressure(spark, sf):
         lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) ELSE text END AS clean_content FROM documents""")
 def custom_strategy(spark, sf):
     shout = cleaning.Strategy("shout", lambda url, mime, content: mime.startswith("text/x-es"), F.upper)
-    d = tb.table(spark, sf, "documents").select(
+    d = tb.text_table(spark, sf, "documents").select(
         "doc_id", F.lit("https://d.example/").alias("url"), F.col("text").alias("content"),
         F.when(F.col("lang") == "es", "text/x-es").when(F.col("lang") == "fr", "text/plain").otherwise("text/x-none").alias("mimetype"))
     return cleaning.clean(d, hooks.add_strategy(shout)).select("doc_id", "strategy", "clean_content")
@@ -209,3 +209,32 @@ def task_processor(spark, sf):
 
     e = tb.table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return hooks.process_tasks(e, work, "doubled bigint").select("event_id", "result.doubled", "error")
+
+
+@query("x3_page_callback", "SELECT count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages")
+def page_callback(spark, sf):
+    """The callback runs on the executors; its two counters come back."""
+    pages, chars = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def crawled(url: str, content: str, metadata: dict) -> None:
+        pages.add(1)
+        chars.add(len(content))
+
+    p = tb.pages(spark, sf).select("url", F.col("html").alias("content"), h.metadata(F.col("html")).alias("metadata"))
+    hooks.for_each_page(p, crawled)
+    return tb.pages(spark, sf).agg(F.lit(pages.value).cast("bigint").alias("pages"), F.lit(chars.value).cast("bigint").alias("chars"))
+
+
+@query("x7_alert_callback", f"""
+    WITH {_SNAP}, p AS (SELECT *, lag(processing) OVER w AS pp, lag(ts) OVER w AS pt FROM snap WINDOW w AS (PARTITION BY queue ORDER BY ts, seq)),
+    a AS (SELECT queue FROM p WHERE processing > 0 AND processing = pp AND (epoch_us(ts) - epoch_us(pt)) / 1e6 > 1800)
+    SELECT queue, count(*) AS alerts, (SELECT count(*) FROM a) AS called FROM a GROUP BY queue""")
+def alert_callback(spark, sf):
+    called = spark.sparkContext.accumulator(0)
+    checks = _events(spark, sf).select(
+        F.concat(F.lit("q"), F.pmod("user_id", F.lit(4))).alias("queue"), "ts", F.col("event_id").alias("seq"),
+        (F.get_json_object("props", "$.k").cast("int") % 2).alias("processing"))
+    root = scratch_path(spark, "alerts")
+    st.run_available(st.stall_alerts(checks, 1800), st.alert_sink(lambda alert: called.add(1), root), scratch_path(spark, "mark"))
+    alerts = st.read_log(spark, root, st.STALL_OUT).groupBy("queue").agg(F.count(F.lit(1)).alias("alerts"))
+    return alerts.withColumn("called", F.lit(called.value).cast("bigint"))

@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls as u
+from ..session import spread
 
 NOW = "2024-02-01 00:00:00"
 BASE_SECONDS = 1_700_000_000
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table of long texts, spread over all cores when it is small."""
+    return spread(table(spark, sf_dir, name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its times without zone are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -37,7 +43,7 @@ def _by_lang(en, fr, de, other):
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as stored documents; MIME type and description by language."""
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"),
         F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id")).alias("url"),
         F.col("text").alias("content"),
@@ -161,7 +167,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations")
+    return text_table(spark, sf_dir, "conversations")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +266,7 @@ def policy_now():
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return text_table(spark, sf_dir, "pages")
 
 
 def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:

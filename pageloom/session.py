@@ -66,6 +66,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write to the shared folder and read back: for tables that are used again.
+
+    Unlike a cache it survives lost executors, and readers still prune columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input that has fewer splits than there are cores.
+
+    Only small inputs are moved; a large one has splits enough and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     shared_dir(df.sparkSession)
