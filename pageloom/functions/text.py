@@ -195,11 +195,15 @@ def integer_keys(c: Column) -> Column:
 
 _NAMED = {name: chr(code) for name, code in name2codepoint.items() if name != "amp"}
 _NAMED["apos"] = "'"
+# one expression text: building it from single literals costs a call each
+_NAMED_MAP = "map({})".format(
+    ",".join(f"'{name}',decode(unhex('{char.encode().hex()}'),'UTF-8')" for name, char in sorted(_NAMED.items()))
+)
 
 
 def unescape(c: Column) -> Column:
     """Resolve character references; ``&amp;`` last, so nothing is read twice."""
-    table = F.create_map(*[F.lit(x) for pair in sorted(_NAMED.items()) for x in pair])
+    table = F.expr(_NAMED_MAP)
 
     def code_point(ref: Column) -> Column:
         number = F.when(

@@ -49,6 +49,10 @@ def _common_page(url, mime, content):
     return mime.startswith("text/html") & u.path(url).contains("page/") & content.contains(f'id="{MAIN_ID}"')
 
 
+def _main_markdown(content: Column) -> Column:
+    return h.page_markdown(h.main_region(content, (MAIN_ID,), MAIN_DROPS))
+
+
 # Order matters: the first strategy that handles a record takes it.
 # Markdown and plain HTML ask for the same; both are here, Markdown wins.
 STRATEGIES: tuple[Strategy, ...] = (
@@ -57,10 +61,8 @@ STRATEGIES: tuple[Strategy, ...] = (
     Strategy("office", lambda url, mime, content: mime.startswith(XLSX) | mime.startswith(PPTX)),
     Strategy("search_page", _search_page,
              lambda c: h.page_markdown(h.main_region(c, (CONTENT_ID,), CONTENT_DROPS))),
-    Strategy("common_page", _common_page,
-             lambda c: h.page_markdown(h.main_region(c, (MAIN_ID,), MAIN_DROPS))),
-    Strategy("markdown", _is("text/html"),
-             lambda c: h.page_markdown(h.main_region(c, (MAIN_ID,), MAIN_DROPS))),
+    Strategy("common_page", _common_page, _main_markdown),
+    Strategy("markdown", _is("text/html"), _main_markdown),
     Strategy("html", _is("text/html"), h.page_text),
     Strategy("plain", _is("text/plain"), tx.clean_plain),
 )
@@ -85,7 +87,10 @@ def clean(records: DataFrame, strategies=STRATEGIES, out: str = "clean_content")
         "strategy", route(F.col("url"), F.col("mimetype"), F.col("content"), strategies)
     )
     cleaned = F.when(F.col("strategy") == "unchanged", F.col("content"))
+    names_by_cleaner: dict = {}
     for s in strategies:
         if s.clean is not None:
-            cleaned = cleaned.when(F.col("strategy") == s.name, s.clean(F.col("content")))
+            names_by_cleaner.setdefault(s.clean, []).append(s.name)
+    for cleaner, names in names_by_cleaner.items():
+        cleaned = cleaned.when(F.col("strategy").isin(names), cleaner(F.col("content")))
     return routed.withColumn(out, cleaned)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,16 +84,16 @@ def salt_of(key: str, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf). The texts are shuffled once, by key.
+def term_counts(df: DataFrame, key: str, text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, term, tf). The texts are shuffled once, by key.
 
     Everything that follows per key (counting, scaling, scoring) finds its
     rows in place; the far larger token rows are never shuffled.
     """
     return (
-        df.select(key, text).repartition(key)
-        .select(key, F.explode(tx.terms(F.col(text))).alias("term"))
-        .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        df.select(key, *keep, text).repartition(key)
+        .select(key, *keep, F.explode(tx.terms(F.col(text))).alias("term"))
+        .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -112,15 +112,17 @@ def join_terms(rows: DataFrame, small: DataFrame, key: str, limit: int = BROADCA
     )
 
 
-def weigh(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): tf × idf, scaled to length one per key."""
+def weigh(counts: DataFrame, idf: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, *keep, term, weight): tf × idf, scaled to length one per key."""
     raw = join_terms(counts, idf, key).withColumn("_w", F.col("tf") * F.col("idf"))
     # one key is one text, so this window stays as small as that text
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("_w") / length).alias("weight"))
+    return raw.select(key, *keep, "term", (F.col("_w") / length).alias("weight"))
 
 
-def sparse_postings(df: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def sparse_postings(
+    df: DataFrame, key: str, text: str = "text", keep: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """(postings, idf) of a text table; queries are weighed with the same idf.
 
     The idf table, ln(1 + N / df) per term, is written once: postings and
@@ -131,7 +133,7 @@ def sparse_postings(df: DataFrame, key: str, text: str = "text") -> tuple[DataFr
     idf = materialize(
         distinct.groupBy("term").agg(F.log(1 + total / F.count(F.lit(1))).alias("idf")), "idf"
     )
-    return weigh(term_counts(df, key, text), idf, key), idf
+    return weigh(term_counts(df, key, text, keep), idf, key, keep), idf
 
 
 def term_id(term: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from . import ordered
 
 # Fixed value: the frame of a hint.
 HINT_HEAD = "\nHint for specific terms:\n"
-SMALL_GLOSSARY = 256
+SMALL_GLOSSARY = 2000
+LONGEST_GRAM = 8
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -42,17 +45,18 @@ def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str
     """(key, term, …) for every term that occurs in a message, ignoring case.
 
     A glossary of at most ``SMALL_GLOSSARY`` terms goes to the messages as one
-    array. A larger one is joined on the first three characters of the term,
-    which must occur in the message; the join key is exact, so no match is lost.
+    array. A larger one is joined on the first characters of the term, which
+    must occur in the message as well, so no match is lost.
     """
     rows = ordered.bounded_rows(glossary, SMALL_GLOSSARY)
     if rows is not None:
         if not rows:
             return messages.select(*key).limit(0).withColumn("term", F.lit(""))
         columns = glossary.columns
-        entries = F.array(*[
-            F.struct(*[F.lit(r[c]).alias(c) for c in columns], F.lit(r["term"].lower()).alias("_low")) for r in rows
-        ])
+        # one JSON literal: Spark folds it into a constant when it plans
+        fields = ",".join(f"{c}:{glossary.schema[c].dataType.simpleString()}" for c in columns)
+        packed = json.dumps([{**r.asDict(), "_low": r["term"].lower()} for r in rows])
+        entries = F.from_json(F.lit(packed), f"array<struct<{fields},_low:string>>")
         hits = tx.let(
             F.lower(F.col(text)),
             lambda low: F.filter(entries, lambda g: _occurs(low, g["_low"], whole_word)),
@@ -62,19 +66,24 @@ def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str
 
 
 def matches_by_prefix(messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False) -> DataFrame:
-    """As ``matches`` for a glossary of any size."""
-    low = F.lower(F.col(text))
+    """As ``matches`` for a glossary of any size.
+
+    All terms are keyed by their first ``n`` characters, where ``n`` is the
+    length of the shortest term, so one set of grams per message is enough.
+    """
+    terms = glossary.filter(F.col("term") != "")
+    shortest = terms.agg(F.min(F.length("term"))).first()[0]
+    n = min(LONGEST_GRAM, shortest or 1)
 
-    def grams(n: int) -> Column:
+    def grams(low: Column) -> Column:
         return F.when(
             F.length(low) >= n,
             F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
+        )
 
-    keyed = glossary.filter(F.col("term") != "").withColumn("_gram", F.substring(F.lower("term"), 1, 3))
-    spread = messages.select(
-        *key, low.alias("_text"),
-        F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("_gram"),
+    keyed = terms.withColumn("_gram", F.substring(F.lower("term"), 1, n))
+    spread = messages.select(*key, F.lower(text).alias("_text")).select(
+        *key, "_text", F.explode(F.array_distinct(tx.let(F.col("_text"), grams))).alias("_gram")
     )
     # grams that start no term go first, before the text is shuffled
     used = spread.join(keyed.select("_gram").distinct(), "_gram", "left_semi")

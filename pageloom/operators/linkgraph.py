@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import html as h
 from ..functions import urls as u
-from ..session import cut_lineage, materialize
+from ..session import materialize
 
+BROADCAST_URLS = 100_000
 ALREADY_CRAWLED, LIMIT_REACHED = "already_crawled", "limit_reached"
 
 
@@ -47,13 +48,17 @@ def crawl_plan(
     """(url, depth) of a breadth-first walk from ``seeds``.
 
     A round joins the frontier with the edges, keeps what is in scope and not
-    visited, and is cut off by a reliable checkpoint. Failed pages are visited
+    visited, and is written, which cuts the lineage. Failed pages are visited
     but not expanded. With ``max_urls`` the smallest (depth, url) are kept,
     which takes the place of queue order.
     """
-    frontier = cut_lineage(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    frontier = materialize(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
-    reached = frontier.count()
+    reached = grown = frontier.count()
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_URLS else df
+
     links = edges.select(F.col("src_url").alias("url"), "dst_url")
     if failed is not None:
         links = links.join(failed.select("url"), "url", "left_anti")
@@ -63,13 +68,13 @@ def crawl_plan(
         if max_urls is not None and reached >= max_urls:
             break
         found = (
-            frontier.join(links, "url")
+            small(frontier, grown).join(links, "url")
             .select(F.col("dst_url").alias("url"))
             .filter(u.in_scope(F.col("url"), include, exclude))
             .distinct()
         )
-        frontier = cut_lineage(
-            found.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        frontier = materialize(
+            found.join(small(visited.select("url"), reached), "url", "left_anti").withColumn("depth", F.lit(depth))
         )
         grown = frontier.count()
         if grown == 0:

@@ -209,23 +209,21 @@ def dense_search_grid(
 # ---- sparse ----------------------------------------------------------------
 
 def sparse_search(
-    postings: DataFrame, query_postings: DataFrame, k: int, groups: DataFrame | None = None,
-    by: Sequence[str] = (),
+    postings: DataFrame, query_postings: DataFrame, k: int, by: Sequence[str] = ()
 ) -> DataFrame:
     """(query_id, *by, node_id, score, rank): top k by inner product.
 
     With postings kept by node and a query batch of checked size, scores are
     summed where the postings are and only k rows per query and task move on.
+    Postings carry the ``by`` columns of their node.
     """
     wanted = query_postings.select("query_id", "term", F.col("weight").alias("_qw"))
     hits = (
         embedding.join_terms(postings, wanted, "node_id")
-        .groupBy("query_id", "node_id")
+        .groupBy("query_id", *by, "node_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("_qw")), DECIMALS).alias("score"))
     )
-    if groups is not None:
-        hits = hits.join(groups.select("node_id", *by), "node_id")
-    return _top(hits.select("query_id", *by, "node_id", "score"), k, by)
+    return _top(hits, k, by)
 
 
 # ---- fusion, diversity, rerank ---------------------------------------------
@@ -322,7 +320,7 @@ def hybrid_search(
 ) -> DataFrame:
     """Dense and sparse leg, each of k rows, fused to k rows."""
     dense = dense_search(nodes, queries, k, metric, by)
-    sparse = sparse_search(postings, query_postings, k, nodes if by else None, by)
+    sparse = sparse_search(postings, query_postings, k, by)
     return fuse([dense, sparse], k, ranker, weights=weights, by=by)
 
 
@@ -359,7 +357,7 @@ def semantic_search(
     asked_postings = query_postings.join(asked.select("query_id"), "query_id", "left_semi")
     if sites is not None:
         nodes = nodes.join(sites.select("site_id"), "site_id", "left_semi")
-        postings = postings.join(nodes.select("node_id"), "node_id", "left_semi")
+        postings = postings.join(sites.select("site_id"), "site_id", "left_semi")
     hits = retrieve(
         nodes, postings, asked, asked_postings, top_k, use_rerank, rerank_top_k, similarity_cutoff, scorer, ["site_id"]
     )

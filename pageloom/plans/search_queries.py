@@ -181,7 +181,7 @@ def _search_tables(spark, sf):
 
 def _postings(nodes, queries):
     """(node postings, query postings) as stored tables."""
-    postings, idf = em.sparse_postings(nodes, "node_id")
+    postings, idf = em.sparse_postings(nodes, "node_id", keep=["site_id"])
     return postings, materialize(em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), "query-postings")
 
 
@@ -258,14 +258,14 @@ def dense_vectors(spark, sf):
 
 @query("v3_sparse_vectors", sql(f"WITH {_SPARSE} SELECT node_id, term, round(weight, 6) AS weight FROM nw", "docs"))
 def sparse_vectors(spark, sf):
-    return _rounded(em.sparse_postings(_nodes(spark, sf), "node_id")[0], "weight")
+    return _rounded(em.sparse_postings(materialize(_nodes(spark, sf), "nodes"), "node_id")[0], "weight")
 
 
 @query("v5_sparse_search", sql(f"""
     WITH {_SPARSE} SELECT query_id, node_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM sp) x WHERE r <= 10""", "docs"))
 def sparse_search(spark, sf):
-    return _rounded(rt.sparse_search(*_postings(_nodes(spark, sf), _query_texts(spark, sf)), 10))
+    return _rounded(rt.sparse_search(*_postings(materialize(_nodes(spark, sf), "nodes"), _query_texts(spark, sf)), 10))
 
 
 @query("v6_hybrid_search", sql(f"""
@@ -413,7 +413,7 @@ def deep_search(spark, sf):
     WITH {_SPARSE}, {_dense('nt', 'node_id', 'nv')}, t AS (SELECT node_id, count(*) AS n_terms FROM (SELECT DISTINCT node_id, substr(md5(term), 1, 7) AS i FROM nt) y GROUP BY 1)
     SELECT node_id, doc_id, site_id, chunk_no, 64 AS dimensions, coalesce(n_terms, 0) AS n_terms FROM nodes LEFT JOIN t USING (node_id)""", "docs"))
 def node_ingest(spark, sf):
-    nodes = _nodes(spark, sf)
+    nodes = materialize(_nodes(spark, sf), "nodes")
     sparse = em.sparse_maps(em.sparse_postings(nodes, "node_id")[0], "node_id")
     full = em.embed(nodes).join(sparse, "node_id", "left")
     return full.select("node_id", "doc_id", "site_id", "chunk_no", F.size("embedding").alias("dimensions"),

@@ -271,7 +271,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers as pages that link to each other."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     part = F.concat(F.lit("https://trade.example/part/"), F.col("l_partkey"))
     supp = F.concat(F.lit("https://trade.example/supplier/"), F.col("l_suppkey"))
     return li.select(
@@ -281,7 +281,7 @@ def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.struct(supp.alias("src_url"), part.alias("dst_url")),
             )
         )
-    ).distinct()
+    )
 
 
 def host_of(url):

@@ -67,9 +67,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write to the shared folder and read back: for tables that are used again.
+    """Write to the shared folder and read back.
 
-    Unlike a cache it survives lost executors, and readers still prune columns.
+    For tables that are used again and for cutting the lineage of a loop. It
+    survives lost executors, computes the plan once (an eager checkpoint runs
+    it twice), and readers prune columns and know the size.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -84,9 +86,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if splits < cores else df
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

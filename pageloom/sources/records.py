@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import html as h
 from ..functions import text as tx
 from ..functions import urls as u
+from ..session import materialize
 
 
 def page_records(pages: DataFrame, fetched_at: Column, with_metadata: bool = True) -> DataFrame:
@@ -129,12 +130,10 @@ def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50) ->
     level of indexes; (root, sitemap) pairs seen before are not followed again,
     so a loop of indexes ends.
     """
-    from ..session import cut_lineage
-
     bodies = sitemaps.select(
         "url", _locations(F.col("body"), "url").alias("pages"), _locations(F.col("body"), "sitemap").alias("children")
     )
-    bodies = cut_lineage(bodies)
+    bodies = materialize(bodies)
     frontier = roots.select(F.col("url").alias("root"), "url").distinct()
     seen = frontier
     for _ in range(max_levels):
@@ -142,10 +141,10 @@ def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50) ->
             frontier.join(bodies.select("url", "children"), "url")
             .select("root", F.explode("children").alias("url")).distinct()
         )
-        frontier = cut_lineage(children.join(seen, ["root", "url"], "left_anti"))
+        frontier = materialize(children.join(seen, ["root", "url"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        seen = materialize(seen.unionByName(frontier))
     return (
         seen.join(bodies.select("url", "pages"), "url")
         .select("root", F.explode("pages").alias("page_url")).distinct()
