@@ -342,6 +342,15 @@ def parents_and_orphans(hits: DataFrame, documents: DataFrame):
     return hits.join(known, "doc_id", "left_semi"), hits.select("doc_id").distinct().join(known, "doc_id", "left_anti")
 
 
+def hit_documents(hits: DataFrame, docs: DataFrame, membership: DataFrame) -> DataFrame:
+    """Hits with their document, found by hash, where it belongs to the hit's site."""
+    return (
+        hits.withColumn("content_hash", u.key_hash(F.col("doc_id")))
+        .join(docs.select("document_id", "url", "title", "description", "mimetype", "content_hash"), "content_hash")
+        .join(membership.select("site_id", "document_id"), ["site_id", "document_id"], "left_semi")
+    )
+
+
 def semantic_search(
     nodes: DataFrame, postings: DataFrame, queries: DataFrame, query_postings: DataFrame,
     docs: DataFrame, membership: DataFrame, sites: DataFrame | None = None, top_k: int = 5,
@@ -361,11 +370,7 @@ def semantic_search(
     hits = retrieve(
         nodes, postings, asked, asked_postings, top_k, use_rerank, rerank_top_k, similarity_cutoff, scorer, ["site_id"]
     )
-    found = (
-        hits.withColumn("content_hash", u.key_hash(F.col("doc_id")))
-        .join(docs.select("document_id", "url", "title", "description", "mimetype", "content_hash"), "content_hash")
-        .join(membership.select("site_id", "document_id"), ["site_id", "document_id"], "left_semi")
-    )
+    found = hit_documents(hits, docs, membership)
     if mimetype:
         found = found.filter(F.col("mimetype") == mimetype)
     found = found.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit(labels.NO_TITLE))).withColumn(

@@ -325,18 +325,15 @@ def cross_site_page(spark, sf):
     return rt.page_of_hits(_searched(spark, sf), 1, 5).select("query_id", "site_id", "node_id", "position")
 
 
-@query("j6_hits_to_documents", sql("""
-    SELECT q.item_id AS query_id, d.document_id, m.site_id FROM benchmark q
-    JOIN docs d ON contains(d.content, q.text) JOIN members m ON m.document_id = d.document_id WHERE m.site_id = d.source""", "docs", "members"))
+@query("j6_hits_to_documents", sql(f"""
+    WITH {_SPARSE}, h AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM sp QUALIFY r <= 10)
+    SELECT h.query_id, h.node_id, n.site_id, d.document_id, CAST(h.r AS INTEGER) AS rank FROM h JOIN nodes n USING (node_id)
+    JOIN docs d ON d.content_hash = n.content_hash JOIN members m ON m.document_id = d.document_id AND m.site_id = n.site_id""", "docs", "members"))
 def hits_to_documents(spark, sf):
-    """Passages found in whole texts: the first term pair is the join key, the text is the test."""
-    from ..operators.passages import containing
-
-    docs = tb.documents(spark, sf).select("document_id", F.col("content").alias("text"), "source")
-    hits = containing(docs, _query_texts(spark, sf), "document_id", "query_id")
-    members = tb.membership(spark, sf).select("document_id", "site_id")
-    return (hits.join(docs.select("document_id", "source"), "document_id").join(members, "document_id")
-            .filter(F.col("site_id") == F.col("source")).select("query_id", "document_id", "site_id"))
+    nodes = materialize(_nodes(spark, sf), "nodes")
+    hits = rt.sparse_search(*_postings(nodes, _query_texts(spark, sf)), 10).join(nodes.select("node_id", "doc_id", "site_id"), "node_id")
+    return rt.hit_documents(hits, tb.documents(spark, sf), tb.membership(spark, sf)).select(
+        "query_id", "node_id", "site_id", "document_id", "rank")
 
 
 @query("j5_parents_and_orphans", f"""
