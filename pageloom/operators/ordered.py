@@ -89,6 +89,17 @@ def top_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: i
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= k)
 
 
+def only_keys(big: DataFrame, few: DataFrame, key: str, limit: int = 200_000) -> DataFrame:
+    """Rows of ``big`` whose key is in ``few``, without a shuffle of ``big``.
+
+    A checked number of keys goes to every task. Beyond the limit the semi
+    join shuffles both sides; the rows are the same.
+    """
+    keys = few.select(key).filter(F.col(key).isNotNull()).distinct()
+    small = keys.limit(limit + 1).count() <= limit
+    return big.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """The rows of ``df`` when there are at most ``limit``, else None.
 

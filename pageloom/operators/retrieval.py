@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +22,12 @@ from ..functions import labels
 from ..functions import text as tx
 from ..functions import urls as u
 from ..functions import vectors
+from ..session import materialize
 from . import docstore, embedding, ordered
 
 METRICS = ("IP", "L2", "COSINE")
 QUERY_BLOCK = 4096
+BROADCAST_HITS = 200_000
 DECIMALS = 9  # scores are rounded, so that equal vectors tie in any block
 
 
@@ -82,14 +85,19 @@ def _scores(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, groups: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) of the k best rows per query and group; all ties are kept."""
+    """(row, query) of the k best rows per query and group.
+
+    Rows come in id order, so equal scores are cut at the larger ids, as the
+    final order does; copies of one vector cannot flood the output.
+    """
     rows, cols = [], []
     for g in np.unique(groups):
         at = np.flatnonzero(groups == g)
         part = scores[at]
         if len(at) > k:
-            cut = np.partition(part, len(at) - k, axis=0)[len(at) - k]
-            r, c = np.nonzero(part >= cut[None, :])
+            cut = np.partition(part, len(at) - k, axis=0)[len(at) - k][None, :]
+            above, tied = part > cut, part == cut
+            r, c = np.nonzero(above | (tied & (np.cumsum(tied, axis=0) <= k - above.sum(0))))
         else:
             r, c = np.nonzero(np.ones_like(part, dtype=bool))
         rows.append(at[r])
@@ -137,6 +145,7 @@ def dense_search(
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
+            batch = batch.take(pc.sort_indices(batch.column("node_id")))
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             data = flat.astype(np.float64).reshape(batch.num_rows, -1)
             scores = np.round(_scores(data, matrix, metric), DECIMALS)
@@ -192,6 +201,7 @@ def dense_search_grid(
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in columns})
+        a = a.sort_values("node_id", ignore_index=True)
         scores = np.round(_scores(_matrix(a["embedding"]), _matrix(b["q_embedding"]), metric), DECIMALS)
         groups = (
             a.groupby(names, sort=False, dropna=False).ngroup().to_numpy() if names else np.zeros(len(a), dtype=int)
@@ -248,6 +258,16 @@ def fuse(
     return _top(fused, k, by)
 
 
+def beside(hits: DataFrame, big: DataFrame, key: str) -> DataFrame:
+    """Join hits to a big table without shuffling it.
+
+    Hits are written, which also keeps them from being searched for again, and
+    sent to the tasks when there are few enough.
+    """
+    stored = materialize(hits, "hits")
+    return big.join(F.broadcast(stored) if stored.count() <= BROADCAST_HITS else stored, key)
+
+
 def mmr_search(
     nodes: DataFrame, queries: DataFrame, k: int, threshold: float = 0.5,
     prefetch_factor: float | None = None, prefetch_k: int | None = None,
@@ -260,7 +280,7 @@ def mmr_search(
     if prefetch_factor is not None and prefetch_k is not None:
         raise ValueError("give prefetch_factor or prefetch_k, not both")
     k0 = int(prefetch_k) if prefetch_k is not None else int(k * (4.0 if prefetch_factor is None else prefetch_factor))
-    fetched = dense_search(nodes, queries, k0, "COSINE").join(nodes.select("node_id", "embedding"), "node_id")
+    fetched = beside(dense_search(nodes, queries, k0, "COSINE"), nodes.select("node_id", "embedding"), "node_id")
     schema = T.StructType(
         [queries.schema["query_id"], nodes.schema["node_id"], T.StructField("score", T.DoubleType()),
          T.StructField("rank", T.IntegerType())]
@@ -297,14 +317,18 @@ def overlap_score(query: Column, text: Column) -> Column:
 def rerank(
     hits: DataFrame, texts: DataFrame, queries: DataFrame, top_n: int,
     scorer: Callable[[Column, Column], Column] = overlap_score, by: Sequence[str] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Score (query text, node text) pairs again and keep the best ``top_n``."""
-    pairs = (
-        hits.select("query_id", *by, "node_id")
-        .join(texts.select("node_id", "text"), "node_id")
-        .join(queries.select("query_id", F.col("text").alias("_query")), "query_id")
+    """Score (query text, node text) pairs again and keep the best ``top_n``.
+
+    ``keep`` names node columns that stay in the result.
+    """
+    asked = hits.select("query_id", *by, "node_id").join(
+        queries.select("query_id", F.col("text").alias("_query")), "query_id"
     )
-    scored = pairs.select("query_id", *by, "node_id", scorer(F.col("_query"), F.col("text")).alias("score"))
+    wanted = list(dict.fromkeys(["node_id", "text", *keep]))
+    pairs = beside(asked, texts.select(*wanted), "node_id")
+    scored = pairs.select("query_id", *by, "node_id", scorer(F.col("_query"), F.col("text")).alias("score"), *keep)
     return _top(scored, top_n, by)
 
 
@@ -332,8 +356,9 @@ def retrieve(
     """Hybrid search, rerank, cutoff. The cutoff belongs to the reranker's score."""
     hits = hybrid_search(nodes, postings, queries, query_postings, top_k, by=by)
     if use_rerank:
-        hits = cutoff(rerank(hits, nodes, queries, rerank_top_k, scorer, by), similarity_cutoff)
-    return hits.join(nodes.select("node_id", "doc_id", "text"), "node_id")
+        kept = rerank(hits, nodes, queries, rerank_top_k, scorer, by, ["doc_id", "text"])
+        return cutoff(kept, similarity_cutoff)
+    return beside(hits, nodes.select("node_id", "doc_id", "text"), "node_id")
 
 
 def parents_and_orphans(hits: DataFrame, documents: DataFrame):
@@ -344,11 +369,9 @@ def parents_and_orphans(hits: DataFrame, documents: DataFrame):
 
 def hit_documents(hits: DataFrame, docs: DataFrame, membership: DataFrame) -> DataFrame:
     """Hits with their document, found by hash, where it belongs to the hit's site."""
-    return (
-        hits.withColumn("content_hash", u.key_hash(F.col("doc_id")))
-        .join(docs.select("document_id", "url", "title", "description", "mimetype", "content_hash"), "content_hash")
-        .join(membership.select("site_id", "document_id"), ["site_id", "document_id"], "left_semi")
-    )
+    wanted = docs.select("document_id", "url", "title", "description", "mimetype", "content_hash")
+    found = beside(hits.withColumn("content_hash", u.key_hash(F.col("doc_id"))), wanted, "content_hash")
+    return found.join(membership.select("site_id", "document_id"), ["site_id", "document_id"], "left_semi")
 
 
 def semantic_search(

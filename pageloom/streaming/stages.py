@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import chunks, cleaning, docstore as ds, queues
+from ..operators import chunks, cleaning, docstore as ds, ordered, queues
 from ..sources import tables
 
 
@@ -96,6 +96,25 @@ def current_members(spark: SparkSession, site: Site, before: int | None = None)
     return log.groupBy("site_id", "document_id").agg(F.min("created_at").alias("created_at"))
 
 
+def touched_state(spark: SparkSession, site: Site, batch: DataFrame, before: int):
+    """(documents, memberships) a batch can match, by its URLs and content hashes.
+
+    The keys of the batch go to the stored tables, not the other way round:
+    two scans of narrow columns, and only matching rows are grouped.
+    """
+    log = read_log(spark, site.at("documents"), STORED, before).select(
+        "document_id", "url", "content_hash", "created_at", "version", "batch"
+    )
+    ids = (
+        ordered.only_keys(log, batch, "url").select("document_id")
+        .unionByName(ordered.only_keys(log, batch.filter("content_hash <> ''"), "content_hash").select("document_id"))
+        .distinct().persist()
+    )
+    known = latest(ordered.only_keys(log, ids, "document_id"), ["document_id"]).drop("batch")
+    members = ordered.only_keys(read_log(spark, site.at("members"), MEMBERS, before), ids, "document_id")
+    return known, members.select("site_id", "document_id", "created_at")
+
+
 def current_nodes(spark: SparkSession, site: Site) -> DataFrame:
     """Nodes written after their document was last removed."""
     gone = read_log(spark, site.at("removed"), REMOVED).groupBy("doc_id").agg(F.max("batch").alias("_gone"))
@@ -126,18 +145,17 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             todo = ds.latest_per_url(
                 routed.filter("route = 'process'").withColumn("content_hash", ds.tx.content_hash(F.col("content")))
             )
-            stored = current_documents(spark, site, batch_id)
-            keys = stored.select("document_id", "url", "content_hash", "created_at")
+            known, members = touched_state(spark, site, todo, batch_id)
             changes = ds.settle_copies(
-                ds.classify(todo.select("url", "site_id", "content_hash", "ts"), keys, current_members(spark, site, batch_id))
+                ds.classify(todo.select("url", "site_id", "content_hash", "ts"), known.drop("version"), members)
             )
-            versions = stored.select("document_id", F.col("version").alias("_version"), F.col("created_at").alias("_created"))
+            versions = known.select("document_id", F.col("version").alias("_version"))
             changes = changes.join(versions, "document_id", "left").withColumn(
                 "version",
                 F.coalesce("_version", F.lit(0)) + F.when(F.col("operation").isin("new", "edit"), 1).otherwise(0),
             )
             write(
-                changes.withColumn("_at", F.col("ts")).select(
+                changes.select(
                     "document_id", "url", "site_id", "content_hash", "prev_content_hash", "operation", "version", "ts"
                 ),
                 "changes",
@@ -148,7 +166,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
                 "url", "document_id", "operation", "prev_content_hash", "version"
             )
             full = cleaning.clean(todo.join(touched, "url"), strategies).persist()
-            first_seen = stored.select("document_id", F.col("created_at").alias("_created"))
+            first_seen = known.select("document_id", F.col("created_at").alias("_created"))
             write(
                 full.filter("operation IN ('new', 'edit')").join(first_seen, "document_id", "left").select(
                     "document_id", "url", "content_hash", "title", "content", "clean_content", "mimetype", "version",
