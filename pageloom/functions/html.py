@@ -6,6 +6,8 @@ Python and the page table is never shuffled for cleaning.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,6 +86,7 @@ def page_text(html: Column, drop=DROPPED) -> Column:
 
 
 def _tag_with_id(html: Column, element_id: str) -> Column:
+    element_id = re.escape(element_id)
     return F.regexp_extract(
         html,
         rf"""(?is)(<[a-z][a-z0-9]*\s(?:[^<>]*?\s)?id\s*=\s*(?:"{element_id}"|'{element_id}'|{element_id}(?=[\s>]))[^>]*>)""",

@@ -216,6 +216,81 @@ def dense_search_grid(
     return _top(cells, k, by)
 
 
+# ---- approximate dense search ----------------------------------------------
+
+def train_cells(nodes: DataFrame, n_cells: int, seed: int = 7) -> np.ndarray:
+    """Centres of ``n_cells`` cells of unit vectors, by distributed k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = nodes.select(array_to_vector("embedding").alias("features"))
+    model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
+    return np.asarray(model.clusterCenters(), dtype=np.float64)
+
+
+def assign_cells(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add the nearest cell; store the table partitioned by ``cell`` to prune scans."""
+    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series(_scores(_matrix(vectors), shared.value, "COSINE").argmax(1).astype("int32"))
+
+    return nodes.withColumn("cell", nearest("embedding"))
+
+
+def probed_search(
+    nodes: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, block: int = QUERY_BLOCK
+) -> DataFrame:
+    """Top k by cosine among the nodes of each query's ``probes`` nearest cells.
+
+    Approximate: ``probes`` trades time for recall, and all cells give the
+    exact result. Only probed cells are read. More queries than ``block`` are
+    answered exactly by ``dense_search``.
+    """
+    rows = ordered.bounded_rows(queries.select("query_id", "embedding"), block)
+    if rows is None:
+        return dense_search(nodes, queries, k)
+    matrix = _matrix([r.embedding for r in rows])
+    near = np.argsort(-_scores(matrix, centres, "COSINE"), axis=1, kind="stable")[:, :probes]
+    asked = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+    shared = nodes.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], matrix, asked))
+    schema = T.StructType(
+        [queries.schema["query_id"], nodes.schema["node_id"], T.StructField("score", T.DoubleType())]
+    )
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, all_queries, by_cell = shared.value
+        arrow_ids = pa.array(ids, id_type)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column("node_id")))
+            cells = batch.column("cell").to_numpy(zero_copy_only=False)
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            data = flat.astype(np.float64).reshape(batch.num_rows, -1)
+            for cell in np.unique(cells):
+                at, who = np.flatnonzero(cells == cell), by_cell[int(cell)]
+                scores = np.round(_scores(data[at], all_queries[who], "COSINE"), DECIMALS)
+                r, c = _best(scores, np.zeros(len(at), dtype=int), k)
+                yield pa.RecordBatch.from_arrays(
+                    [arrow_ids.take(pa.array(who[c])), batch.column("node_id").take(pa.array(at[r])), pa.array(scores[r, c])],
+                    names=["query_id", "node_id", "score"],
+                )
+
+    wanted = nodes.filter(F.col("cell").isin([int(c) for c in asked]))
+    return _top(wanted.select("node_id", "embedding", "cell").mapInArrow(run, schema), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact top k that was found, per query."""
+    hit = exact.select("query_id", "node_id").join(
+        found.select("query_id", "node_id", F.lit(1).alias("_hit")), ["query_id", "node_id"], "left"
+    )
+    return hit.groupBy("query_id").agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
 # ---- sparse ----------------------------------------------------------------
 
 def sparse_search(

@@ -214,7 +214,7 @@ def capped_crawl_plan(spark, sf):
 @query("g3_visit_cap", sql("""
     WITH t AS (SELECT event_id AS task_no, 'https://site.example/' || (user_id * 31 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 7) AS url,
                       CAST(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS INTEGER) AS depth FROM events),
-    v AS (SELECT DISTINCT 'https://site.example/' || (user_id * 31) AS url FROM events WHERE user_id < 20),
+    v AS (SELECT DISTINCT 'https://site.example/' || (user_id * 31) AS url FROM events WHERE event_type = 'purchase'),
     f AS (SELECT url, min(task_no) AS first_no, min(depth) AS depth FROM t WHERE url NOT IN (SELECT url FROM v) GROUP BY url),
     r AS (SELECT url FROM f ORDER BY depth, url LIMIT (SELECT greatest(0, 200 - count(*)) FROM v))
     SELECT t.task_no, t.url, CASE WHEN f.url IS NULL OR f.first_no <> t.task_no THEN 'already_crawled'
@@ -226,7 +226,7 @@ def visit_cap(spark, sf):
     t = e.select(F.col("event_id").alias("task_no"),
                  F.concat(F.lit("https://site.example/"), F.col("user_id") * 31 + k).alias("url"),
                  F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2).alias("depth"))
-    v = e.filter("user_id < 20").select(F.concat(F.lit("https://site.example/"), F.col("user_id") * 31).alias("url"))
+    v = e.filter("event_type = 'purchase'").select(F.concat(F.lit("https://site.example/"), F.col("user_id") * 31).alias("url"))
     return linkgraph.visit_cap(t, v, 200).select("task_no", "url", "reason")
 
 

@@ -63,6 +63,19 @@ def dense_l2_grid(spark, sf):
     return _rounded(rt.dense_search_grid(_vectors(spark, sf), _centroids(spark, sf), 10, "L2", node_block=200, query_block=4))
 
 
+@query("v4_probed_recall", "SELECT DISTINCT label AS query_id, CAST(1.0 AS DOUBLE) AS all_cells, true AS some_bounded FROM embeddings")
+def probed_recall(spark, sf):
+    """Recall of the approximate search: all cells give 1, a quarter of them at most that."""
+    nodes, queries = _vectors(spark, sf), _centroids(spark, sf)
+    centres = rt.train_cells(nodes, 8)
+    cells = materialize(rt.assign_cells(nodes, centres), "cells")
+    exact = rt.dense_search(nodes, queries, 10)
+    full = rt.recall(rt.probed_search(cells, queries, centres, 10, 8), exact)
+    some = rt.recall(rt.probed_search(cells, queries, centres, 10, 2), exact)
+    return full.withColumnRenamed("recall", "all_cells").join(
+        some.select("query_id", F.col("recall").between(0.0, 1.0).alias("some_bounded")), "query_id")
+
+
 @query("p12_filtered_dense_search", f"""
     WITH {_VEC} SELECT query_id, node_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM cos

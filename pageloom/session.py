@@ -81,7 +81,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores on an input that has fewer splits than there are cores.
 
-    Only small inputs are moved; a large one has splits enough and stays as it is.
+    Only small inputs are moved; a large one has splits enough and stays as it
+    is. Meant for plain scans: asking for the splits plans the input.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()

@@ -52,6 +52,17 @@ def test_groups_have_their_own_top(vectors):
     assert got.count() == 18 and got.filter("count <> 2").isEmpty()
 
 
+def test_probed_search(vectors):
+    _, nodes, queries = vectors
+    centres = rt.train_cells(nodes, 5)
+    cells = rt.assign_cells(nodes, centres)
+    exact = rt.dense_search(nodes, queries, 8)
+    every = rt.probed_search(cells, queries, centres, 8, 5)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    some = rt.recall(rt.probed_search(cells, queries, centres, 8, 2), exact).collect()
+    assert len(some) == 6 and all(0 < r.recall <= 1 for r in some)
+
+
 def test_mmr(vectors):
     _, nodes, queries = vectors
     plain = rt.dense_search(nodes, queries, 5).select("query_id", "node_id", "rank")
