@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,16 +77,10 @@ def route(url: Column, mimetype: Column, content: Column, strategies=STRATEGIES)
     return F.coalesce(chosen, F.lit("unchanged"))
 
 
-def clean(records: DataFrame, strategies=STRATEGIES, out: str = "clean_content") -> DataFrame:
-    """Add the strategy taken and the cleaned content.
-
-    Strategies without an expression (PDF, office files) give NULL here; they
-    need a converter, see ``hooks.convert_documents``. Anything no strategy
-    handles stays as it is.
-    """
-    routed = records.withColumn(
-        "strategy", route(F.col("url"), F.col("mimetype"), F.col("content"), strategies)
-    )
+@lru_cache(maxsize=16)
+def _expressions(strategies: tuple[Strategy, ...], session_key: int) -> tuple[Column, Column]:
+    """(strategy, cleaned content); built once per session, as each micro-batch needs them."""
+    chosen = route(F.col("url"), F.col("mimetype"), F.col("content"), strategies)
     cleaned = F.when(F.col("strategy") == "unchanged", F.col("content"))
     names_by_cleaner: dict = {}
     for s in strategies:
@@ -93,4 +88,15 @@ def clean(records: DataFrame, strategies=STRATEGIES, out: str = "clean_content")
             names_by_cleaner.setdefault(s.clean, []).append(s.name)
     for cleaner, names in names_by_cleaner.items():
         cleaned = cleaned.when(F.col("strategy").isin(names), cleaner(F.col("content")))
-    return routed.withColumn(out, cleaned)
+    return chosen, cleaned
+
+
+def clean(records: DataFrame, strategies=STRATEGIES, out: str = "clean_content") -> DataFrame:
+    """Add the strategy taken and the cleaned content.
+
+    Strategies without an expression (PDF, office files) give NULL here; they
+    need a converter, see ``hooks.convert_documents``. Anything no strategy
+    handles stays as it is.
+    """
+    chosen, cleaned = _expressions(tuple(strategies), id(records.sparkSession.sparkContext._jsc))
+    return records.withColumn("strategy", chosen).withColumn(out, cleaned)

@@ -97,7 +97,7 @@ def current_members(spark: SparkSession, site: Site, before: int | None = None)
 
 
 def touched_state(spark: SparkSession, site: Site, batch: DataFrame, before: int):
-    """(documents, memberships) a batch can match, by its URLs and content hashes.
+    """(documents, memberships, their persisted ids) a batch can match by URL or hash.
 
     The keys of the batch go to the stored tables, not the other way round:
     two scans of narrow columns, and only matching rows are grouped.
@@ -112,7 +112,7 @@ def touched_state(spark: SparkSession, site: Site, batch: DataFrame, before: int
     )
     known = latest(ordered.only_keys(log, ids, "document_id"), ["document_id"]).drop("batch")
     members = ordered.only_keys(read_log(spark, site.at("members"), MEMBERS, before), ids, "document_id")
-    return known, members.select("site_id", "document_id", "created_at")
+    return known, members.select("site_id", "document_id", "created_at"), ids
 
 
 def current_nodes(spark: SparkSession, site: Site) -> DataFrame:
@@ -135,6 +135,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
     def apply(records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
         records = records.persist()
+        held = [records]
         try:
             routed = ds.precondition(records)
             write = lambda df, name: df.write.mode("overwrite").parquet(f"{site.at(name)}/batch={batch_id}")
@@ -145,7 +146,8 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             todo = ds.latest_per_url(
                 routed.filter("route = 'process'").withColumn("content_hash", ds.tx.content_hash(F.col("content")))
             )
-            known, members = touched_state(spark, site, todo, batch_id)
+            known, members, ids = touched_state(spark, site, todo, batch_id)
+            held.append(ids)
             changes = ds.settle_copies(
                 ds.classify(todo.select("url", "site_id", "content_hash", "ts"), known.drop("version"), members)
             )
@@ -166,6 +168,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
                 "url", "document_id", "operation", "prev_content_hash", "version"
             )
             full = cleaning.clean(todo.join(touched, "url"), strategies).persist()
+            held.append(full)
             first_seen = known.select("document_id", F.col("created_at").alias("_created"))
             write(
                 full.filter("operation IN ('new', 'edit')").join(first_seen, "document_id", "left").select(
@@ -189,9 +192,9 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
                 .dropDuplicates(["site_id", "content_hash"])
             )
             write(nodes.select("node_id", "doc_id", "site_id", "content_hash", "chunk_no", "text"), "nodes")
-            full.unpersist()
         finally:
-            records.unpersist()
+            for df in held:
+                df.unpersist()
 
     return apply
 
