@@ -45,3 +45,12 @@ def substring_dedup(spark, sf_dir):
 
     return m.substring_dedup(documents(spark, sf_dir), 35).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op4_suffix_dedup")
+def suffix_dedup(spark, sf_dir):
+    from . import suffix_dedup as m
+
+    return m.suffix_dedup(documents(spark, sf_dir), 50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"))
