@@ -54,3 +54,10 @@ def suffix_dedup(spark, sf_dir):
     return m.suffix_dedup(documents(spark, sf_dir), 50).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op1_ngram_jaccard")
+def ngram_jaccard(spark, sf_dir):
+    from . import ngram_jaccard as m
+
+    return m.ngram_jaccard(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id", "class_id")
