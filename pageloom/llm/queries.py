@@ -61,3 +61,13 @@ def ngram_jaccard(spark, sf_dir):
     from . import ngram_jaccard as m
 
     return m.ngram_jaccard(documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query("op3_packing")
+def packing(spark, sf_dir):
+    import public_tokenizers
+
+    from . import packing as m
+
+    return m.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, 1).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
