@@ -71,3 +71,11 @@ def packing(spark, sf_dir):
 
     return m.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048, 1).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op7_quality_rules")
+def quality_rules(spark, sf_dir):
+    from . import quality_rules as m
+
+    return m.quality_rules(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
