@@ -79,3 +79,18 @@ def quality_rules(spark, sf_dir):
 
     return m.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_va_search", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(
+      CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s)
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM r WHERE r <= 5""")
+def va_search(spark, sf_dir):
+    from . import va_search as m
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return m.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
