@@ -94,3 +94,13 @@ def va_search(spark, sf_dir):
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return m.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+@query("op2_piece_encoding")
+def piece_encoding(spark, sf_dir):
+    import public_tokenizers
+
+    from . import piece_model as m
+
+    return m.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).select(
+        "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", "restored")

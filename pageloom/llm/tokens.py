@@ -52,8 +52,14 @@ class WordIds:
     def of(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
         starts, ends, words = g.word_spans(data, at)
+        which, ids, count = self.of_spans(data, starts, ends)
+        sums = np.concatenate([[0], np.cumsum(count)])
+        return ids, np.diff(sums[words])
+
+    def of_spans(self, data, starts, ends) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of spans of bytes that are not empty: where each is kept, all ids, their number."""
         if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(at) - 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         codes = g.word_codes(data, starts, ends)
         distinct, example, which = np.unique(codes, return_index=True, return_inverse=True)
         unknown = np.flatnonzero(~np.isin(distinct, self.codes, assume_unique=True))
@@ -66,8 +72,7 @@ class WordIds:
             self._learn([body[a:b].decode() for a, b in zip(starts[e].tolist(), ends[e].tolist())], distinct[unknown])
         found = np.searchsorted(self.codes, distinct)
         first, count = self.first[found][which], self.count[found][which]
-        sums = np.concatenate([[0], np.cumsum(count)])
-        return self.ids[g.ranges(first, count)], np.diff(sums[words])
+        return found[which], self.ids[g.ranges(first, count)], count
 
 
 _OPEN: dict[str, WordIds] = {}
