@@ -104,3 +104,11 @@ def piece_encoding(spark, sf_dir):
 
     return m.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")).select(
         "doc_id", "n_ids", F.crc32("ids").alias("ids_crc32"), "parity", "restored")
+
+
+@query("op10_secret_scan")
+def secret_scan(spark, sf_dir):
+    from . import secret_scan as m
+
+    return m.secret_scan(documents(spark, sf_dir)).select(
+        "doc_id", "position", "nth", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
