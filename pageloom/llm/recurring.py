@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 #: keys that a task gathers before it sends them on
 GATHERED = 1 << 20
 
-_SENT = "part long, owner long, keys binary, owners binary, extras binary, many binary"
+_SENT = "part long, owner long, keys binary, extras binary, count long, body binary"
+ZSTD = pa.Codec("zstd", compression_level=1)
 _ANSWER = "owner long, keys binary, extras binary"
 
 
@@ -30,15 +31,23 @@ def parts_for(df: DataFrame, per_part: int = 4 << 20) -> int:
     return int(min(max(64, size // per_part), 1 << 20))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers as differences, byte by byte: leading zeros compress to nothing."""
-    steps = np.diff(values, prepend=values.dtype.type(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+def squeeze(body: bytes) -> bytes:
+    return ZSTD.compress(body, asbytes=True)
 
 
-def _numbers(body: bytes, kind=np.uint64) -> np.ndarray:
-    flat = np.frombuffer(body, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(flat.T).view(kind).ravel(), dtype=kind)
+def expand(body: bytes, size: int) -> bytes:
+    return ZSTD.decompress(body, size, asbytes=True)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte numbers, compressed byte plane by byte plane (leading zeros cost nothing)."""
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T) for x in arrays]
+    return squeeze(np.concatenate(planes).tobytes())
+
+
+def unpacked(body: bytes, count: int, arrays: int) -> list[np.ndarray]:
+    flat = np.frombuffer(expand(body, arrays * 8 * count), np.uint8).reshape(arrays, 8, count)
+    return [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in flat]
 
 
 def read_keys(body: bytes) -> np.ndarray:
@@ -54,7 +63,7 @@ class _Rows:
             column.append(values.get(name))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = {"part": pa.int64(), "owner": pa.int64()}
+        kinds = {"part": pa.int64(), "owner": pa.int64(), "count": pa.int64()}
         return pa.RecordBatch.from_arrays(
             [pa.array(v, kinds.get(n, pa.binary())) for n, v in self.columns.items()], names=list(self.columns))
 
@@ -84,8 +93,8 @@ def _send(keys, owners, extras, ranks, parts: int, distinct: bool) -> pa.RecordB
     for p in np.flatnonzero(cut[1:] > cut[:-1]):
         i, j = cut[p], cut[p + 1]
         at = begin[i:j]
-        rows.add(part=int(p), keys=_planes(sent[i:j]), owners=_planes(owners[at].view(np.uint64)),
-                 extras=_planes(extras[at]), many=np.packbits(many[i:j]).tobytes())
+        rows.add(part=int(p), count=int(j - i), body=packed(
+            np.diff(sent[i:j], prepend=np.uint64(0)), owners[at].view(np.uint64), extras[at], many[i:j].astype(np.uint64)))
     return rows.batch()
 
 
@@ -99,13 +108,10 @@ def _answer(parts: int):
         told = table.filter(pa.compute.is_null(table.column("owner")))
         out_owner, out_keys, out_extras = [], [], []
         if told.num_rows:
-            lots = [told.column(c).to_pylist() for c in ("keys", "owners", "extras", "many")]
-            keys = [_numbers(b) for b in lots[0]]
-            many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool)
-                                   for b, k in zip(lots[3], keys)])
-            keys = np.concatenate(keys)
-            owners = np.concatenate([_numbers(b) for b in lots[1]]).view(np.int64)
-            extras = np.concatenate([_numbers(b) for b in lots[2]])
+            lots = [unpacked(b, n, 4) for b, n in zip(told.column("body").to_pylist(), told.column("count").to_pylist())]
+            keys = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in lots])
+            owners, extras, many = (np.concatenate([x[c] for x in lots]) for c in (1, 2, 3))
+            owners, many = owners.view(np.int64), many.astype(bool)
             order = np.argsort(keys, kind="stable")
             keys, owners, extras, many = keys[order], owners[order], extras[order], many[order]
             same = keys[1:] == keys[:-1]

@@ -33,8 +33,32 @@ _OUT = "doc_id long, kept string, n_words long, n_removed long, spans array<stru
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text and ``k``, a hash of both that stands for the row."""
-    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    """doc_id, text and ``k``, the number under which a row is dealt.
+
+    That is its doc_id, which compresses well; rows without one get a hash of
+    their text, so they do not meet in one place. ``tags`` tell rows of one
+    number but different texts apart.
+    """
+    return documents.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("k"))
+
+
+def tags(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of each text, in the upper half of 64."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    filled = at[:-1] < at[1:]
+    if filled.any():
+        size = np.diff(at)
+        up, _ = g._KEPT.to(int(size.max()))
+        codes = g.BYTE_CODE[data] * up[g.ranges(np.zeros(len(size)), size)]
+        out[filled] = np.add.reduceat(codes, at[:-1][filled])
+    return g.mix(out) & np.uint64(0xFFFFFFFF00000000)
+
+
+def own_places(lists, tag: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Places told to a row's number that are meant for its text, and which they are."""
+    told = held_keys(lists)
+    mine = (told & np.uint64(0xFFFFFFFF00000000)) == tag
+    return (told[mine] & np.uint64(0xFFFFFFFF)).astype(np.int64), mine
 
 
 def held_keys(lists) -> np.ndarray:
@@ -98,7 +122,8 @@ def _window_keys(length: int, seed: int):
             text, begin, count = text[hit], begin[hit], count[hit]
             where = g.ranges(begin, count)
             text = np.repeat(text, count)
-            yield (g.windows(codes, length)[where], rows[i:j][text], (where - first[text]).astype(np.uint64),
+            tag = tags(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            yield (g.windows(codes, length)[where], rows[i:j][text], (where - first[text]).astype(np.uint64) | tag[text],
                    np.zeros(len(where), np.int64))
 
     return keys_of
@@ -129,7 +154,9 @@ def _cut(length: int):
                 lists = batch.column("extras")[r].as_py()
                 spans, gone = [], 0
                 if lists:
-                    mask = covered(held_keys(lists).astype(np.int64), length, len(words))
+                    body = np.frombuffer(text.encode(), np.uint8)
+                    places, _ = own_places(lists, tags(body, np.array([0, len(body)]))[0])
+                    mask = covered(places, length, len(words))
                     first, end = runs(mask)
                     spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(first, end)]
                     gone = int(mask.sum())

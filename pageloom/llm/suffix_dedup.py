@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams as g
-from .recurring import by_owner, parts_for, recurring
-from .substring_dedup import held_keys, held_of, is_held, keyed, runs
+from .recurring import by_owner, expand, packed, parts_for, recurring, squeeze, unpacked
+from .substring_dedup import held_keys, held_of, is_held, keyed, own_places, runs, tags
 
 #: bytes of contexts sorted at once
 LOT = 1 << 21
@@ -35,8 +35,7 @@ LOT = 1 << 21
 END = 255
 NOBODY = np.int64(np.iinfo(np.int64).max)
 
-_SENT = ("part long, owner long, starts binary, counts binary, texts binary, lengths binary, "
-         "docs binary, owners binary, anchors binary")
+_SENT = "part long, owner long, starts binary, counts binary, texts binary, size long, count long, body binary"
 _MARKS = "owner long, keys binary, extras binary"
 _OUT = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<first:long,last:long>>"
 
@@ -93,10 +92,10 @@ def _contexts(length: int, seed: int, parts: int):
         cut = np.searchsorted(part, np.arange(parts + 1))
         for p in np.flatnonzero(cut[1:] > cut[:-1]):
             mine = left[cut[p] : cut[p + 1]]
-            row(part=int(p), texts=bodies[g.ranges(first[mine], sizes[mine])].tobytes(),
-                lengths=sizes[mine].astype(np.int32).tobytes(), starts=begin[mine].tobytes(),
-                docs=docs[mine].tobytes(), owners=owners[mine].tobytes(), anchors=anchor[mine].tobytes())
-        kinds = [pa.int64() if n in ("part", "owner") else pa.binary() for n in out]
+            row(part=int(p), size=int(sizes[mine].sum()), count=len(mine),
+                texts=squeeze(bodies[g.ranges(first[mine], sizes[mine])].tobytes()),
+                body=packed(*(x[mine].view(np.uint64) for x in (sizes, begin, docs, owners, anchor))))
+        kinds = [pa.int64() if n in ("part", "owner", "size", "count") else pa.binary() for n in out]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     def run(batches):
@@ -121,7 +120,7 @@ def _contexts(length: int, seed: int, parts: int):
                 codes = g.mix((sums[begin + sizes] - sums[begin]) * down[begin]) ^ g.mix(
                     ((place - begin) << 20 | count).astype(np.uint64))
                 lots.append((body[g.ranges(begin, sizes)], sizes, ids[i:j][text], rows[i:j][text],
-                             begin - first[text], count, seeds[place], codes))
+                             begin - first[text] | tags(body, first)[text].view(np.int64), count, seeds[place], codes))
                 size += int(sizes.sum())
                 if size >= 16 * LOT:
                     yield send(lots)
@@ -197,21 +196,31 @@ def classes(text: np.ndarray, length: int) -> np.ndarray:
     return number[place]
 
 
-def _decide(texts, lengths, docs, length: int) -> list[np.ndarray]:
+def _decide(texts, lengths, docs, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each context which of its strings also start in a smaller document."""
     first = np.cumsum(lengths) - lengths
-    sizes = lengths + 1
-    begin = np.cumsum(sizes) - sizes
-    joined = np.full(int(sizes.sum()), END, np.uint8)
-    joined[g.ranges(begin, lengths)] = texts[g.ranges(first, lengths)]
+    # equal contexts are sorted once, for their smallest document
+    symbols = g.BYTE_CODE[texts]
+    up, down = g._KEPT.to(len(symbols))
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up, out=sums[1:])
+    code = g.mix((sums[first + lengths] - sums[first]) * down[first]) ^ lengths.astype(np.uint64)
+    _, one, which = np.unique(code, return_index=True, return_inverse=True)
+    smallest = np.full(len(one), NOBODY)
+    np.minimum.at(smallest, which, docs)
+    size = lengths[one]
+    begin = np.cumsum(size + 1) - size - 1
+    joined = np.full(int(size.sum()) + len(one), END, np.uint8)
+    joined[g.ranges(begin, size)] = texts[g.ranges(first[one], size)]
     number = classes(joined, length)
-    counts = lengths - length + 1
-    where = g.ranges(begin, counts)
-    owner = np.repeat(np.arange(len(lengths)), counts)
+    strings = size - length + 1
+    where = number[g.ranges(begin, strings)]
     least = np.full(int(number.max()) + 1, NOBODY)
-    np.minimum.at(least, number[where], docs[owner])
-    gone = least[number[where]] < docs[owner]
-    return gone, counts
+    np.minimum.at(least, where, np.repeat(smallest, strings))
+    least = least[where]  # by string of the distinct contexts
+    counts = lengths - length + 1
+    mine = g.ranges((np.cumsum(strings) - strings)[which], counts)
+    return least[mine] < np.repeat(docs, counts), counts
 
 
 def _marks(length: int):
@@ -220,12 +229,12 @@ def _marks(length: int):
         told = table.filter(pa.compute.is_null(table.column("owner")))
         known = table.filter(pa.compute.is_valid(table.column("owner"))).select(["owner", "starts", "counts"])
         if told.num_rows:
-            def column(name, kind):
-                return np.concatenate([np.frombuffer(b, kind) for b in told.column(name).to_pylist()])
-
-            texts, lengths = column("texts", np.uint8), column("lengths", np.int32).astype(np.int64)
-            docs, owners = column("docs", np.int64), column("owners", np.int64)
-            begin, anchor = column("starts", np.int64), column("anchors", np.uint64)
+            sizes, counts = told.column("size").to_pylist(), told.column("count").to_pylist()
+            texts = np.concatenate([np.frombuffer(expand(b, n), np.uint8)
+                                    for b, n in zip(told.column("texts").to_pylist(), sizes)])
+            lots = [unpacked(b, n, 5) for b, n in zip(told.column("body").to_pylist(), counts)]
+            lengths, begin, docs, owners, anchor = (np.concatenate([x[c] for x in lots]) for c in range(5))
+            lengths, begin, docs, owners = (x.view(np.int64) for x in (lengths, begin, docs, owners))
             first = np.cumsum(lengths) - lengths
             order = np.argsort(anchor, kind="stable")
             new = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
@@ -271,8 +280,8 @@ def _cut(length: int):
                 starts = batch.column("keys")[r].as_py()
                 spans, gone = [], 0
                 if starts:
-                    s = held_keys(starts).astype(np.int64)
-                    c = held_keys(batch.column("extras")[r].as_py()).astype(np.int64)
+                    s, mine = own_places(starts, tags(np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0])
+                    c = held_keys(batch.column("extras")[r].as_py()).astype(np.int64)[mine]
                     edge = np.zeros(len(body) + 1, np.int64)
                     np.add.at(edge, s, 1)
                     np.add.at(edge, s + c + length - 1, -1)
