@@ -112,3 +112,14 @@ def secret_scan(spark, sf_dir):
 
     return m.secret_scan(documents(spark, sf_dir)).select(
         "doc_id", "position", "nth", "length", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
+@query("op9_toxicity")
+def toxicity(spark, sf_dir):
+    from . import toxicity as m
+
+    docs = documents(spark, sf_dir)
+    model = m.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return m.score(docs, model).select(
+        "doc_id", m.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
