@@ -123,3 +123,11 @@ def toxicity(spark, sf_dir):
     return m.score(docs, model).select(
         "doc_id", m.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+@query("op6_line_dedup")
+def line_dedup(spark, sf_dir):
+    from . import line_templates as m
+
+    return m.line_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "lines_total", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
