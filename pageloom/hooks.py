@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -100,18 +101,13 @@ def process_tasks(df: DataFrame, processor: Callable[[dict], dict], result: str)
 def register_page_links(spark: SparkSession, name: str = "page_links") -> None:
     """``name(html)`` as a SQL table function: (pos, href) of a page.
 
-    A SQL function is inlined into the query plan, so it runs in the JVM.
+    A SQL function is inlined into the query plan, so it runs in the JVM. Its
+    body is the SQL text of ``html.hrefs``, so both give the same links.
     """
-    attr = h.HREF.replace("\\", "\\\\").replace("'", "\\'")
-    comments = r"(?s)<!--.*?(?:-->|\\z)"
-    raw = r"(?is)<(?:script)\\b[^>]*+>.*?(?:</script\\s*>|\\z)"
+    # operators are printed like functions; their names need quotes then
+    links = re.sub(r"(?<![\w`])(=|and|or|!)\(", r"`\1`(", h.hrefs(F.col("page"))._jc.node().sql())
     spark.sql(
         f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(page STRING)
         RETURNS TABLE (pos INT, href STRING)
-        RETURN SELECT pos, href FROM (
-          SELECT posexplode(filter(
-            transform(
-              regexp_extract_all(regexp_replace(regexp_replace(page, '{raw}', ''), '{comments}', ''), '{attr}', 1),
-              x -> regexp_replace(x, '^["\\']|["\\']$', '')),
-            x -> x <> '' AND NOT startswith(x, 'javascript:'))) AS (pos, href)) t"""
+        RETURN SELECT pos, href FROM (SELECT posexplode({links}) AS (pos, href)) t"""
     )

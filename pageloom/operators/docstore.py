@@ -7,6 +7,9 @@ smallest URL comes first; the others then find that document by its hash.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,11 @@ def latest_per_url(incoming: DataFrame, order: str = "ts") -> DataFrame:
     """The last record per URL. Only the narrow keys are grouped."""
     tie = [c for c in ("content_hash", "site_id") if c in incoming.columns]
     last = incoming.groupBy("url").agg(F.max(F.struct(order, *tie)).alias("_last"))
-    keyed = last.select("url", *[F.col("_last")[c].alias(c) for c in (order, *tie)])
-    return incoming.join(keyed, ["url", order, *tie], "left_semi").dropDuplicates(["url"])
+    names = ("url", order, *tie)
+    keyed = last.select(F.col("url").alias("_of_url"), *[F.col("_last")[c].alias(f"_of_{c}") for c in (order, *tie)])
+    # a record with a NULL among these is still the last one of its URL
+    same = reduce(and_, [incoming[c].eqNullSafe(keyed[f"_of_{c}"]) for c in names])
+    return incoming.join(keyed, same, "left_semi").dropDuplicates(["url"])
 
 
 def newest_per_hash(docs: DataFrame, keep: str = "document_id") -> DataFrame:

@@ -41,6 +41,11 @@ def _occurs(text: Column, term: Column, whole_word: bool) -> Column:
     return found & F.rlike(text, F.concat(F.lit(rf"(?<!{edge})\Q"), term, F.lit(rf"\E(?!{edge})")))
 
 
+def _terms(glossary: DataFrame) -> DataFrame:
+    """Rows that have a term: an empty or missing one occurs nowhere."""
+    return glossary.filter(F.col("term") != "")
+
+
 def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False) -> DataFrame:
     """(key, term, …) for every term that occurs in a message, ignoring case.
 
@@ -48,10 +53,12 @@ def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str
     array. A larger one is joined on the first characters of the term, which
     must occur in the message as well, so no match is lost.
     """
+    glossary = _terms(glossary)
     rows = ordered.bounded_rows(glossary, SMALL_GLOSSARY)
     if rows is not None:
         if not rows:
-            return messages.select(*key).limit(0).withColumn("term", F.lit(""))
+            types = {c: t for c, t in glossary.dtypes if c not in key}
+            return messages.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in types.items()]).limit(0)
         columns = glossary.columns
         # one JSON literal: Spark folds it into a constant when it plans
         fields = ",".join(f"{c}:{glossary.schema[c].dataType.simpleString()}" for c in columns)
@@ -71,7 +78,7 @@ def matches_by_prefix(messages: DataFrame, glossary: DataFrame, key: list[str],
     All terms are keyed by their first ``n`` characters, where ``n`` is the
     length of the shortest term, so one set of grams per message is enough.
     """
-    terms = glossary.filter(F.col("term") != "")
+    terms = _terms(glossary)
     shortest = terms.agg(F.min(F.length("term"))).first()[0]
     n = min(LONGEST_GRAM, shortest or 1)
 

@@ -4,18 +4,28 @@ A plain window hands all rows of a key to one task. Here a key is cut into
 buckets that follow the order (an hour, a run of ids). The window runs inside
 a bucket, one summary row per bucket is carried over to the next one, and both
 are put together by a join on the bucket, which keeps the partitioning of the
-window. The result equals that of the plain window.
+window. The result equals that of the plain window; NULL keys are a key and
+NULL orders come first, as they do there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def _carry(rows: DataFrame, carried: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Join the carried rows on ``names``; NULL equals NULL."""
+    there = carried.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = reduce(and_, [rows[n].eqNullSafe(there[f"_of_{n}"]) for n in names])
+    return rows.join(there, same)
+
+
 def with_previous(
     df: DataFrame, key: Sequence[str], order: Sequence[str], bucket: Column, columns: dict[str, str]
 ) -> DataFrame:
@@ -38,7 +48,7 @@ def with_previous(
         "_before", F.lag("_tail").over(W.partitionBy(*key).orderBy("_bucket"))
     ).drop("_tail")
     return (
-        local.join(carried, [*key, "_bucket"])
+        _carry(local, carried, [*key, "_bucket"])
         .withColumns(
             {
                 out: F.when(F.col("_at") == 1, F.col("_before")[out]).otherwise(
@@ -66,8 +76,7 @@ def with_running_sum(
         "_before", F.coalesce(F.sum("_total").over(before), F.lit(0))
     ).drop("_total")
     return (
-        rows.withColumn("_run", F.sum("_value").over(inside))
-        .join(carried, [*key, "_bucket"])
+        _carry(rows.withColumn("_run", F.sum("_value").over(inside)), carried, [*key, "_bucket"])
         .withColumn(out, F.col("_run") + F.col("_before"))
         .select(*df.columns, out)
     )

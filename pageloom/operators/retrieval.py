@@ -8,6 +8,7 @@ table of queries and nodes is ever written or shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -223,7 +224,8 @@ def train_cells(nodes: DataFrame, n_cells: int, seed: int = 7) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = nodes.select(array_to_vector("embedding").alias("features"))
+    # a vector of zeros has no direction; it belongs to any cell
+    points = nodes.filter(F.exists("embedding", lambda x: x != 0)).select(array_to_vector("embedding").alias("features"))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.asarray(model.clusterCenters(), dtype=np.float64)
 
@@ -246,10 +248,16 @@ def probed_search(
 
     Approximate: ``probes`` trades time for recall, and all cells give the
     exact result. Only probed cells are read. More queries than ``block`` are
-    answered exactly by ``dense_search``.
+    cut into blocks by a hash of their id, each of which probes.
     """
     rows = ordered.bounded_rows(queries.select("query_id", "embedding"), block)
     if rows is None:
+        parts = -(-2 * queries.count() // block)
+        return reduce(DataFrame.unionByName, [
+            probed_search(nodes, queries.filter(F.pmod(F.xxhash64("query_id", F.lit(parts)), F.lit(parts)) == i),
+                          centres, k, probes, block)
+            for i in range(parts)])
+    if not rows:
         return dense_search(nodes, queries, k)
     matrix = _matrix([r.embedding for r in rows])
     near = np.argsort(-_scores(matrix, centres, "COSINE"), axis=1, kind="stable")[:, :probes]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -89,14 +92,18 @@ def filtered_dense_search(spark, sf):
 @query("j10_similarity_pairs", f"""
     WITH {_VEC} SELECT query_id, label, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM cos GROUP BY ALL""")
 def similarity_pairs(spark, sf):
-    """Every query against every node: the queries are one array of ten centroids."""
-    from ..operators.ordered import bounded_rows
-
-    rows = bounded_rows(_centroids(spark, sf), 1000)
-    batch = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.embedding).alias("qv")) for r in rows])
-    scored = _vectors(spark, sf).select(
-        "label", F.inline(F.transform(batch, lambda q: F.struct(
-            q["query_id"].alias("query_id"), vectors.cosine(q["qv"], F.col("embedding")).alias("score")))))
+    """Every query against every node: a block of queries at a time is one array."""
+    queries = _centroids(spark, sf)
+    blocks = -(-queries.count() // 500) or 1
+    parts = []
+    for i in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        if rows:
+            batch = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.embedding).alias("qv")) for r in rows])
+            parts.append(_vectors(spark, sf).select(
+                "label", F.inline(F.transform(batch, lambda q: F.struct(
+                    q["query_id"].alias("query_id"), vectors.cosine(q["qv"], F.col("embedding")).alias("score"))))))
+    scored = reduce(DataFrame.unionByName, parts)
     out = scored.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"))
     return _rounded(out, "best", "mean")
 

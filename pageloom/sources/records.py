@@ -123,12 +123,12 @@ def _locations(body: Column, element: str) -> Column:
     return F.filter(F.transform(found, lambda x: tx.unescape(x)), lambda x: x != "")
 
 
-def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50) -> DataFrame:
+def sitemap_urls(sitemaps: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, page_url) reached from the root sitemaps through index files.
 
     ``sitemaps`` holds (url, body), ``roots`` (url). Each round follows one
     level of indexes; (root, sitemap) pairs seen before are not followed again,
-    so a loop of indexes ends.
+    so a loop of indexes ends, and chains are followed to their end.
     """
     bodies = sitemaps.select(
         "url", _locations(F.col("body"), "url").alias("pages"), _locations(F.col("body"), "sitemap").alias("children")
@@ -136,7 +136,7 @@ def sitemap_urls(sitemaps: DataFrame, roots: DataFrame, max_levels: int = 50) ->
     bodies = materialize(bodies)
     frontier = roots.select(F.col("url").alias("root"), "url").distinct()
     seen = frontier
-    for _ in range(max_levels):
+    while True:
         children = (
             frontier.join(bodies.select("url", "children"), "url")
             .select("root", F.explode("children").alias("url")).distinct()

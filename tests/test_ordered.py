@@ -80,3 +80,49 @@ def test_task_states(spark):
     ev += [("q", "c", e, 0) for e in ("enqueue", "complete")]
     got = {r.task_id: (r.status, r.retry_count) for r in qu.task_states(events(spark, *ev)).collect()}
     assert got == {"a": ("completed", 0), "b": ("failed", 1), "c": ("pending", 0)}
+
+
+def test_null_keys_and_times_stay(spark):
+    data = [("a", 1, 1, "x"), (None, 5, 2, "y"), (None, 9, 3, "z"), ("a", None, 4, "w"), ("a", 77, 5, None), (None, None, 6, "v")]
+    df = spark.createDataFrame(data, "k string, t int, seq int, v string")
+    w = W.partitionBy("k").orderBy("t", "seq")
+    bucket = F.floor(F.col("t") / 10)
+    prev = ordered.with_previous(df, ["k"], ["t", "seq"], bucket, {"p": "v"})
+    assert sorted(map(repr, pairs(prev, "seq", "p"))) == sorted(map(repr, pairs(df.withColumn("p", F.lag("v").over(w)), "seq", "p")))
+    num = ordered.with_row_number(df, ["k"], ["t", "seq"], bucket, "n")
+    assert pairs(num, "seq", "n") == pairs(df.withColumn("n", F.row_number().over(w)), "seq", "n")
+
+
+def test_last_record_of_a_url_with_nulls(spark):
+    from pageloom.operators import docstore
+
+    data = [("u", None, None, "s"), ("v", 1, "h", None), ("v", None, "g", "s"), (None, 2, "h", "s")]
+    df = spark.createDataFrame(data, "url string, ts int, content_hash string, site_id string")
+    got = docstore.latest_per_url(df).select("url", "ts", "content_hash").collect()
+    assert {tuple(r) for r in got} == {("u", None, None), ("v", 1, "h"), (None, 2, "h")}
+
+
+def test_glossary_rule_is_the_same_on_both_paths(spark, monkeypatch):
+    from pageloom.operators import glossary
+
+    terms = spark.createDataFrame(
+        [("AI", "a", "b", "c"), ("", "x", "x", "x"), (None, "y", "y", "y"), ("e", "l", "m", None)],
+        "term string, full_name string, translation string, remarks string")
+    said = spark.createDataFrame([(1, "an ai here"), (2, "none"), (3, "")], "id int, text string")
+    small = sorted(map(tuple, glossary.matches(said, terms, ["id"]).collect()))
+    monkeypatch.setattr(glossary, "SMALL_GLOSSARY", 0)
+    assert sorted(map(tuple, glossary.matches(said, terms, ["id"]).collect())) == small
+    assert [r[:2] for r in small] == [(1, "AI"), (1, "e"), (2, "e")]
+    empty = glossary.matches(said, terms.filter("term = ''"), ["id"])
+    assert empty.count() == 0 and glossary.hints(empty, ["id"]).count() == 0
+
+
+def test_sitemap_chains_are_followed_to_their_end(spark):
+    from pageloom.sources import records
+
+    def index(i):
+        return f"<sitemapindex><sitemap><loc>s{i + 1}</loc></sitemap></sitemapindex>"
+
+    maps = [(f"s{i}", index(i)) for i in range(54)] + [("s54", "<urlset><url><loc>page</loc></url></urlset>")]
+    got = records.sitemap_urls(spark.createDataFrame(maps, "url string, body string"), spark.createDataFrame([("s0",)], "url string"))
+    assert [tuple(r) for r in got.collect()] == [("s0", "page")]

@@ -59,3 +59,24 @@ def test_routing(one):
     assert route("http://a/x", "text/html;charset=x", "") == "markdown"
     assert route("http://a/x", "text/plain", "") == "plain"
     assert route("http://a/x", "text/csv", "") == "unchanged"
+
+
+HIDDEN = """x<!-- <script> --><p>seen <a href='/a?x=1&amp;b=2'>t</a></p><style><a href='/no'></style>
+<script>var c = "<!--";</script><a href=/z>end</a>"""
+
+
+def test_a_tag_in_a_comment_opens_nothing(one):
+    assert one(h.page_text(T), t=HIDDEN).split("\n")[-3:] == ["seen", "t", "end"]
+    assert one(h.hrefs(T), t=HIDDEN) == ["/a?x=1&b=2", "/z"]
+    assert one(h.page_markdown(T), t=HIDDEN).endswith("seen [t](/a?x=1&b=2)\nend")
+
+
+def test_table_function_gives_the_same_links(spark, one):
+    from pageloom import hooks
+
+    hooks.register_page_links(spark)
+    pages = spark.createDataFrame([(HIDDEN,), (PAGE,)], "html string")
+    pages.createOrReplaceTempView("hidden_pages")
+    got = spark.sql("SELECT href FROM hidden_pages, LATERAL page_links(html)").collect()
+    want = one(h.hrefs(T), t=HIDDEN) + one(h.hrefs(T), t=PAGE)
+    assert sorted(r.href for r in got) == sorted(want)
