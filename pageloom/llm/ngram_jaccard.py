@@ -5,10 +5,10 @@ n-grams; two documents link when 100 * overlap >= percent * union. Documents
 with the same set are one row (its node is a hash of the set).
 
 * Bounds. The n-grams of a row are ordered, frequent ones last, and cut: of n
-  of them only the first n - ceil(n * percent / 100) + DEPTH enter the product.
-  A pair that links shares at least min(DEPTH, ...) of those columns, and their
-  sizes differ by no more than the percentage, so pairs below either bound are
-  discarded before any set is read.
+  of them only the first n - ceil(n * percent / 100) + depth enter the product,
+  where depth grows with n. A pair that links shares at least the smaller depth
+  of those columns, and their sizes differ by no more than the percentage, so
+  rows and pairs below these bounds are discarded before any set is read.
 * Blocks. Columns of one row alone are found by ranges of columns
   (``recurring``) and dropped; what is left is a small sparse matrix.
 * Rounds. Rows of a dense column are first compared with a few rows of the
@@ -34,14 +34,19 @@ from . import grams as g
 from .components import components
 from .recurring import parts_for, recurring
 
-#: columns that a pair must share within the cut
-DEPTH = 4
+#: columns that a pair must share within the cut: one for STEP of a row, DEPTH at most
+DEPTH = 10
+STEP = 16
 #: an n-gram is frequent if one lot of documents holds it so often
 OFTEN = 6
 #: frequent n-grams that are ordered last; further ones are ordered like others
 MOST_FREQUENT = 1 << 20
 #: rounds that try some rows of the largest component before the complete one
 TRIES = 3
+#: rows of a column's largest component that are tried, and pairs of a row
+SEEDS, TRIED = 6, 10
+#: pairs that are sent to the tasks that hold the texts; more are joined by shuffles
+SENT_PAIRS = 500_000
 
 _SKETCH = "k long, doc_id long, node long, n long, gram long, count long"
 
@@ -121,6 +126,15 @@ def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def _depth(n: np.ndarray) -> np.ndarray:
+    """Columns a row must share within its cut; never more than it must share at all."""
+    return np.clip(n // STEP, 1, DEPTH)
+
+
+def _depth_of(n: str):
+    return F.greatest(F.lit(1), F.least(F.lit(DEPTH), F.floor(F.col(n) / STEP)))
+
+
 def _cut_keys(size: int, percent: int, frequent):
     """The columns within the cut of each row; extras: size of the set and rank of the column."""
 
@@ -141,7 +155,7 @@ def _cut_keys(size: int, percent: int, frequent):
             grams, text = grams[order], text[order]
             rank = np.arange(len(grams)) - (np.cumsum(n) - n)[text]
             least = _least_overlap(n, percent)
-            within = rank < (n - least + np.minimum(DEPTH, least))[text]
+            within = rank < (n - least + np.minimum(_depth(n), least))[text]
             grams, text, rank = grams[within], text[within], rank[within]
             yield grams, node[text], (n[text] << 32 | rank).astype(np.uint64), node[text]
 
@@ -165,6 +179,12 @@ def _postings(answers: DataFrame) -> DataFrame:
     return answers.mapInArrow(run, "gram long, node long, n long, rank long").distinct()
 
 
+def _able(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings of rows that share enough columns to link with the smallest row they may link with."""
+    rows = postings.groupBy("node").agg(F.count("*").alias("c"), F.ceil(F.min("n") * percent / 100).alias("n"))
+    return postings.join(rows.filter(F.col("c") >= _depth_of("n")).select("node"), "node", "left_semi")
+
+
 def _verify(size: int, percent: int):
     def sets(column, i, j):
         data, at = g.texts(column.slice(i, j - i))
@@ -201,8 +221,8 @@ def _tries(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     # without regard to size a row would mostly meet rows that are far longer or shorter
     column = ["gram", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")]
     p = postings.select(*column, "node", "n", "component")
-    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * 8 + s)).alias("h"), "node", "n")).alias(f"s{s}")
-             for s in range(2 if round_ else 1)]
+    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * SEEDS + s)).alias("h"), "node", "n")).alias(f"s{s}")
+             for s in range(SEEDS if round_ else 1)]
     part = p.groupBy("gram", "band", "component").agg(F.count("*").alias("c"), *seeds)
     main = part.groupBy("gram", "band").agg(
         F.max(F.struct("c", F.col("component").alias("main"), *[f"s{s}" for s in range(len(seeds))])).alias("m"),
@@ -210,9 +230,12 @@ def _tries(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     tried = p.join(main, ["gram", "band"]).filter("component <> m.main").select(
         "node", "n", F.explode(F.array(*[f"m.s{s}" for s in range(len(seeds))])).alias("s"))
     pairs = tried.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s.node").alias("b"), F.col("s.n").alias("n_b"))
-    pairs = pairs.filter("a <> b").filter(_alike(percent)).groupBy("a", "b").agg(F.count("*").alias("c"))
+    # a row is tried with those it shares most columns with, in as far as these were chosen
+    pairs = pairs.filter("a <> b").filter(_alike(percent)).groupBy("a", "b").agg(
+        F.count("*").alias("c"), F.least(F.min(_depth_of("n_a")), F.min(_depth_of("n_b"))).alias("depth"))
     few = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-    return pairs.withColumn("r", F.row_number().over(few)).filter("r <= 4").select("a", "b")
+    pairs = pairs.filter((F.col("c") >= 2) | (F.col("depth") < 2))
+    return pairs.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= TRIED).select("a", "b")
 
 
 def _rest(postings: DataFrame, percent: int) -> DataFrame:
@@ -232,8 +255,22 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
     pairs = out.join(all_, "gram").filter("c_a <> c_b").filter((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
     pairs = pairs.filter(_alike(percent)).filter(most >= need)
     counted = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.count("*").alias("shared"), F.min(F.least(F.ceil(F.col("n_a") * percent / 100), F.ceil(F.col("n_b") * percent / 100))).alias("least"))
-    return counted.filter(F.col("shared") >= F.least(F.lit(DEPTH), F.col("least"))).select("a", "b")
+        F.count("*").alias("shared"), F.min(F.least(_depth_of("n_a"), _depth_of("n_b"))).alias("depth"))
+    return counted.filter(F.col("shared") >= F.col("depth")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that link. Few pairs go to the texts, many are joined with them."""
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+    pairs = materialize(pairs, "pairs")
+    if pairs.count() <= SENT_PAIRS:
+        sent = F.broadcast(pairs)
+        both = one.join(sent, "a").join(two.join(sent, "b"), ["a", "b"])
+    else:
+        both = pairs.join(one, "a").join(two, "b")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long")
+    return materialize(found, "found")
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -254,8 +291,9 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose word n-gram sets link at ``percent`` Jaccard.
 
-    Needs columns doc_id and text; others are ignored. Gives for each row doc_id,
-    n_shingles (size of its set), class_id (rows of one set share it) and
+    Needs columns doc_id and text; others are ignored. Gives for each row k (a
+    hash of id and text), doc_id, n_shingles (size of its set), class_id (rows
+    of one set share it), component (a number of its component) and
     component_id (the smallest doc_id reachable by links).
 
     A null or empty text, or one without words, has no n-grams and no links:
@@ -268,7 +306,7 @@ def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> Dat
     sketch = materialize(docs.select("k", "doc_id", "text").mapInArrow(_sketch(size), _SKETCH), "sketch")
     frequent = spark.sparkContext.broadcast(_frequent(sketch))
     answers = recurring(docs.select("text"), _cut_keys(size, percent, frequent), parts_for(documents), distinct=True)
-    postings = materialize(_postings(answers), "postings")
+    postings = materialize(_able(_postings(answers), percent), "postings")
     rows = sketch.filter("gram IS NULL").select("k", "doc_id", "node", "n")
     # one row for each set that shares a column with another
     wanted = rows.filter("n > 0").groupBy("node").agg(F.min("k").alias("k")).join(
@@ -281,9 +319,7 @@ def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> Dat
         else:
             now = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         pairs = _tries(now, percent, round_) if round_ < TRIES else _rest(now, percent)
-        first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        found = materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"), "found")
+        found = _verified(pairs, texts, size, percent)
         if not found.isEmpty():
             labels = materialize(_joined(labels, found), "labels")
     if labels is None:
@@ -293,5 +329,19 @@ def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> Dat
     # hot components combine before the shuffle; the join back is split where it is skewed
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"),
+    return out.select("k", "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "component",
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each component: that with the smallest doc_id.
+
+    A null doc_id comes last; of equal ones the smaller hash of the text stays,
+    and of rows equal in both one.
+    """
+    rows = ngram_jaccard(documents, size, percent)
+    kept = rows.groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k"))
+    chosen = documents.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept.distinct(), "_k")
+    once = Window.partitionBy("_k").orderBy("_k")
+    return chosen.withColumn("_r", F.row_number().over(once)).filter("_r = 1").select(*documents.columns)

@@ -131,3 +131,10 @@ def line_dedup(spark, sf_dir):
 
     return m.line_dedup(documents(spark, sf_dir)).select(
         "doc_id", "lines_total", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
