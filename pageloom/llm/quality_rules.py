@@ -51,16 +51,20 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
-def measured(documents: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, lang, source and the measures of each row; with ``whole`` the row as _row.
+def row_key() -> Column:
+    """A number for a row; rows that share it are judged alike."""
+    return F.xxhash64("doc_id", "text", "lang", "source")
+
+
+def measured(documents: DataFrame) -> DataFrame:
+    """doc_id, lang, source, row_key and the measures of each row.
 
     n_repeat_words: words covered by a 5-word window that is found twice or
     more in the text. Windows are compared by 64-bit hashes; only texts that
     have equal ones sort them to find their places.
     """
     # repeated rows and clashing names do not matter: nothing is joined by id
-    carried = [F.struct(*documents.columns).alias("_row")] if whole else []
-    df = with_words(documents.select("doc_id", "lang", "source", "text", *carried), F.col("text"))
+    df = with_words(documents.select("doc_id", "lang", "source", "text", row_key().alias("row_key")), F.col("text"))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(WORD))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("_w5", F.when(F.col("n_words") >= 5, F.transform(
@@ -77,7 +81,7 @@ def measured(documents: DataFrame, whole: bool = False) -> DataFrame:
         F.lit(0).cast("long"), lambda a, b: a + b)
     df = df.withColumn("_lines", lines)
     return df.select(
-        "doc_id", "lang", "source", *(["_row"] if whole else []), "n_words",
+        "doc_id", "lang", "source", "row_key", "n_words",
         F.length(without(F.col("_text"), WHITE)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -161,8 +165,10 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that the rules keep, unchanged.
 
-    Texts are measured again where they are filtered, so they are not shuffled.
+    The verdicts are narrow and written once. A filter on them is joined back:
+    put above the measures it would be pushed below them and measure the text
+    again for every place where a measure is used.
     """
-    rows = with_rates(measured(documents))
-    bounds = materialize(thresholds(rows), "thresholds")
-    return judged(with_rates(measured(documents, whole=True)), bounds).filter("kept").select("_row.*")
+    kept = quality_rules(documents).filter("kept").select(F.col("row_key").alias("_row_key")).distinct()
+    keyed = documents.withColumn("_row_key", row_key())
+    return keyed.join(kept, "_row_key", "left_semi").select(*documents.columns)
