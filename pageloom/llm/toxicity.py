@@ -254,7 +254,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = 2500, longest: int = 100_000) -> Crf:
+def fit(documents: DataFrame, labels: DataFrame, sample: int = 1000, longest: int = 20_000) -> Crf:
     """A model from at most ``sample`` documents of each label with at most ``longest`` characters.
 
     ``labels`` has doc_id and toxic (0 or 1); rows with nulls and documents
