@@ -37,9 +37,10 @@ def _written(spark, stream, schema, mode="append"):
 
 @query("t1_stage_stream", f"""
     SELECT url, content_hash, 2 AS version, true AS indexed, hosts FROM (
-      SELECT {_NORM} AS url, max(sha256(html)) AS content_hash, 1 AS hosts FROM pages GROUP BY 1) x""")
+      SELECT {_NORM} AS url, max(sha256(html)) AS content_hash, 1 AS hosts FROM pages GROUP BY 1) x
+    WHERE length(url) % 5 <> 0""")
 def stage_stream(spark, sf):
-    """Every page comes twice, first as an older text: one version each."""
+    """Every page comes twice, first as an older text: one version each. Then some are deleted, and images come."""
     pages = tb.pages(spark, sf)
     inbox, mark = scratch_path(spark, "inbox"), scratch_path(spark, "mark")
     site = st.Site(scratch_path(spark, "site"))
@@ -49,7 +50,11 @@ def stage_stream(spark, sf):
         F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("crawler_operation"))
     older = base.withColumn("content", F.concat("content", F.lit("<p>older</p>"))).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     newer = base.withColumn("ts", F.lit("2024-01-02").cast("timestamp"))
-    for records in (older, newer):
+    third = base.withColumn("ts", F.lit("2024-01-03").cast("timestamp"))
+    ends = third.filter(F.length("url") % 5 == 0).withColumns(
+        {"content": F.lit(None).cast("string"), "crawler_operation": F.lit("delete")}).unionByName(
+        third.withColumns({"url": F.concat("url", F.lit("/i.png")), "mimetype": F.lit("image/png")}))
+    for records in (older, newer, ends):
         records.write.mode("append").parquet(inbox)
         st.ingest(st.file_stream(spark, inbox, records.schema), site, mark)
     docs = st.current_documents(spark, site)
@@ -60,8 +65,7 @@ def stage_stream(spark, sf):
 
 
 @query("t2_dead_letters", """
-    SELECT 'https://a.example/' || event_id AS url, CASE WHEN event_type = 'click' THEN 'url or content missing' ELSE 'site id missing' END AS reason
-    FROM events WHERE event_type = 'click' OR (event_type IN ('view', 'purchase') AND user_id < 20)""")
+    SELECT 'https://a.example/' || event_id AS url, 'url or content missing' AS reason FROM events WHERE event_type = 'click'""")
 def dead_letters(spark, sf):
     kind = F.col("event_type")
     e = _events(spark, sf).select(

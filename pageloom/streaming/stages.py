@@ -74,6 +74,8 @@ MEMBERS = "site_id string, document_id bigint, created_at timestamp"
 CHANGED = "document_id bigint, url string, site_id string, content_hash string, prev_content_hash string, operation string, version int, ts timestamp"
 NODES = "node_id string, doc_id string, site_id string, content_hash string, chunk_no int, text string"
 REMOVED = "doc_id string"
+DELETED = "document_id bigint"
+REJECTED = "url string, site_id string, mimetype string, ts timestamp"
 DEAD = "url string, site_id string, reason string, content string, ts timestamp"
 
 
@@ -87,12 +89,19 @@ class Site:
         return f"{self.root}/{name}"
 
 
+def alive(spark: SparkSession, site: Site, log: DataFrame, before: int | None = None) -> DataFrame:
+    """Rows of a log that were written after their document was last deleted."""
+    gone = read_log(spark, site.at("deleted"), DELETED, before).groupBy("document_id").agg(F.max("batch").alias("_gone"))
+    return log.join(gone, "document_id", "left").filter(F.col("_gone").isNull() | (F.col("batch") > F.col("_gone"))).drop("_gone")
+
+
 def current_documents(spark: SparkSession, site: Site, before: int | None = None) -> DataFrame:
-    return latest(read_log(spark, site.at("documents"), STORED, before), ["document_id"]).drop("batch")
+    log = alive(spark, site, read_log(spark, site.at("documents"), STORED, before), before)
+    return latest(log, ["document_id"]).drop("batch")
 
 
 def current_members(spark: SparkSession, site: Site, before: int | None = None) -> DataFrame:
-    log = read_log(spark, site.at("members"), MEMBERS, before)
+    log = alive(spark, site, read_log(spark, site.at("members"), MEMBERS, before), before)
     return log.groupBy("site_id", "document_id").agg(F.min("created_at").alias("created_at"))
 
 
@@ -110,8 +119,9 @@ def touched_state(spark: SparkSession, site: Site, batch: DataFrame, before: int
         .unionByName(ordered.only_keys(log, batch.filter("content_hash <> ''"), "content_hash").select("document_id"))
         .distinct().persist()
     )
-    known = latest(ordered.only_keys(log, ids, "document_id"), ["document_id"]).drop("batch")
-    members = ordered.only_keys(read_log(spark, site.at("members"), MEMBERS, before), ids, "document_id")
+    known = alive(spark, site, ordered.only_keys(log, ids, "document_id"), before)
+    known = latest(known, ["document_id"]).drop("batch")
+    members = alive(spark, site, ordered.only_keys(read_log(spark, site.at("members"), MEMBERS, before), ids, "document_id"), before)
     return known, members.select("site_id", "document_id", "created_at"), ids
 
 
@@ -129,7 +139,11 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
 
     A batch costs a scan of the narrow key columns of what is stored and writes
     only rows that changed. Classifying comes before cleaning and indexing, so
-    unchanged pages skip both.
+    unchanged pages skip both. A record whose operation is ``delete`` removes
+    the document of its URL with memberships and nodes; of all records of a URL
+    the last one counts. Records of an unsupported type go to ``rejected``,
+    records that lack URL or content to ``dead``; those without a site are
+    skipped.
     """
 
     def apply(records: DataFrame, batch_id: int) -> None:
@@ -139,15 +153,27 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
         try:
             routed = ds.precondition(records)
             write = lambda df, name: df.write.mode("overwrite").parquet(f"{site.at(name)}/batch={batch_id}")
-            write(
-                routed.filter(F.col("route").isin("error", "skip")).select("url", "site_id", "reason", "content", "ts"),
-                "dead",
+            write(routed.filter("route = 'error'").select("url", "site_id", "reason", "content", "ts"), "dead")
+            unsupported = (F.coalesce("mimetype", F.lit("")) != "") & (ds.u.mime_class(F.col("mimetype")) == "unsupported")
+            fine = routed.filter("route = 'process'")
+            write(fine.filter(unsupported).select("url", "site_id", "mimetype", "ts"), "rejected")
+            gone = routed.filter("route = 'pass' AND crawler_operation = 'delete' AND url IS NOT NULL")
+            last = ds.latest_per_url(
+                fine.filter(~unsupported).unionByName(gone).withColumn("content_hash", ds.tx.content_hash(F.col("content")))
             )
-            todo = ds.latest_per_url(
-                routed.filter("route = 'process'").withColumn("content_hash", ds.tx.content_hash(F.col("content")))
-            )
-            known, members, ids = touched_state(spark, site, todo, batch_id)
+            todo = last.filter("route = 'process'")
+            known, members, ids = touched_state(spark, site, last, batch_id)
+            known, members = known.persist(), members.persist()  # narrow, and used several times
+            held += [known, members]
+            # by URL alone: content that another URL holds as well stays
+            lost = known.join(last.filter("route = 'pass'").select("url"), "url", "left_semi").select("document_id", "content_hash")
+            write(lost.select("document_id"), "deleted")
+            lost_nodes = lost.join(members, "document_id").select(F.concat_ws(":", "site_id", "content_hash").alias("doc_id"))
+            known = known.join(lost.select("document_id"), "document_id", "left_anti")
+            members = members.join(lost.select("document_id"), "document_id", "left_anti")
             held.append(ids)
+            todo = todo.persist()
+            held.append(todo)
             changes = ds.settle_copies(
                 ds.classify(todo.select("url", "site_id", "content_hash", "ts"), known.drop("version"), members)
             )
@@ -184,7 +210,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             write(
                 outcome.filter("operation IN ('new', 'new_site', 'edit')").select(
                     F.explode(F.array_distinct(F.array_compact(F.array("content_hash", "prev_content_hash")))).alias("_h"), "site_id"
-                ).select(F.concat_ws(":", "site_id", "_h").alias("doc_id")).distinct(),
+                ).select(F.concat_ws(":", "site_id", "_h").alias("doc_id")).union(lost_nodes).distinct(),
                 "removed",
             )
             nodes = chunks.document_nodes(
@@ -322,11 +348,14 @@ def alert_sink(callback: Callable[[dict], None], root: str | None = None) -> Cal
 
 
 def dead_letters(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to go on with, rows that failed with reason, payload and time)."""
+    """(rows to go on with, rows that failed with reason, payload and time).
+
+    Rows without a site are skipped: they neither go on nor count as failed.
+    """
     routed = ds.precondition(records)
     return (
         routed.filter(F.col("route").isin("process", "pass")).drop("route", "reason"),
-        routed.filter(F.col("route").isin("error", "skip")).select("url", "site_id", "reason", "content", "ts"),
+        routed.filter("route = 'error'").select("url", "site_id", "reason", "content", "ts"),
     )
 
 

@@ -32,7 +32,18 @@ def test_ingest_is_idempotent(spark):
     assert docs == [("u1", 2, "one b"), ("u2", 1, "two")]
     assert nodes == [("s", "one b"), ("s", "two"), ("t", "two")]
     dead = st.read_log(spark, site.at("dead"), st.DEAD)
-    assert sorted((r.url, r.reason) for r in dead.collect()) == [("u3", "site id missing"), ("u4", "url or content missing")]
+    # a record without a site is skipped, which is no failure
+    assert sorted((r.url, r.reason) for r in dead.collect()) == [("u4", "url or content missing")]
+    gone = records(spark, ("u1", "s", None)).withColumn("crawler_operation", F.lit("delete"))
+    image = records(spark, ("u9", "s", "bytes")).withColumn("mimetype", F.lit("image/png"))
+    run(gone.unionByName(image), 2)
+    docs, nodes = state(spark, site)
+    assert [d[0] for d in docs] == ["u2"] and nodes == [("s", "two"), ("t", "two")]
+    rejected = st.read_log(spark, site.at("rejected"), st.REJECTED).collect()
+    assert [(r.url, r.mimetype) for r in rejected] == [("u9", "image/png")]
+    run(records(spark, ("u1", "s", "one b")), 3)
+    docs, nodes = state(spark, site)
+    assert [d[0] for d in docs] == ["u1", "u2"] and ("s", "one b") in nodes
 
 
 def test_task_state_goes_on_over_batches(spark):
