@@ -42,7 +42,7 @@ OFTEN = 6
 #: frequent n-grams that are ordered last; further ones are ordered like others
 MOST_FREQUENT = 1 << 20
 #: rounds that try some rows of the largest component before the complete one
-TRIES = 3
+TRIES = 2
 #: rows of a column's largest component that are tried, and pairs of a row
 SEEDS, TRIED = 6, 10
 #: pairs that are sent to the tasks that hold the texts; more are joined by shuffles
@@ -180,9 +180,28 @@ def _postings(answers: DataFrame) -> DataFrame:
 
 
 def _able(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of rows that share enough columns to link with the smallest row they may link with."""
-    rows = postings.groupBy("node").agg(F.count("*").alias("c"), F.ceil(F.min("n") * percent / 100).alias("n"))
-    return postings.join(rows.filter(F.col("c") >= _depth_of("n")).select("node"), "node", "left_semi")
+    """Postings of rows that share enough columns to link with the smallest row they may link with.
+
+    Adds ``before``: shared columns of the row that come earlier.
+    """
+    row = Window.partitionBy("node")
+    p = postings.withColumns({"before": F.row_number().over(row.orderBy("rank", "gram")) - 1, "_c": F.count("*").over(row),
+                              "_least": F.ceil(F.col("n") * percent / 100)})
+    return p.filter(F.col("_c") >= _depth_of("_least")).drop("_c", "_least")
+
+
+def _reach(percent: int):
+    """The overlap that a column leaves possible allows the link.
+
+    Of the columns before it only shared ones count; behind it, at most what
+    the shorter rest holds.
+    """
+    most = F.least("before_a", "before_b") + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
+    return most >= F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+
+def _side(name: str) -> list:
+    return [F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "rank", "before", "component")]]
 
 
 def _verify(size: int, percent: int):
@@ -219,19 +238,22 @@ def _tries(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     A few pairs for each row: those with most columns in common.
     """
     # without regard to size a row would mostly meet rows that are far longer or shorter
-    column = ["gram", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")]
-    p = postings.select(*column, "node", "n", "component")
-    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * SEEDS + s)).alias("h"), "node", "n")).alias(f"s{s}")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
+    p = postings.select("gram", band, "node", "n", "rank", "before", "component")
+    told = ("node", "n", "rank", "before")
+    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * SEEDS + s)).alias("h"), *told)).alias(f"s{s}")
              for s in range(SEEDS if round_ else 1)]
     part = p.groupBy("gram", "band", "component").agg(F.count("*").alias("c"), *seeds)
     main = part.groupBy("gram", "band").agg(
         F.max(F.struct("c", F.col("component").alias("main"), *[f"s{s}" for s in range(len(seeds))])).alias("m"),
         F.sum("c").alias("all")).filter("all > 1")
     tried = p.join(main, ["gram", "band"]).filter("component <> m.main").select(
-        "node", "n", F.explode(F.array(*[f"m.s{s}" for s in range(len(seeds))])).alias("s"))
-    pairs = tried.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s.node").alias("b"), F.col("s.n").alias("n_b"))
+        *told, F.explode(F.array(*[f"m.s{s}" for s in range(len(seeds))])).alias("s"))
+    pairs = tried.select(F.col("node").alias("a"), F.col("s.node").alias("b"), *[
+        x for c in told[1:] for x in (F.col(c).alias(f"{c}_a"), F.col(f"s.{c}").alias(f"{c}_b"))])
+    pairs = pairs.filter("a <> b").filter(_alike(percent)).filter(_reach(percent))
     # a row is tried with those it shares most columns with, in as far as these were chosen
-    pairs = pairs.filter("a <> b").filter(_alike(percent)).groupBy("a", "b").agg(
+    pairs = pairs.groupBy("a", "b").agg(
         F.count("*").alias("c"), F.least(F.min(_depth_of("n_a")), F.min(_depth_of("n_b"))).alias("depth"))
     few = Window.partitionBy("a").orderBy(F.desc("c"), "b")
     pairs = pairs.filter((F.col("c") >= 2) | (F.col("depth") < 2))
@@ -244,16 +266,11 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
     main = part.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"))
     main = main.filter("k > 1").select("gram", F.col("m.component").alias("main"))
     p = postings.join(main, "gram")
-    out = p.filter("component <> main").select(
-        "gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("r_a"), F.col("component").alias("c_a"))
-    all_ = p.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("rank").alias("r_b"),
-                    F.col("component").alias("c_b"), "main")
-    need = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    # what is left behind the column bounds the overlap where it is the first one shared;
-    # earlier ones are at most as many as the smaller rank
-    most = F.least("r_a", "r_b") + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
-    pairs = out.join(all_, "gram").filter("c_a <> c_b").filter((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = pairs.filter(_alike(percent)).filter(most >= need)
+    out = p.filter("component <> main").select("gram", *_side("a"))
+    rest = p.select("gram", "main", *_side("b"))
+    pairs = out.join(rest, "gram").filter("component_a <> component_b").filter(
+        (F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    pairs = pairs.filter(_alike(percent)).filter(_reach(percent))
     counted = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least(_depth_of("n_a"), _depth_of("n_b"))).alias("depth"))
     return counted.filter(F.col("shared") >= F.col("depth")).select("a", "b")
