@@ -37,6 +37,8 @@ from .recurring import parts_for, recurring
 #: columns that a pair must share within the cut: one for STEP of a row, DEPTH at most
 DEPTH = 10
 STEP = 16
+#: n-grams of a lot, which bounds what a task counts at once
+LOT = 1 << 21
 #: an n-gram is frequent if one lot of documents holds it so often
 OFTEN = 6
 #: frequent n-grams that are ordered last; further ones are ordered like others
@@ -44,7 +46,7 @@ MOST_FREQUENT = 1 << 20
 #: rounds that try some rows of the largest component before the complete one
 TRIES = 2
 #: rows of a column's largest component that are tried, and pairs of a row
-SEEDS, TRIED = 6, 10
+SEEDS, TRIED = 6, 6
 #: pairs that are sent to the tasks that hold the texts; more are joined by shuffles
 SENT_PAIRS = 500_000
 
@@ -89,25 +91,33 @@ def _nodes(grams: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray,
 def _sketch(size: int):
     """A row for each document, and the n-grams that are frequent in each lot."""
 
+    names = ["k", "doc_id", "node", "n", "gram", "count"]
+
+    def often(seen):
+        grams, count = np.unique(np.concatenate(seen), return_counts=True)
+        keep = count >= OFTEN
+        none = pa.nulls(int(keep.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [none, none, none, none, pa.array(grams[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=names)
+
     def run(batches):
+        seen, size_seen = [], 0
         for batch in batches:
             data, at = g.texts(batch.column("text"))
             keys, ids = batch.column("k"), batch.column("doc_id")
-            seen = []
             for i, j in g.slices(at):
                 grams, text = shingles(data[at[i] : at[j]], at[i : j + 1] - at[i], size)
                 n, node = _nodes(grams, text, j - i)
                 seen.append(grams)
+                size_seen += len(grams)
                 none = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int64)), none, none],
-                    names=["k", "doc_id", "node", "n", "gram", "count"])
-            grams, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64),) * 2
-            often = count >= OFTEN
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(grams[often].view(np.int64)), pa.array(count[often].astype(np.int64))],
-                names=["k", "doc_id", "node", "n", "gram", "count"])
+                    [keys.slice(i, j - i), ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int64)), none, none], names=names)
+                if size_seen >= LOT:
+                    yield often(seen)
+                    seen, size_seen = [], 0
+        if seen:
+            yield often(seen)
 
     return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: keys that a task gathers before it sends them on
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 
 _SENT = "part long, owner long, keys binary, extras binary, count long, body binary"
 ZSTD = pa.Codec("zstd", compression_level=1)
