@@ -332,7 +332,7 @@ def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
     sketch = materialize(docs.select("k", "doc_id", "text").mapInArrow(_sketch(size), _SKETCH), "sketch")
     frequent = spark.sparkContext.broadcast(_frequent(sketch))
-    answers = recurring(docs.select("text"), _cut_keys(size, percent, frequent), parts_for(documents), distinct=True)
+    answers = recurring(docs.select("text"), _cut_keys(size, percent, frequent), parts_for(documents), distinct=True, gathered=1 << 19)
     postings = materialize(_able(_postings(answers), percent), "postings")
     rows = sketch.filter("gram IS NULL").select("k", "doc_id", "node", "n")
     # one row for each set that shares a column with another

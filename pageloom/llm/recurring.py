@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: keys that a task gathers before it sends them on
-GATHERED = 1 << 19
+GATHERED = 1 << 20
 
 _SENT = "part long, owner long, keys binary, extras binary, count long, body binary"
 ZSTD = pa.Codec("zstd", compression_level=1)
@@ -128,7 +128,8 @@ def _answer(parts: int):
     return answer
 
 
-def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool = False) -> DataFrame:
+def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool = False,
+              gathered: int = GATHERED) -> DataFrame:
     """Rows (owner, keys, extras) of the keys that recur; an owner may have several rows.
 
     ``keys_of(batch)`` yields (keys, owners, extras, ranks) arrays for slices of
@@ -146,7 +147,7 @@ def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool =
                 if len(lot[0]):
                     lots.append(lot)
                     size += len(lot[0])
-                if size >= GATHERED:
+                if size >= gathered:
                     yield _send(*(np.concatenate(x) for x in zip(*lots)), parts, distinct)
                     lots, size = [], 0
         if lots:
