@@ -82,7 +82,10 @@ def _send(keys, owners, extras, ranks, parts: int, distinct: bool) -> pa.RecordB
     keys, owners, extras, ranks = keys[order], owners[order], extras[order], ranks[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     last = np.append(begin[1:], len(keys)) - 1
-    many = ranks[begin] != ranks[last] if distinct else last > begin
+    if distinct:  # owners of one rank are all told: only the first of them is known to other lots
+        many = (ranks[begin] != ranks[last]) | (np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin))
+    else:
+        many = last > begin
     rows = _Rows()
     known = np.repeat(many, last - begin + 1)
     for owner, k, x in _to_owners(owners[known], keys[known], extras[known]):
@@ -136,7 +139,7 @@ def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool =
     an Arrow batch: a 64-bit key, the number of the row that holds it, 64 bits
     that are handed back with it, and with ``distinct`` the 64-bit number that
     must differ for a key to count as recurring (without, any second occurrence
-    counts); copies of one rank that meet only across tasks count as recurring too,
+    counts); owners of one rank and copies that meet only across tasks count as recurring too,
     so ``distinct`` gives a superset for an exact step to come. ``keys`` and ``extras`` of the result are arrays of 8-byte numbers.
     """
 

@@ -163,6 +163,17 @@ def test_suffixes_odd_rows(odd, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_suffixes_of_several_rows_without_id(spark, parts):
+    """Two null doc_ids in one lot lose what a numbered row holds, wherever that row lies."""
+    shared = "a passage that three of the texts hold, of more than fifty bytes"
+    rows = [(None, "first " + shared), (None, "second one " + shared + "."), (7, shared + " and more"), (8, "nothing in common")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    out = suffix_dedup.suffix_dedup(df, 50, 20).collect()
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in out], key=str)
+    assert got == bytes_removed(rows, 50) and sum(r.n_removed for r in out) > 2 * 50
+
+
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.too_slow])
 @given(st.text("ab", min_size=20, max_size=300), st.integers(9, 24))
 def test_classes_are_equal_strings(text, length):
