@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those of which no word is left go."""
-    out = line_templates.line_dedup(docs)
+    out = line_templates.line_dedup(docs, shortest=1)
     own = (F.col("lines_removed") == 0) | F.col("text").rlike(quality_rules.WORD)
     out = out.filter(own)
     if "n_chars" in docs.columns:

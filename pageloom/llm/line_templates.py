@@ -7,6 +7,10 @@ generalised: tokens with digits always, and in lines of ``GENERAL`` tokens or
 more, one further field: four templates leave out every fourth token, each from
 another place on, so lines that differ in one field share at least three.
 
+Lines of fewer than ``SHORTEST`` tokens have their exact tokens as template,
+digits too, where a caller asks for it (``shortest`` = 1, as op6 and the
+pipeline do); lines without a token never have one.
+
 A template that lines of ``min_docs`` different texts share recurs. Its lines
 are dropped from all documents but the one with the smallest doc_id, so content
 stays once. Paths of the tree are compared by 64-bit hashes; no two lines are
@@ -26,7 +30,7 @@ from . import grams as g
 
 #: leading tokens that choose a branch
 DEPTH = 2
-#: lines with fewer tokens are never dropped
+#: lines with fewer tokens have no variable fields
 SHORTEST = 3
 #: lines with fewer tokens generalise digits only
 GENERAL = 8
@@ -41,7 +45,7 @@ DIGIT[48:58] = True
 FIELD = np.uint64(0xA5A5F00D12345677)
 
 
-def line_keys(data: np.ndarray, at: np.ndarray):
+def line_keys(data: np.ndarray, at: np.ndarray, shortest: int = SHORTEST):
     """Templates of the lines of texts.
 
     Gives for each line its first byte, end and text, and for each (line,
@@ -62,9 +66,9 @@ def line_keys(data: np.ndarray, at: np.ndarray):
     a, b, first = g.word_spans(data, np.append(starts, len(data)))
     codes = g.word_codes(data, a, b)
     digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
-    codes = np.where(digits[b] > digits[a], FIELD, codes)
     counts = np.diff(first)
     line = np.repeat(np.arange(len(starts)), counts)
+    codes = np.where((digits[b] > digits[a]) & (counts[line] >= SHORTEST), FIELD, codes)
     place = np.arange(len(codes)) - first[:-1][line]
     # the branch: number of tokens and leading ones; the rest by place
     parts = g.mix(codes + (place.astype(np.uint64) + np.uint64(1)) * g.ROOT)
@@ -79,7 +83,7 @@ def line_keys(data: np.ndarray, at: np.ndarray):
         keys.append(g.mix(total[chosen] ^ g.mix(branch[chosen] + np.uint64(kind))))
         lines.append(chosen)
 
-    template(0, np.ones(len(codes), bool), np.flatnonzero(counts >= SHORTEST))
+    template(0, np.ones(len(codes), bool), np.flatnonzero(counts >= shortest))
     long = np.flatnonzero(counts >= GENERAL)
     if len(long):
         for j in range(LEFT_OUT):
@@ -88,36 +92,40 @@ def line_keys(data: np.ndarray, at: np.ndarray):
     return starts, ends, owner, np.concatenate(lines), np.concatenate(keys)
 
 
-def _counted(batches):
+def _counted(shortest: int):
     """(template, text, doc_id) of each line; once for each text of a slice."""
-    for batch in batches:
-        data, at = g.texts(batch.column("text"))
-        ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        hashes = batch.column("h").to_numpy()
-        for i, j in g.slices(at):
-            _, _, owner, line, keys = line_keys(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            text = owner[line] + i
-            keys = keys.view(np.int64)
-            order = np.lexsort((ids[text], hashes[text], keys))
-            keys, text = keys[order], text[order]
-            if not len(keys):
-                continue
-            once = np.r_[True, (keys[1:] != keys[:-1]) | (hashes[text][1:] != hashes[text][:-1])]
-            keys, text = keys[once], text[once]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[text]), pa.array(ids[text])],
-                                             names=["template", "h", "doc_id"])
-
-
-def templates(documents: DataFrame, min_docs: int = 10) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            data, at = g.texts(batch.column("text"))
+            ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = batch.column("h").to_numpy()
+            for i, j in g.slices(at):
+                _, _, owner, line, keys = line_keys(data[at[i] : at[j]], at[i : j + 1] - at[i], shortest)
+                text = owner[line] + i
+                keys = keys.view(np.int64)
+                order = np.lexsort((ids[text], hashes[text], keys))
+                keys, text = keys[order], text[order]
+                if not len(keys):
+                    continue
+                once = np.r_[True, (keys[1:] != keys[:-1]) | (hashes[text][1:] != hashes[text][:-1])]
+                keys, text = keys[once], text[once]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[text]), pa.array(ids[text])],
+                                                 names=["template", "h", "doc_id"])
+
+    return run
+
+
+def templates(documents: DataFrame, min_docs: int = 10, shortest: int = SHORTEST) -> DataFrame:
     """(template, first, n_texts) of templates that recur; first: the smallest doc_id."""
     lines = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
-        _counted, "template long, h long, doc_id long")
+        _counted(shortest), "template long, h long, doc_id long")
     once = lines.groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
     return once.groupBy("template").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_texts")).filter(
         F.col("n_texts") >= min_docs)
 
 
-def _strip(sent):
+def _strip(sent, shortest: int):
     """Documents without lines of templates of another document.
 
     ``sent``: broadcast (templates, first documents), or None where each row has its own.
@@ -133,7 +141,7 @@ def _strip(sent):
             total, gone = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for i, j in g.slices(at):
                 body = data[at[i] : at[j]]
-                starts, ends, owner, line, keys = line_keys(body, at[i : j + 1] - at[i])
+                starts, ends, owner, line, keys = line_keys(body, at[i : j + 1] - at[i], shortest)
                 total[i:j] = np.bincount(owner, minlength=j - i)
                 if own is None:
                     where = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
@@ -159,17 +167,18 @@ def _strip(sent):
     return run
 
 
-def line_dedup(documents: DataFrame, min_docs: int = 10) -> DataFrame:
+def line_dedup(documents: DataFrame, min_docs: int = 10, shortest: int = SHORTEST) -> DataFrame:
     """``documents`` without recurring lines, plus lines_total and lines_removed.
 
     Needs columns doc_id and text; other columns pass, existing ones named
     lines_total or lines_removed are replaced. A null or empty text stays as it
     is. Exact copies of a text count as one text, but lose lines like others.
     Rows with a null doc_id come after all others; if all rows of a template
-    have none, they all keep it. No rows give no rows.
+    have none, they all keep it. No rows give no rows. Lines of fewer than
+    ``shortest`` tokens stay; 1 leaves none out but those without a token.
     """
     spark = documents.sparkSession
-    found = materialize(templates(documents, min_docs), "templates")
+    found = materialize(templates(documents, min_docs, shortest), "templates")
     schema = T.StructType([f for f in documents.schema if f.name not in ("lines_total", "lines_removed")]
                           + [T.StructField("lines_total", T.LongType()), T.StructField("lines_removed", T.LongType())])
     if found.count() <= SENT_TEMPLATES:
@@ -177,7 +186,7 @@ def line_dedup(documents: DataFrame, min_docs: int = 10) -> DataFrame:
         keys = rows["template"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], rows["first"].to_numpy(np.int64)[order]))
-        return documents.mapInArrow(_strip(sent), schema)
+        return documents.mapInArrow(_strip(sent, shortest), schema)
     # rows find their templates by a join; texts are dealt by row
     hashed = documents.withColumn("_k", F.xxhash64("doc_id", "text"))
 
@@ -187,11 +196,11 @@ def line_dedup(documents: DataFrame, min_docs: int = 10) -> DataFrame:
             ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             k = batch.column("_k").to_numpy()
             for i, j in g.slices(at):
-                _, _, owner, line, keys = line_keys(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                _, _, owner, line, keys = line_keys(data[at[i] : at[j]], at[i : j + 1] - at[i], shortest)
                 text = owner[line] + i
                 yield pa.RecordBatch.from_arrays([pa.array(k[text]), pa.array(ids[text]), pa.array(keys.view(np.int64))],
                                                  names=["_k", "id", "template"])
 
     lines = hashed.select("doc_id", "text", "_k").mapInArrow(keyed, "_k long, id long, template long").distinct()
     own = lines.join(found, "template").filter("id <> first").groupBy("_k").agg(F.collect_set("template").alias("_templates"))
-    return hashed.join(own, "_k", "left").drop("_k").mapInArrow(_strip(None), schema)
+    return hashed.join(own, "_k", "left").drop("_k").mapInArrow(_strip(None, shortest), schema)

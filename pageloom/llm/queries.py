@@ -129,7 +129,7 @@ def toxicity(spark, sf_dir):
 def line_dedup(spark, sf_dir):
     from . import line_templates as m
 
-    return m.line_dedup(documents(spark, sf_dir)).select(
+    return m.line_dedup(documents(spark, sf_dir), shortest=1).select(
         "doc_id", "lines_total", "lines_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

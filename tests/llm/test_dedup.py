@@ -241,6 +241,19 @@ def test_lines_equal_brute_force(make, monkeypatch, sent):
     assert any(n for _, _, n in got)
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_short_lines_of_the_query(spark, tmp_path, monkeypatch, sent):
+    """Lines of one and two tokens go by the same count of texts; their digits are no fields."""
+    from pageloom.llm import queries
+
+    monkeypatch.setattr(line_templates, "SENT_TEMPLATES", sent)
+    rows = [(i, f"Les.\nRead more\n{i}\nown{'x' * i} line\n\n \nPage {i}") for i in range(12)]
+    rows += [(20 + i, f"Few\nmine{'y' * i}") for i in range(9)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.lines_removed for r in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: 0 if i in (0, *range(20, 29)) else 2 for i, _ in rows}
+
+
 def test_lines_odd_rows(odd, none):
     out = line_templates.line_dedup(odd, 2)
     assert set(out.columns) == {*odd.columns, "lines_removed"}
