@@ -5,7 +5,11 @@ tokens that hold a digit generalised to a variable field; the leaf holds the
 templates of such lines. A template is the line with its variable fields
 generalised: tokens with digits always, and in lines of ``GENERAL`` tokens or
 more, one further field: four templates leave out every fourth token, each from
-another place on, so lines that differ in one field share at least three.
+another place on, so lines that differ in one field share exactly one of them,
+the one that leaves its place out. Lines that differ at places that are not
+equal modulo ``LEFT_OUT``, among the first ``DEPTH`` tokens, or in lines shorter
+than ``GENERAL`` at a token without a digit, share none and stay: fields are not
+found from the data as in a leaf of a full log-template tree.
 
 Lines of fewer than ``SHORTEST`` tokens have their exact tokens as template,
 digits too, where a caller asks for it (``shortest`` = 1, as op6 and the
