@@ -15,7 +15,9 @@ document with a smaller doc_id. Strings never cross documents.
    ``length``; the intervals that are left are the classes of equal strings,
    and the smallest doc_id of a class decides.
 
-Parts are cut into lots of about ``LOT`` bytes by anchor, which bounds memory.
+Parts are cut into lots of about ``LOT`` bytes by anchor. A lot holds one whole
+anchor at least and a part is expanded as a whole, so this does not bound memory:
+all distinct contexts of one hot anchor meet in one task and one sort.
 """
 
 from __future__ import annotations
