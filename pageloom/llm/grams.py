@@ -7,7 +7,9 @@ the batch. Texts are UTF-8 bytes; a null text is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of ROOT and its inverse, computed as far as they were needed."""
+    """Powers of ROOT and its inverse, computed as far as a partition needs them."""
 
     def __init__(self) -> None:
         self.up = self.down = np.zeros(0, np.uint64)
@@ -56,6 +58,29 @@ class _Powers:
 _KEPT = _Powers()
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` (batches to batches), whose worker gives its memory back when a partition ends.
+
+    Workers are reused by later stages, whose own memory comes on top.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _KEPT.__init__()
+            pa.default_memory_pool().release_unused()
+            trim()
+
+    return tidied
+
+
+def trim() -> None:
+    """Hand free memory of the C library back to the system, where it can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def windows(symbols: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` symbols (64-bit numbers); by its first place."""
     n = len(symbols)

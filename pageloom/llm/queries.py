@@ -138,3 +138,30 @@ def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query("op13_phrase_collocations", r"""
+    WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+    w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM
+      (SELECT lang, w, k, unnest(range(1, CAST(len(w) AS BIGINT) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, phrase, k AS size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+    s AS (SELECT lang, phrase, size, a, w, unnest(range(1, size)) AS k FROM c),
+    x AS (SELECT s.lang, s.phrase, s.a, s.k, h.f AS l, r.f AS r,
+      CAST((CAST(1000000 AS HUGEINT) * s.a * s.a) // (CAST(h.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM s
+      JOIN f h ON h.lang = s.lang AND h.phrase = array_to_string(w[1:s.k], ' ')
+      JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(w[s.k + 1:], ' ')),
+    b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    o AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+    m AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY ALL),
+    y AS (SELECT b.* FROM b LEFT JOIN m USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+    z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000""")
+def phrase_collocations(spark, sf_dir):
+    from . import collocations as m
+
+    return m.collocations(documents(spark, sf_dir), support=10, longest=3, first=2000)
