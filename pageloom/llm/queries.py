@@ -140,6 +140,56 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@query("op12_conversation_repair", r"""
+    WITH RECURSIVE tbl AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8],
+        lambda a, k: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c
+      FROM (SELECT unnest(range(256)) AS i))),
+    x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+        [4294967295] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+          coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+        lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) % 20 AS f FROM conversations, tbl),
+    y AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+      CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+      unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM x WHERE f <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM y),
+    v AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+      left(role, 1) AS initial, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+      regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) NOT IN ('.', '!', '?') AS cut FROM o),
+    z AS (SELECT *, again AND NOT blank AS duplicate, cut AND NOT again AND NOT blank AS truncated,
+      lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM v),
+    ins(s, n, t, lines) AS (VALUES (0, 0, 0, []), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']),
+      (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']),
+      (2, 0, 2, []), (2, 1, 3, ['assistant:']), (3, 0, 3, []), (3, 1, 2, ['user:'])),
+    d AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS rep FROM z
+      UNION ALL
+      (SELECT conv_id, i, s, cost, audit, rep FROM (
+        SELECT d.conv_id, z.i, CASE e WHEN 'D' THEN ins.t WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END
+            ELSE CASE ins.t WHEN 2 THEN 3 ELSE 2 END END AS s,
+          d.cost + 5 * n + CASE e WHEN 'D' THEN 2 WHEN 'K' THEN 0 ELSE 1 END + CASE WHEN truncated AND e <> 'D' THEN 5 ELSE 0 END AS cost,
+          d.audit || repeat('I', n) || e AS audit,
+          d.rep || CAST(lines AS VARCHAR[]) || CASE e WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text]
+            ELSE [CASE ins.t WHEN 2 THEN 'assistant:' ELSE 'user:' END || text] END AS rep
+        FROM d JOIN z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND z.i = d.i + 1 JOIN ins ON ins.s = d.s,
+          (SELECT unnest(['D', 'K', 'R']) AS e)
+        WHERE e = 'D' OR (NOT blank AND NOT duplicate AND (e = 'R' OR (initial = 's' AND ins.t = 0)
+          OR (initial = 'u' AND ins.t <> 2) OR (initial = 'a' AND ins.t = 2))))
+        QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1)),
+    m AS (SELECT conv_id, max(i) AS last, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+      count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+      count(*) FILTER (illegal) AS illegal FROM z GROUP BY conv_id),
+    e AS (SELECT m.*, d.cost + 5 * n AS cost, d.audit || repeat('I', n) AS audit, d.rep || CAST(lines AS VARCHAR[]) AS rep
+      FROM m JOIN d ON d.conv_id IS NOT DISTINCT FROM m.conv_id AND d.i = m.last JOIN ins ON ins.s = d.s AND ins.t IN (0, 3)
+      QUALIFY row_number() OVER (PARTITION BY m.conv_id ORDER BY d.cost + 5 * n, d.audit || repeat('I', n)) = 1)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+      coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rep, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def conversation_repair(spark, sf_dir):
+    from . import conversation_repair as m
+
+    return m.repaired_damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 @query("op13_phrase_collocations", r"""
     WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

@@ -24,13 +24,17 @@ def brute(rows, support, longest, first, percent):
     out = []
     for lang, f in counts.items():
         cand = {p: a for p, a in f.items() if len(p) > 1 and a >= support}
+        longer = Counter()
+        for q, b in cand.items():
+            for i in range(len(q)):
+                for j in range(i + 2, len(q) + 1):
+                    if j - i < len(q):
+                        longer[q[i:j]] = max(longer[q[i:j]], b)
         found = []
         for p, a in cand.items():
             score, _, left, right = min(
                 (10**6 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
-            inside = any(100 * b >= percent * a and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))
-                         for q, b in cand.items())
-            if not inside:
+            if 100 * longer.get(p, -1) < percent * a:
                 found.append((-score, -a, " ".join(p).encode(), left, right))
         for rank, (s, a, p, left, right) in enumerate(sorted(found)[:first]):
             out.append((lang, rank + 1, p.decode(), -a, left, right, total[lang], -s))
