@@ -138,7 +138,7 @@ def test_edits_are_the_repaired_rows(spark):
 
 def test_every_conversation_is_told(spark):
     """Also those of which damage leaves nothing; clashing names and repeated rows do no harm."""
-    df = spark.createDataFrame([(c, t, "user", "A.") for c in [*range(60), None] for t in (0, 1, 1)], SCHEMA)
+    df = spark.createDataFrame([(c, t, "user", "A.") for c in [*range(60), None] for t in ((0,) if c else (0, 1, 1))], SCHEMA)
     for name in ("code", "at", "first", "fault", "copy", "c", "audit"):
         df = df.withColumn(name, df.role)
     got = collected(m.repaired_damage(df))
