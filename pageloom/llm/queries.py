@@ -215,3 +215,11 @@ def phrase_collocations(spark, sf_dir):
     from . import collocations as m
 
     return m.collocations(documents(spark, sf_dir), support=10, longest=3, first=2000)
+
+
+@query("op11_html_extraction")
+def html_extraction(spark, sf_dir):
+    from . import html_wrapper as m
+
+    found = m.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", F.array_join("blocks", "\n\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
