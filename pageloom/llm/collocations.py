@@ -38,7 +38,7 @@ BITS, BITS_EACH = 1 << 28, 32
 #: phrases that a task gathers before it sends their counts
 GATHERED = 1 << 21
 #: distinct candidates that a task holds as text
-HELD = 1 << 17
+HELD = 1 << 18
 #: parts of a language that are cut to its first rows before they meet
 SALTS = 64
 
@@ -82,7 +82,7 @@ def _sliced(batch: pa.RecordBatch):
     data, at = g.texts(batch.column("text"))
     names = batch.column("lang").to_pylist()
     codes = batch.column("code").to_numpy().astype(np.int64).view(np.uint64)
-    for i, j in g.slices(at):
+    for i, j in g.slices(at, 2 * g.SLICE):
         yield Phrases(data[at[i] : at[j]], at[i : j + 1] - at[i], codes[i:j]), names[i:j]
 
 
