@@ -39,3 +39,22 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: str, salts: int) -> DataFrame:
+    """Left join of ``many`` with the one row that ``one`` has for a key.
+
+    ``many`` is dealt by key and ``salts`` parts of ``by`` and ``one`` is told
+    to each of them, so a key of very many rows is no single task.
+    """
+    left = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "salt"], "left").drop("salt")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

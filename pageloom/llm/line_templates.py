@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from . import grams as g
+from .components import unused
 
 #: leading tokens that choose a branch
 DEPTH = 2
@@ -123,13 +124,13 @@ def _counted(shortest: int):
 def templates(documents: DataFrame, min_docs: int = 10, shortest: int = SHORTEST) -> DataFrame:
     """(template, first, n_texts) of templates that recur; first: the smallest doc_id."""
     lines = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
-        _counted(shortest), "template long, h long, doc_id long")
+        g.tidy(_counted(shortest)), "template long, h long, doc_id long")
     once = lines.groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
     return once.groupBy("template").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_texts")).filter(
         F.col("n_texts") >= min_docs)
 
 
-def _strip(sent, shortest: int):
+def _strip(sent, shortest: int, held: str = ""):
     """Documents without lines of templates of another document.
 
     ``sent``: broadcast (templates, first documents), or None where each row has its own.
@@ -140,7 +141,7 @@ def _strip(sent, shortest: int):
             data, at = g.texts(batch.column("text"))
             ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
             known, first = sent.value if sent is not None else (None, None)
-            own = batch.column("_templates").to_pylist() if sent is None else None
+            own = batch.column(held).to_pylist() if sent is None else None
             texts: list = batch.column("text").to_pylist()
             total, gone = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for i, j in g.slices(at):
@@ -164,7 +165,7 @@ def _strip(sent, shortest: int):
                     texts[i + r] = b"\n".join(left).decode()
                     gone[i + r] = int(drop[mine].sum())
             new = {"text": pa.array(texts, pa.string()), "lines_total": pa.array(total), "lines_removed": pa.array(gone)}
-            names = [n for n in batch.schema.names if n not in ("lines_total", "lines_removed", "_templates")]
+            names = [n for n in batch.schema.names if n not in ("lines_total", "lines_removed", held)]
             names += ["lines_total", "lines_removed"]
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(n) for n in names], names=names)
 
@@ -190,21 +191,22 @@ def line_dedup(documents: DataFrame, min_docs: int = 10, shortest: int = SHORTES
         keys = rows["template"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(keys)
         sent = spark.sparkContext.broadcast((keys[order], rows["first"].to_numpy(np.int64)[order]))
-        return documents.mapInArrow(_strip(sent, shortest), schema)
+        return documents.mapInArrow(g.tidy(_strip(sent, shortest)), schema)
     # rows find their templates by a join; texts are dealt by row
-    hashed = documents.withColumn("_k", F.xxhash64("doc_id", "text"))
+    key, held = unused(documents, "key"), unused(documents, "templates")
+    hashed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
 
     def keyed(batches):
         for batch in batches:
             data, at = g.texts(batch.column("text"))
             ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-            k = batch.column("_k").to_numpy()
+            k = batch.column(key).to_numpy()
             for i, j in g.slices(at):
                 _, _, owner, line, keys = line_keys(data[at[i] : at[j]], at[i : j + 1] - at[i], shortest)
                 text = owner[line] + i
                 yield pa.RecordBatch.from_arrays([pa.array(k[text]), pa.array(ids[text]), pa.array(keys.view(np.int64))],
                                                  names=["_k", "id", "template"])
 
-    lines = hashed.select("doc_id", "text", "_k").mapInArrow(keyed, "_k long, id long, template long").distinct()
-    own = lines.join(found, "template").filter("id <> first").groupBy("_k").agg(F.collect_set("template").alias("_templates"))
-    return hashed.join(own, "_k", "left").drop("_k").mapInArrow(_strip(None, shortest), schema)
+    lines = hashed.select("doc_id", "text", key).mapInArrow(g.tidy(keyed), "_k long, id long, template long").distinct()
+    own = lines.join(found, "template").filter("id <> first").groupBy(F.col("_k").alias(key)).agg(F.collect_set("template").alias(held))
+    return hashed.join(own, key, "left").drop(key).mapInArrow(g.tidy(_strip(None, shortest, held)), schema)

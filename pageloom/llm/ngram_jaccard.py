@@ -16,7 +16,10 @@ with the same set are one row (its node is a hash of the set).
   with the rest, and overlap counts are accumulated pair by pair. Rows of one
   component need no comparison, so a group of copies costs its rows, not its
   pairs. The last round is complete, so no link between components is lost.
-* Pairs that pass the bounds are verified on the full sets.
+* Pairs that pass the bounds meet as bit maps of their sets first: a bit that
+  one row has and the other lacks is an n-gram that they don't share, so most
+  pairs are discarded by a bound on the overlap, without reading a text.
+* What is left is verified on the full sets.
 
 The order of the columns only decides what is cheap, never what links.
 """
@@ -31,7 +34,7 @@ from pyspark.sql.window import Window
 
 from ..session import materialize
 from . import grams as g
-from .components import components
+from .components import components, salted_join, unused
 from .recurring import parts_for, recurring
 
 #: columns that a pair must share within the cut: one for STEP of a row, DEPTH at most
@@ -47,10 +50,17 @@ MOST_FREQUENT = 1 << 20
 TRIES = 2
 #: rows of a column's largest component that are tried, and pairs of a row
 SEEDS, TRIED = 6, 6
-#: pairs that are sent to the tasks that hold the texts; more are joined by shuffles
-SENT_PAIRS = 500_000
+#: rows whose texts are wanted and that are sent to the tasks that read texts; more are joined by shuffles
+SENT_ROWS = 500_000
+#: bits of a row's map for each n-gram, at least
+BITS_EACH = 4
+#: parts of a group of copies, which is split where it meets its component
+SALTS = 16
 
-_SKETCH = "k long, doc_id long, node long, n long, gram long, count long"
+#: words of 64 bits of the small map that meets within a column
+WORDS = 4
+_SMALL = [f"m{i}" for i in range(WORDS)]
+_SKETCH = "k long, doc_id long, node long, n long, bits binary, " + ", ".join(f"{m} long" for m in _SMALL) + ", gram long, count long"
 
 
 def shingles(data: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +98,53 @@ def _nodes(grams: np.ndarray, text: np.ndarray, rows: int) -> tuple[np.ndarray,
     return n, g.mix(node + n.astype(np.uint64) * g.ROOT).view(np.int64)
 
 
+def _map_bits(n: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of bits of rows of n n-grams."""
+    return np.ceil(np.log2(np.maximum(BITS_EACH * n, 8))).astype(np.int64)
+
+
+def _bit_maps(grams: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The bit map of each set, by the leading bits of its n-grams."""
+    out, at = [], 0
+    logs = _map_bits(n)
+    for count, log in zip(n.tolist(), logs.tolist()):
+        own = np.zeros(1 << log, bool)
+        own[(grams[at : at + count] >> np.uint64(64 - log)).astype(np.int64)] = True
+        out.append(np.packbits(own).tobytes() if count else b"")
+        at += count
+    return out
+
+
+def _small_maps(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The map of ``WORDS`` words of each set, by other bits of its n-grams; a column for each word."""
+    out = np.zeros((len(n), 64 * WORDS), bool)
+    out[np.repeat(np.arange(len(n)), n), (grams & np.uint64(64 * WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(out, axis=1).view("<i8").T
+
+
+def _most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """An upper bound on the overlap of two sets, from their bit maps."""
+    one, two = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in (a, b))
+    while len(one) > len(two):
+        one = one[::2] | one[1::2]
+    while len(two) > len(one):
+        two = two[::2] | two[1::2]
+    both = int(np.count_nonzero(one & two))
+    return min(n_a - int(np.count_nonzero(one)) + both, n_b - int(np.count_nonzero(two)) + both)
+
+
 def _sketch(size: int):
     """A row for each document, and the n-grams that are frequent in each lot."""
 
-    names = ["k", "doc_id", "node", "n", "gram", "count"]
+    names = ["k", "doc_id", "node", "n", "bits", *_SMALL, "gram", "count"]
 
     def often(seen):
         grams, count = np.unique(np.concatenate(seen), return_counts=True)
         keep = count >= OFTEN
         none = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(grams[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=names)
+            [none, none, none, none, pa.nulls(len(none), pa.binary()), *[none] * WORDS, pa.array(grams[keep].view(np.int64)),
+             pa.array(count[keep].astype(np.int64))], names=names)
 
     def run(batches):
         seen, size_seen = [], 0
@@ -112,7 +158,9 @@ def _sketch(size: int):
                 size_seen += len(grams)
                 none = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(i, j - i), ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int64)), none, none], names=names)
+                    [keys.slice(i, j - i), ids.slice(i, j - i), pa.array(node), pa.array(n.astype(np.int64)),
+                     pa.array(_bit_maps(grams, n), pa.binary()), *[pa.array(np.ascontiguousarray(m)) for m in _small_maps(grams, n)],
+                     none, none], names=names)
                 if size_seen >= LOT:
                     yield often(seen)
                     seen, size_seen = [], 0
@@ -172,21 +220,15 @@ def _cut_keys(size: int, percent: int, frequent):
     return keys_of
 
 
-def _postings(answers: DataFrame) -> DataFrame:
+def _postings(table: pa.Table) -> pa.Table:
     """(gram, node, n, rank) rows of the columns that several rows share."""
-
-    def run(batches):
-        for batch in batches:
-            keys = [np.frombuffer(b, np.int64) for b in batch.column("keys").to_pylist()]
-            if not keys:
-                continue
-            extras = np.concatenate([np.frombuffer(b, np.int64) for b in batch.column("extras").to_pylist()])
-            owner = np.repeat(batch.column("owner").to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(owner), pa.array(extras >> 32), pa.array(extras & 0xFFFFFFFF)],
-                names=["gram", "node", "n", "rank"])
-
-    return answers.mapInArrow(run, "gram long, node long, n long, rank long").distinct()
+    keys = [np.frombuffer(b, np.int64) for b in table.column("keys").to_pylist()]
+    extras = [np.frombuffer(b, np.int64) for b in table.column("extras").to_pylist()]
+    owner = np.repeat(table.column("owner").to_numpy(), [len(k) for k in keys])
+    none = [np.zeros(0, np.int64)]
+    extras = np.concatenate(extras + none)
+    return pa.table({"gram": np.concatenate(keys + none), "node": owner.astype(np.int64), "n": extras >> 32,
+                     "rank": extras & 0xFFFFFFFF})
 
 
 def _able(postings: DataFrame, percent: int) -> DataFrame:
@@ -211,7 +253,17 @@ def _reach(percent: int):
 
 
 def _side(name: str) -> list:
-    return [F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "rank", "before", "component")]]
+    return [F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "rank", "before", "component", *_SMALL)]]
+
+
+def _maps_allow(percent: int):
+    """The small maps allow the link: a bit that one has and the other lacks is an n-gram not shared."""
+    def ones(name):
+        return sum((F.bit_count(f"{m}_{name}") for m in _SMALL), F.lit(0))
+
+    both = sum((F.bit_count(F.col(f"{m}_a").bitwiseAND(F.col(f"{m}_b"))) for m in _SMALL), F.lit(0))
+    most = both + F.least(F.col("n_a") - ones("a"), F.col("n_b") - ones("b"))
+    return most * (100 + percent) >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def _verify(size: int, percent: int):
@@ -271,7 +323,11 @@ def _tries(postings: DataFrame, percent: int, round_: int) -> DataFrame:
 
 
 def _rest(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components above the bounds, by accumulated overlap."""
+    """All pairs of different components above the bounds, by accumulated overlap.
+
+    The bounds hold within the join, so a column of many rows gives the pairs
+    that may link and not all of its pairs.
+    """
     part = postings.groupBy("gram", "component").agg(F.count("*").alias("c"))
     main = part.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"))
     main = main.filter("k > 1").select("gram", F.col("m.component").alias("main"))
@@ -280,23 +336,42 @@ def _rest(postings: DataFrame, percent: int) -> DataFrame:
     rest = p.select("gram", "main", *_side("b"))
     pairs = out.join(rest, "gram").filter("component_a <> component_b").filter(
         (F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = pairs.filter(_alike(percent)).filter(_reach(percent))
+    pairs = pairs.filter(_alike(percent)).filter(_reach(percent)).filter(_maps_allow(percent))
     counted = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
         F.count("*").alias("shared"), F.min(F.least(_depth_of("n_a"), _depth_of("n_b"))).alias("depth"))
     return counted.filter(F.col("shared") >= F.col("depth")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link. Few pairs go to the texts, many are joined with them."""
+def _bounded(percent: int):
+    """Pairs whose bit maps leave the link possible."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for a, b, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b"))):
+                keep.append(100 * (m := _most_shared(a, b, n_a, n_b)) >= percent * (n_a + n_b - m))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs that link; ``sets``: node, n, bits and the row (k) that stands for it."""
+    def side(name):
+        return sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(g.tidy(_bounded(percent)), "a long, b long")
+    near = materialize(near, "pairs")
+    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "k"), "node")
+    wanted = materialize(wanted, "wanted")
+    # the same row may be there several times
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted, "k").select("node", "text")
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    pairs = materialize(pairs, "pairs")
-    if pairs.count() <= SENT_PAIRS:
-        sent = F.broadcast(pairs)
-        both = one.join(sent, "a").join(two.join(sent, "b"), ["a", "b"])
-    else:
-        both = pairs.join(one, "a").join(two, "b")
-    found = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long")
+    both = near.join(one, "a").join(two, "b")
+    found = both.select("a", "b", "text_a", "text_b").mapInArrow(g.tidy(_verify(size, percent)), "a long, b long")
     return materialize(found, "found")
 
 
@@ -330,45 +405,57 @@ def ngram_jaccard(documents: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    sketch = materialize(docs.select("k", "doc_id", "text").mapInArrow(_sketch(size), _SKETCH), "sketch")
+    sketch = materialize(docs.select("k", "doc_id", "text").mapInArrow(g.tidy(_sketch(size)), _SKETCH), "sketch")
     frequent = spark.sparkContext.broadcast(_frequent(sketch))
-    answers = recurring(docs.select("text"), _cut_keys(size, percent, frequent), parts_for(documents), distinct=True, gathered=1 << 19)
-    postings = materialize(_able(_postings(answers), percent), "postings")
+    shared = recurring(docs.select("text"), _cut_keys(size, percent, frequent), parts_for(documents), distinct=True,
+                       gathered=1 << 19, then=_postings, schema="gram long, node long, n long, rank long")
+    postings = materialize(_able(shared.distinct(), percent), "postings")
     rows = sketch.filter("gram IS NULL").select("k", "doc_id", "node", "n")
     # one row for each set that shares a column with another
-    wanted = rows.filter("n > 0").groupBy("node").agg(F.min("k").alias("k")).join(
-        postings.select("node").distinct(), "node", "left_semi")
-    texts = materialize(docs.join(wanted, "k").select("node", "text").dropDuplicates(["node"]), "texts")
+    chosen = rows.filter("n > 0").join(postings.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("k").alias("k"))
+    sets = sketch.filter("gram IS NULL").select("k", "n", "bits", *_SMALL).join(chosen, "k").groupBy("node", "k", "n", *_SMALL).agg(
+        F.first("bits").alias("bits"))
+    sets = materialize(sets, "sets")
     labels = None
     for round_ in range(TRIES + 1):
         if labels is None:
             now = postings.withColumn("component", F.col("node"))
         else:
             now = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = _tries(now, percent, round_) if round_ < TRIES else _rest(now, percent)
-        found = _verified(pairs, texts, size, percent)
+        pairs = _tries(now, percent, round_) if round_ < TRIES else _rest(now.join(sets.select("node", *_SMALL), "node"), percent)
+        found = _verified(pairs, sets, docs, size, percent)
         if not found.isEmpty():
             labels = materialize(_joined(labels, found), "labels")
     if labels is None:
         labels = postings.limit(0).select("node", F.col("node").alias("component"))
-    named = rows.join(labels, "node", "left").withColumn(
-        "component", F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.xxhash64("k", F.lit("alone"))))
-    # hot components combine before the shuffle; the join back is split where it is skewed
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "component", "left")
-    return out.select("k", "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"), "component",
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # sets find their components, then rows their sets; rows of a set of their own have no need to
+    held = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
+    held = held.join(labels, "node", "left").filter((F.col("c") > 1) | F.col("component").isNotNull())
+    held = held.select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = held.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = salted_join(held.select("node", "component"), least, "component", "node", SALTS)
+    out = salted_join(rows, known, "node", "k", SALTS)
+    return out.select(
+        "k", "doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("class_id"),
+        F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.xxhash64("k", F.lit("alone"))).alias("component"),
+        F.when((F.col("n") > 0) & F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one row of each component: that with the smallest doc_id.
 
     A null doc_id comes last; of equal ones the smaller hash of the text stays,
-    and of rows equal in both one.
+    and of rows equal in both one. Texts without words, null or empty, are each
+    a component of their own. Other columns pass, whatever their names; no rows
+    give no rows.
     """
-    rows = ngram_jaccard(documents, size, percent)
+    rows = ngram_jaccard(documents, size, percent).groupBy("component", "doc_id", "k").agg(F.count("*").alias("times"))
     kept = rows.groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("m")).select(F.col("m.k").alias("_k"))
-    chosen = documents.withColumn("_k", F.xxhash64("doc_id", "text")).join(kept.distinct(), "_k")
-    once = Window.partitionBy("_k").orderBy("_k")
-    return chosen.withColumn("_r", F.row_number().over(once)).filter("_r = 1").select(*documents.columns)
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k", "times")).alias("m"))
+    key, times = unused(documents, "key"), unused(documents, "times")
+    kept = materialize(kept.select(F.col("m.k").alias(key), F.col("m.times").alias(times)).distinct(), "kept")
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    # rows that are there once need no choice
+    once = keyed.join(kept.filter(F.col(times) == 1).select(key), key, "left_semi")
+    again = keyed.join(kept.filter(F.col(times) > 1).select(key), key, "left_semi").dropDuplicates([key])
+    return once.select(*documents.columns).union(again.select(*documents.columns))

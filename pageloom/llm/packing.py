@@ -157,7 +157,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         stream = Stream(window, sentence, within, enders)
         for batch in batches:
             data, at = g.texts(batch.column("text"))
-            for i, j in g.slices(at, 4 * g.SLICE):
+            for i, j in g.slices(at):
                 ids, counts = words.of(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 stream.add(batch.column("doc_id").slice(i, j - i).to_pylist(), ids, counts + 1)
@@ -167,4 +167,4 @@ def pack(documents: DataFrame, tokenizer: str, window: int = 2048, end_id: int =
         if out is not None:
             yield out
 
-    return documents.select("doc_id", "text").mapInArrow(run, _OUT)
+    return documents.select("doc_id", "text").mapInArrow(g.tidy(run), _OUT)

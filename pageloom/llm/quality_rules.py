@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .components import unused
 
 #: white space between words (fixed values)
 WHITE = " \t\n\x0b\f\r"
@@ -117,7 +118,7 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
     by_lang = merged(["lang"]).select(F.col("lang").alias("l"), F.struct("rows", *names).alias("mid"))
     overall = merged([]).filter("rows > 0").select(F.struct("rows", *names).alias("top"))
-    out = fine.join(by_lang, fine["lang"].eqNullSafe(by_lang["l"])).join(overall)
+    out = fine.join(by_lang, fine["lang"].eqNullSafe(by_lang["l"])).join(F.broadcast(overall))
     pick = F.when(F.col("rows") >= SMALL, F.struct("rows", *names)).when(
         F.col("mid.rows") >= SMALL, F.col("mid")).otherwise(F.col("top"))
     out = out.select("lang", "source", pick.alias("s"))
@@ -163,12 +164,14 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that the rules keep, unchanged.
+    """The rows of ``documents`` that the rules keep, unchanged, with all their columns.
 
-    The verdicts are narrow and written once. A filter on them is joined back:
-    put above the measures it would be pushed below them and measure the text
-    again for every place where a measure is used.
+    Cases as in ``quality_rules``; repeated rows stay or go together, and no
+    rows give no rows. The verdicts are narrow and written once. A filter on
+    them is joined back: put above the measures it would be pushed below them
+    and measure the text again for every place where a measure is used.
     """
-    kept = quality_rules(documents).filter("kept").select(F.col("row_key").alias("_row_key")).distinct()
-    keyed = documents.withColumn("_row_key", row_key())
-    return keyed.join(kept, "_row_key", "left_semi").select(*documents.columns)
+    key = unused(documents, "row_key")
+    kept = quality_rules(documents).filter("kept").select(F.col("row_key").alias(key)).distinct()
+    keyed = documents.withColumn(key, row_key())
+    return keyed.join(kept, key, "left_semi").select(*documents.columns)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grams as g
+
 #: keys that a task gathers before it sends them on
 GATHERED = 1 << 20
 
@@ -105,7 +107,7 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _answer(parts: int):
+def _answer(then: Callable | None):
     def answer(table: pa.Table) -> pa.Table:
         known = table.filter(pa.compute.is_valid(table.column("owner"))).select(["owner", "keys", "extras"])
         told = table.filter(pa.compute.is_null(table.column("owner")))
@@ -126,13 +128,14 @@ def _answer(parts: int):
                 out_extras.append(x)
         out = pa.table({"owner": pa.array(out_owner, pa.int64()), "keys": pa.array(out_keys, pa.binary()),
                         "extras": pa.array(out_extras, pa.binary())})
-        return pa.concat_tables([known.cast(out.schema), out]) if known.num_rows else out
+        out = pa.concat_tables([known.cast(out.schema), out]) if known.num_rows else out
+        return out if then is None else then(out)
 
     return answer
 
 
 def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool = False,
-              gathered: int = GATHERED) -> DataFrame:
+              gathered: int = GATHERED, then: Callable | None = None, schema: str = _ANSWER) -> DataFrame:
     """Rows (owner, keys, extras) of the keys that recur; an owner may have several rows.
 
     ``keys_of(batch)`` yields (keys, owners, extras, ranks) arrays for slices of
@@ -140,7 +143,7 @@ def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool =
     that are handed back with it, and with ``distinct`` the 64-bit number that
     must differ for a key to count as recurring (without, any second occurrence
     counts); owners of one rank and copies that meet only across tasks count as recurring too,
-    so ``distinct`` gives a superset for an exact step to come. ``keys`` and ``extras`` of the result are arrays of 8-byte numbers.
+    so ``distinct`` gives a superset for an exact step to come. ``then`` turns the answers of a range into rows of ``schema``. ``keys`` and ``extras`` of the result are arrays of 8-byte numbers.
     """
 
     def run(batches):
@@ -156,7 +159,7 @@ def recurring(df: DataFrame, keys_of: Callable, parts: int, *, distinct: bool =
         if lots:
             yield _send(*(np.concatenate(x) for x in zip(*lots)), parts, distinct)
 
-    return df.mapInArrow(run, _SENT).groupBy("part").applyInArrow(_answer(parts), _ANSWER)
+    return df.mapInArrow(g.tidy(run), _SENT).groupBy("part").applyInArrow(_answer(then), schema)
 
 
 def by_owner(answers: DataFrame) -> DataFrame:

@@ -27,8 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .components import unused
 from .quality_rules import with_words
 
+#: a character of keys, and a run of them that may be one (fixed values)
+RUN = r"[A-Za-z0-9+/=_\-]"
 CANDIDATE = r"(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|apikey|credential|auth|private|access.?key|bearer)"
 ASSIGNS = r"[=:]['\"]?$"
@@ -171,13 +174,20 @@ def secret_scan(documents: DataFrame, findings: DataFrame | None = None, sample:
 def redacted(documents: DataFrame, found: DataFrame) -> DataFrame:
     """``documents`` with secrets of ``found`` replaced; n_chars follows where it is a column.
 
-    Rows are matched by a hash of id and text; texts without secrets pass unchanged.
+    Rows are matched by a hash of id and text; texts without secrets, also null
+    and empty ones, pass unchanged, repeated rows are treated alike, and other
+    columns pass, whatever their names. A secret is replaced wherever it is a
+    whole run of characters of keys, so nothing is left of a secret that holds
+    another one, and longer runs that are none stay. No rows give no rows.
     """
-    secrets = found.filter("is_secret").groupBy("k").agg(F.collect_set("candidate").alias("_secrets"))
-    keyed = documents.withColumn("_k", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(secrets.withColumnRenamed("k", "_k"), "_k", "left")
-    text = F.aggregate(F.col("_secrets"), F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    out = joined.withColumn("text", F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(text))
+    key, secrets = unused(documents, "key"), unused(documents, "secrets")
+    held = found.filter("is_secret").groupBy(F.col("k").alias(key)).agg(F.array_sort(F.collect_set("candidate")).alias(secrets))
+    keyed = documents.withColumn(key, F.xxhash64("doc_id", "text"))
+    joined = keyed.join(held, key, "left")
+    quoted = F.transform(secrets, lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E")))
+    pattern = F.concat(F.lit(f"(?<!{RUN})(?:"), F.array_join(quoted, "|"), F.lit(f")(?!{RUN})"))
+    out = joined.withColumn("text", F.when(F.col(secrets).isNull(), F.col("text")).otherwise(
+        F.regexp_replace("text", pattern, F.lit(REDACTED))))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+        out = out.withColumn("n_chars", F.when(F.col(secrets).isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return out.select(*documents.columns)

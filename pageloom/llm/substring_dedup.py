@@ -194,4 +194,4 @@ def substring_dedup(documents: DataFrame, length: int = 35, seed: int = 5) -> Da
     seeded = docs.join(anchors, docs.k == anchors.owner).select("k", "doc_id", "text", "keys")
     repeats = by_owner(recurring(seeded, _window_keys(length, seed), parts))
     rows = docs.join(repeats, docs.k == repeats.owner, "left").select("k", "doc_id", "text", "extras")
-    return rows.mapInArrow(_cut(length), _OUT)
+    return rows.mapInArrow(g.tidy(_cut(length)), _OUT)

@@ -320,7 +320,7 @@ def suffix_dedup(documents: DataFrame, length: int = 50, seed: int = 20) -> Data
                                  parts_for(documents), distinct=True))
     seeded = docs.join(anchors, docs.k == anchors.owner).select("k", "doc_id", "text", "keys")
     parts = parts_for(documents, 1 << 20)
-    contexts = seeded.mapInArrow(_contexts(length, seed, parts), _SENT)
+    contexts = seeded.mapInArrow(g.tidy(_contexts(length, seed, parts)), _SENT)
     marks = by_owner(contexts.groupBy("part").applyInArrow(_marks(length), _MARKS))
     rows = docs.join(marks, docs.k == marks.owner, "left").select("k", "doc_id", "text", "keys", "extras")
-    return rows.mapInArrow(_cut(length), _OUT)
+    return rows.mapInArrow(g.tidy(_cut(length)), _OUT)

@@ -14,7 +14,7 @@ import numpy as np
 from . import grams as g
 
 #: distinct words kept by a worker before it starts anew
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 #: words encoded as one text
 JOINED = 512
 

@@ -22,7 +22,8 @@ def odd(make):
     rows = [(1, None), (2, ""), (3, " \n\t "), (4, long_text), (5, "one two three"), (5, "one two three"), (None, "one two three"),
             (6, "häß   \U0001f600 x" * 3), (7, "a." * 50), (5, "another text under the same id")]
     df = make(rows)
-    for name in ("k", "node", "n", "owner", "keys", "h", "lines_total", "_words", "score", "rank"):
+    for name in ("k", "node", "n", "owner", "keys", "h", "lines_total", "_words", "score", "rank", "_k", "_r", "key",
+                 "key_", "row_key", "_row_key", "secrets", "_secrets", "templates", "_templates", "times", "salt", "component"):
         df = df.withColumn(name, F.lit("clash"))
     return df
 

@@ -74,8 +74,8 @@ def test_jaccard_large_group_of_near_copies(make, monkeypatch):
         rows.append((i, " ".join(w)))
     want = jaccard(rows, 4, 85)
     assert len({c for _, c in want.values()}) > 1
-    for bound in (ngram_jaccard.SENT_PAIRS, 0):
-        monkeypatch.setattr(ngram_jaccard, "SENT_PAIRS", bound)
+    for bound in (ngram_jaccard.SENT_ROWS, 0):
+        monkeypatch.setattr(ngram_jaccard, "SENT_ROWS", bound)
         got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_jaccard.ngram_jaccard(make(rows), 4, 85).collect()}
         assert got == want
 

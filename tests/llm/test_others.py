@@ -282,6 +282,22 @@ def test_secrets_are_told_from_look_alikes(make):
     assert all(out[i].text == t for i, t in rows if i % 3) and all(x.n_chars == len(x.text) for x in out.values())
 
 
+def test_nothing_is_left_of_a_secret_within_another(spark):
+    """One secret is the head, the tail or the middle of another one, or of a run that is none."""
+    a = "Zk3Jq8Lm2Xv7Tn5Rw"
+    texts = [f"token={a} key={a}ZZ99 end", f"x {a}ZZ99 y", f"(00{a}) {a}. 00{a}11", f"path/{a} stays, {a} goes", "none", None,
+             "regex =a+b/c_d-e=0123456789\\E$1 here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("_secrets", F.lit("kept"))
+    k = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    secrets = [a, a + "ZZ99", "00" + a, "00" + a + "11", "=a+b/c_d-e=0123456789"]
+    found = k.crossJoin(spark.createDataFrame([(s, True) for s in secrets], "candidate string, is_secret boolean"))
+    out = {r.doc_id: r.text for r in secret_scan.redacted(docs, found).collect()}
+    hidden = secret_scan.REDACTED
+    assert out == {0: f"token={a} key={a}ZZ99 end", 1: f"x {hidden} y", 2: f"({hidden}) {hidden}. {hidden}",
+                   3: f"path/{a} stays, {hidden} goes", 4: "none", 5: None, 6: f"regex {hidden}\\E$1 here"}
+    assert secret_scan.redacted(docs, found).columns == docs.columns
+
+
 def test_secrets_odd_rows(odd, none):
     found = secret_scan.secret_scan(odd)
     assert found.filter("is_secret").count() == 0
@@ -313,6 +329,22 @@ def test_pipeline_stages(spark, small_dir):
     check_packed(list(last.items()), docs.collect(), 2048)
 
 
+def test_pipeline_on_odd_rows(spark, odd):
+    """Nulls, empty and very long texts, repeated rows and clashing names go through every stage."""
+    import corpus_pipeline
+    from pageloom.session import materialize
+
+    docs = odd.withColumns({"lang": F.when(F.col("doc_id") > 4, F.col("lang")), "source": F.when(F.col("doc_id") < 6, F.col("source"))})
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, ""), "odd")
+        if name != "packing":
+            assert out.columns == odd.columns
+            assert out.filter("k <> 'clash'").isEmpty()
+        docs = out
+    # only the long text has ten words, of which few repeat
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == {4}
+
+
 def test_pipeline_on_empty_tables(spark, none):
     import corpus_pipeline
 
