@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels
-from ..functions import text as tx
 from ..schemas import GLOSSARY_ENTRY
-from . import ordered
 
 # Fixed value: the frame of a hint.
 HINT_HEAD = "\nHint for specific terms:\n"
-SMALL_GLOSSARY = 2000
-LONGEST_GRAM = 8
+#: a glossary up to this size is sent to all tasks; characters of a block of messages beyond it
+SENT_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -32,72 +32,91 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _occurs(text: Column, term: Column, whole_word: bool) -> Column:
-    """Both sides are in lower case already."""
-    found = F.contains(text, term)
-    if not whole_word:
-        return found
-    edge = r"[\p{L}\p{N}_]"
-    return found & F.rlike(text, F.concat(F.lit(rf"(?<!{edge})\Q"), term, F.lit(rf"\E(?!{edge})")))
-
-
 def _terms(glossary: DataFrame) -> DataFrame:
     """Rows that have a term: an empty or missing one occurs nowhere."""
     return glossary.filter(F.col("term") != "")
 
 
-def matches(messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False) -> DataFrame:
+class _Automaton:
+    """All terms at once: a text is read once, whatever the number of terms."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.rows: dict[str, list[int]] = {}
+        for i, term in enumerate(terms):
+            self.rows.setdefault(term, []).append(i)
+        self.found = ahocorasick.Automaton()
+        for term in self.rows:
+            self.found.add_word(term, term)
+        self.found.make_automaton()
+
+    def scan(self, text: str, whole_word: bool) -> list[int]:
+        """Rows of the terms that occur in ``text``; both are in lower case already."""
+        if not self.rows:
+            return []
+        met = set()
+        for end, term in self.found.iter(text):
+            if term not in met and not (whole_word and (_in_word(text, end + 1) or _in_word(text, end - len(term)))):
+                met.add(term)
+        return sorted(i for term in met for i in self.rows[term])
+
+
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+
+
+def matches(
+    messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False,
+    sent_bytes: int = SENT_BYTES,
+) -> DataFrame:
     """(key, term, …) for every term that occurs in a message, ignoring case.
 
-    A glossary of at most ``SMALL_GLOSSARY`` terms goes to the messages as one
-    array. A larger one is joined on the first characters of the term, which
-    must occur in the message as well, so no match is lost.
-    """
-    glossary = _terms(glossary)
-    rows = ordered.bounded_rows(glossary, SMALL_GLOSSARY)
-    if rows is not None:
-        if not rows:
-            types = {c: t for c, t in glossary.dtypes if c not in key}
-            return messages.select(*key, *[F.lit(None).cast(t).alias(c) for c, t in types.items()]).limit(0)
-        columns = glossary.columns
-        # one JSON literal: Spark folds it into a constant when it plans
-        fields = ",".join(f"{c}:{glossary.schema[c].dataType.simpleString()}" for c in columns)
-        packed = json.dumps([{**r.asDict(), "_low": r["term"].lower()} for r in rows])
-        entries = F.from_json(F.lit(packed), f"array<struct<{fields},_low:string>>")
-        hits = tx.let(
-            F.lower(F.col(text)),
-            lambda low: F.filter(entries, lambda g: _occurs(low, g["_low"], whole_word)),
-        )
-        return messages.select(*key, F.inline(hits)).drop("_low")
-    return matches_by_prefix(messages, glossary, key, text, whole_word)
-
-
-def matches_by_prefix(messages: DataFrame, glossary: DataFrame, key: list[str], text: str = "text", whole_word: bool = False) -> DataFrame:
-    """As ``matches`` for a glossary of any size.
-
-    All terms are keyed by their first ``n`` characters, where ``n`` is the
-    length of the shortest term, so one set of grams per message is enough.
+    The terms are one Aho-Corasick automaton, so neither a frequent gram nor a
+    short term makes a hot key. A glossary of at most ``sent_bytes`` goes to
+    the messages, which are not shuffled. A larger one is cut into parts, and
+    every part meets every block of messages in a task of its own.
     """
-    terms = _terms(glossary)
-    shortest = terms.agg(F.min(F.length("term"))).first()[0]
-    n = min(LONGEST_GRAM, shortest or 1)
-
-    def grams(low: Column) -> Column:
-        return F.when(
-            F.length(low) >= n,
-            F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, F.lit(n))),
-        )
-
-    keyed = terms.withColumn("_gram", F.substring(F.lower("term"), 1, n))
-    spread = messages.select(*key, F.lower(text).alias("_text")).select(
-        *key, "_text", F.explode(F.array_distinct(tx.let(F.col("_text"), grams))).alias("_gram")
-    )
-    # grams that start no term go first, before the text is shuffled
-    used = spread.join(keyed.select("_gram").distinct(), "_gram", "left_semi")
-    return (
-        used.join(keyed, "_gram").filter(_occurs(F.col("_text"), F.lower("term"), whole_word))
-        .drop("_gram", "_text")
-    )
+    columns = [c for c in glossary.columns if c not in key]
+    terms = _terms(glossary).withColumn("_low", F.lower("term"))
+    size = terms.agg(F.sum(F.length(F.to_json(F.struct(*terms.columns))))).first()[0] or 0
+    schema = T.StructType([messages.schema[k] for k in key] + [glossary.schema[c] for c in columns])
+    said = messages.select(*key, F.lower(F.col(text)).alias("_low_text")).filter("_low_text IS NOT NULL")
+    if size <= sent_bytes:
+        sent = messages.sparkSession.sparkContext.broadcast(terms.select(*columns, "_low").toArrow())
+
+        def run(batches):
+            table = sent.value
+            automaton = _Automaton(table.column("_low").to_pylist())
+            for batch in batches:
+                message, row = [], []
+                for i, low in enumerate(batch.column("_low_text").to_pylist()):
+                    hits = automaton.scan(low, whole_word)
+                    message += [i] * len(hits)
+                    row += hits
+                found = table.take(pa.array(row, pa.int64())).combine_chunks()
+                left = batch.take(pa.array(message, pa.int64()))
+                if message:
+                    yield pa.RecordBatch.from_arrays(
+                        [left.column(k) for k in key] + [found.column(c).combine_chunks() for c in columns], names=[*key, *columns])
+
+        return said.mapInArrow(run, schema)
+    parts = -(-size // sent_bytes)
+    volume = said.agg(F.sum(F.length("_low_text"))).first()[0] or 0
+    blocks = int(max(1, -(-volume // BLOCK_BYTES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
+    left = said.select("*", F.pmod(F.xxhash64(*key, "_low_text"), F.lit(blocks)).cast("int").alias("_block"), every(parts).alias("_part"))
+    right = terms.select(*columns, "_low", F.pmod(F.xxhash64("_low"), F.lit(int(parts))).cast("int").alias("_part"), every(blocks).alias("_block"))
+
+    def cell(some: pa.Table, table: pa.Table) -> pa.Table:
+        automaton = _Automaton(table.column("_low").to_pylist())
+        message, row = [], []
+        for i, low in enumerate(some.column("_low_text").to_pylist()):
+            hits = automaton.scan(low, whole_word)
+            message += [i] * len(hits)
+            row += hits
+        some, table = some.take(pa.array(message, pa.int64())), table.take(pa.array(row, pa.int64()))
+        return pa.table([some.column(k) for k in key] + [table.column(c) for c in columns], names=[*key, *columns])
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(cell, schema)
 
 
 def hints(matched: DataFrame, key: list[str]) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import labels
 from ..functions import text as tx
+from ..session import materialize
 from . import ordered
 
 SORTABLE = ("created_at", "updated_at", "timestamp", "title")
@@ -214,3 +216,20 @@ def refresh_batches(
 
 def with_labels(results: DataFrame, now: Column) -> DataFrame:
     return results.withColumn("date_label", labels.relative_date(F.col("created_at"), now))
+
+
+def numbered(df: DataFrame, order: list[Column], columns: list[str], name: str = "row_no") -> DataFrame:
+    """``columns`` of all rows with their place (from 1) in a total order.
+
+    The sort is by ranges and no task sees all rows: places within a range are
+    counted up from the sizes of the ranges before it.
+    """
+    place = F.monotonically_increasing_id()  # range in the upper bits, place within it in the lower 33
+    rows = materialize(df.orderBy(*order).select(*columns, place.alias("_at")), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    sizes = sizes.select("_part", before.alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(sizes), part == F.col("_part")).select(
+        *columns, (F.col("_before") + inside + 1).cast("bigint").alias(name))

@@ -8,7 +8,6 @@ table of queries and nodes is ever written or shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -143,6 +142,7 @@ def dense_search(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         arrow_ids = pa.array(ids, id_type)
+        best: pa.Table | None = None  # the best rows of the partition so far
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
@@ -150,21 +150,38 @@ def dense_search(
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             data = flat.astype(np.float64).reshape(batch.num_rows, -1)
             scores = np.round(_scores(data, matrix, metric), DECIMALS)
-            if names:
-                keys = pa.table([batch.column(c) for c in names], names=names).to_pandas()
-                groups = keys.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
-            else:
-                groups = np.zeros(batch.num_rows, dtype=int)
-            r, c = _best(scores, groups, k)
-            columns = [arrow_ids.take(pa.array(c))]
-            columns += [batch.column(n).take(pa.array(r)) for n in names]
-            columns += [batch.column("node_id").take(pa.array(r)), pa.array(scores[r, c])]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", *names, "node_id", "score"])
+            r, c = _best(scores, _groups(batch, names), k)
+            rows = pa.array(r)
+            found = pa.table([pa.array(c), *[batch.column(n).take(rows) for n in names], batch.column("node_id").take(rows),
+                              pa.array(scores[r, c])], names=["_query", *names, "node_id", "score"])
+            best = found if best is None else _merged(pa.concat_tables([best, found]), ["_query", *names], k)
+        if best is not None:
+            columns = [arrow_ids.take(best.column("_query").combine_chunks()), *[best.column(n) for n in [*names, "node_id", "score"]]]
+            yield from pa.table(columns, names=["query_id", *names, "node_id", "score"]).to_batches()
 
     local = nodes.select("node_id", "embedding", *by).mapInArrow(run, schema)
     return _top(local, k, by)
 
 
+def _groups(rows: pa.RecordBatch | pa.Table, names: Sequence[str]) -> np.ndarray:
+    """A number for each row's values of ``names``."""
+    if not names:
+        return np.zeros(rows.num_rows, dtype=int)
+    keys = pa.table([rows.column(c) for c in names], names=list(names)).to_pandas()
+    return keys.groupby(list(names), sort=False, dropna=False).ngroup().to_numpy()
+
+
+def _merged(rows: pa.Table, names: Sequence[str], k: int) -> pa.Table:
+    """The best k rows of each group, ties to the smaller node."""
+    node = pc.rank(rows.column("node_id"), sort_keys="ascending", tiebreaker="dense").to_numpy()
+    group, score = _groups(rows, names), rows.column("score").to_numpy()
+    order = np.lexsort((node, -score, group))
+    group = group[order]
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return rows.take(pa.array(np.sort(order[place < k]))).combine_chunks()
+
+
 def _top(scored: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return ordered.top_per_key(
         scored, ["query_id", *by], [F.col("score").desc(), F.col("node_id").asc()], k
@@ -220,75 +237,181 @@ def dense_search_grid(
 # ---- approximate dense search ----------------------------------------------
 
 def train_cells(nodes: DataFrame, n_cells: int, seed: int = 7) -> np.ndarray:
-    """Centres of ``n_cells`` cells of unit vectors, by distributed k-means."""
+    """Centres of ``n_cells`` cells of unit vectors, by distributed k-means; none without vectors."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     # a vector of zeros has no direction; it belongs to any cell
     points = nodes.filter(F.exists("embedding", lambda x: x != 0)).select(array_to_vector("embedding").alias("features"))
+    if points.isEmpty():
+        return np.zeros((0, 0))
     model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.asarray(model.clusterCenters(), dtype=np.float64)
 
 
-def assign_cells(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Add the nearest cell; store the table partitioned by ``cell`` to prune scans."""
-    shared = nodes.sparkSession.sparkContext.broadcast(centres)
+def _nearest(centres: np.ndarray, spark, count: int):
+    """A column function: the numbers of the ``count`` cells nearest to a vector."""
+    shared = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("array<int>")
+    def nearest(embedding: pd.Series) -> pd.Series:
+        order = np.argsort(-_scores(_matrix(embedding), shared.value, "COSINE"), axis=1, kind="stable")[:, :count]
+        return pd.Series(list(order.astype("int32")))
+
+    return nearest
 
-    @F.pandas_udf("int")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series(_scores(_matrix(vectors), shared.value, "COSINE").argmax(1).astype("int32"))
 
-    return nodes.withColumn("cell", nearest("embedding"))
+def assign_cells(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add the nearest cell; store the table partitioned by ``cell`` to prune scans."""
+    if not len(centres):
+        return nodes.withColumn("cell", F.lit(0))
+    return nodes.withColumn("cell", F.element_at(_nearest(centres, nodes.sparkSession, 1)("embedding"), 1))
 
 
 def probed_search(
-    nodes: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, block: int = QUERY_BLOCK
+    nodes: DataFrame, queries: DataFrame, centres: np.ndarray, k: int, probes: int, metric: str = "COSINE",
+    by: Sequence[str] = (), node_block: int = 20_000, query_block: int = 2_000,
 ) -> DataFrame:
     """Top k by cosine among the nodes of each query's ``probes`` nearest cells.
 
     Approximate: ``probes`` trades time for recall, and all cells give the
-    exact result. Only probed cells are read. More queries than ``block`` are
-    cut into blocks by a hash of their id, each of which probes.
+    exact result. Only probed cells are read. Queries and nodes meet in one
+    job, by cell and by blocks within it, so neither many queries nor a large
+    cell is a task of its own. Queries of one id (NULL is one) are one query:
+    a node counts once for them, with its best score. Without cells the search
+    is exact.
     """
-    rows = ordered.bounded_rows(queries.select("query_id", "embedding"), block)
-    if rows is None:
-        parts = -(-2 * queries.count() // block)
-        return reduce(DataFrame.unionByName, [
-            probed_search(nodes, queries.filter(F.pmod(F.xxhash64("query_id", F.lit(parts)), F.lit(parts)) == i),
-                          centres, k, probes, block)
-            for i in range(parts)])
-    if not rows:
-        return dense_search(nodes, queries, k)
-    matrix = _matrix([r.embedding for r in rows])
-    near = np.argsort(-_scores(matrix, centres, "COSINE"), axis=1, kind="stable")[:, :probes]
-    asked = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-    shared = nodes.sparkSession.sparkContext.broadcast(([r.query_id for r in rows], matrix, asked))
-    schema = T.StructType(
-        [queries.schema["query_id"], nodes.schema["node_id"], T.StructField("score", T.DoubleType())]
-    )
-    id_type = to_arrow_type(queries.schema["query_id"].dataType)
+    metric, names = _check_metric(metric), list(by)
+    if not len(centres):
+        return dense_search(nodes, queries, k, metric, by)
+    asked = queries.select("query_id", F.col("embedding").alias("q_embedding"),
+                           F.explode(_nearest(centres, nodes.sparkSession, probes)("embedding")).alias("cell"))
+    met = _by_cells(nodes, asked, names, lambda scores, groups: _best(scores, groups, k), metric, node_block, query_block)
+    once = met.groupBy("query_id", *names, "node_id").agg(F.max("score").alias("score"))
+    return _top(once, k, by)
+
+
+def _by_cells(
+    nodes: DataFrame, asked: DataFrame, names: Sequence[str], pick: Callable, metric: str, node_block: int, query_block: int
+) -> DataFrame:
+    """(query_id, names, node_id, score) of what ``pick`` takes of the scores of a block of queries and one of nodes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, all_queries, by_cell = shared.value
-        arrow_ids = pa.array(ids, id_type)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column("node_id")))
-            cells = batch.column("cell").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            data = flat.astype(np.float64).reshape(batch.num_rows, -1)
-            for cell in np.unique(cells):
-                at, who = np.flatnonzero(cells == cell), by_cell[int(cell)]
-                scores = np.round(_scores(data[at], all_queries[who], "COSINE"), DECIMALS)
-                r, c = _best(scores, np.zeros(len(at), dtype=int), k)
-                yield pa.RecordBatch.from_arrays(
-                    [arrow_ids.take(pa.array(who[c])), batch.column("node_id").take(pa.array(at[r])), pa.array(scores[r, c])],
-                    names=["query_id", "node_id", "score"],
-                )
-
-    wanted = nodes.filter(F.col("cell").isin([int(c) for c in asked]))
-    return _top(wanted.select("node_id", "embedding", "cell").mapInArrow(run, schema), k)
+    ``asked`` holds query_id, q_embedding and the cells that a query goes to.
+    """
+    asked = materialize(asked, "asked")
+    # one row for each cell on the driver
+    many = {r.cell: r.n for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = nodes.filter(F.col("cell").isin(list(many)) if many else F.lit(False))
+    held = {r.cell: r.n for r in wanted.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def blocks(counts: dict, size: int) -> Column:
+        pairs = [F.lit(x) for c, n in counts.items() for x in (int(c), int(-(-n // size)))]
+        return F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(1)) if pairs else F.lit(1)
+
+    n_blocks, q_blocks = blocks(held, node_block), blocks(many, query_block)
+    others = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    left = wanted.select("node_id", "embedding", *names, "cell", F.pmod(F.xxhash64("node_id"), n_blocks).alias("_n"), others(q_blocks).alias("_q"))
+    right = asked.select("query_id", "q_embedding", "cell", F.pmod(F.xxhash64("query_id", "q_embedding"), q_blocks).alias("_q"),
+                         others(n_blocks).alias("_n"))
+    schema = T.StructType([asked.schema["query_id"], *[nodes.schema[c] for c in names], nodes.schema["node_id"],
+                           T.StructField("score", T.DoubleType())])
+    columns = ["query_id", *names, "node_id", "score"]
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        if a.num_rows and b.num_rows:
+            a = a.take(pc.sort_indices(a.column("node_id")))
+            scores = _table_scores(a, b, metric)
+            r, c = pick(scores, _groups(a, names))
+        else:
+            scores, r, c = np.zeros((1, 1)), np.zeros(0, int), np.zeros(0, int)
+        rows = pa.array(r, pa.int64())
+        return pa.table([b.column("query_id").take(pa.array(c, pa.int64())), *[a.column(n).take(rows) for n in names],
+                         a.column("node_id").take(rows), pa.array(scores[r, c], pa.float64())], names=columns)
+
+    return left.groupBy("cell", "_n", "_q").cogroup(right.groupBy("cell", "_n", "_q")).applyInArrow(cell, schema)
+
+
+def _table_scores(nodes: pa.Table, queries: pa.Table, metric: str) -> np.ndarray:
+    one, two = (_matrix(t.column(c).to_pylist()) for t, c in ((nodes, "embedding"), (queries, "q_embedding")))
+    return np.round(_scores(one, two, metric), DECIMALS)
+
+
+def range_search(
+    nodes: DataFrame, queries: DataFrame, threshold: float, pivots: int = 16, node_block: int = 20_000, query_block: int = 2_000
+) -> DataFrame:
+    """(query_id, node_id, score): all nodes whose cosine with a query is ``threshold`` or more.
+
+    Exact, without a k. Some nodes are pivots and every node belongs to the
+    nearest one. A query skips the cells whose nodes are all too far by the
+    triangle inequality of angles; the rest is compared in blocks, and only
+    what reaches the threshold leaves them.
+    """
+    chosen = nodes.filter(F.exists("embedding", lambda x: x != 0)).orderBy(F.xxhash64("node_id"), "node_id").limit(pivots)
+    centres = [r.embedding for r in chosen.select("embedding").collect()]
+    if not centres:
+        centres = [[1.0]]
+    matrix = _matrix(centres)
+    shared = nodes.sparkSession.sparkContext.broadcast(matrix)
+
+    def angles(embedding: pd.Series) -> np.ndarray:
+        data = _matrix(embedding)
+        if data.shape[1] != shared.value.shape[1]:
+            return np.full((len(data), len(shared.value)), np.pi / 2)
+        return np.arccos(np.clip(_scores(data, shared.value, "COSINE"), -1, 1))
+
+    @F.pandas_udf("cell int, angle double")
+    def placed(embedding: pd.Series) -> pd.DataFrame:
+        a = angles(embedding)
+        return pd.DataFrame({"cell": a.argmin(1).astype("int32"), "angle": a.min(1)})
+
+    held = materialize(nodes.withColumn("_p", placed("embedding")).select("node_id", "embedding", "_p.cell", "_p.angle"), "cells")
+    reach = np.full(len(matrix), -np.inf)
+    for r in held.groupBy("cell").agg(F.max("angle").alias("a")).collect():  # a row for each pivot
+        reach[r.cell] = r.a
+    far = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6 if threshold > -1 else np.inf
+
+    @F.pandas_udf("array<int>")
+    def cells(embedding: pd.Series) -> pd.Series:
+        near = angles(embedding) - reach[None, :] <= far
+        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+
+    asked = queries.select("query_id", F.col("embedding").alias("q_embedding"), F.explode(cells("embedding")).alias("cell"))
+    return _by_cells(held, asked, [], lambda scores, groups: np.nonzero(scores >= threshold), "COSINE", node_block, query_block)
+
+
+def score_groups(
+    nodes: DataFrame, queries: DataFrame, by: Sequence[str], metric: str = "COSINE", node_block: int = 20_000, query_block: int = 2_000
+) -> DataFrame:
+    """(query_id, *by, n, best, mean) over the scores of all nodes of a group; no pair leaves its block."""
+    names, metric = list(by), _check_metric(metric)
+    n_blocks = max(1, -(-nodes.count() // node_block))
+    q_blocks = max(1, -(-queries.count() // query_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = nodes.select("embedding", *names, embedding.salt_of("node_id", n_blocks).alias("_n"), every(q_blocks).alias("_q"))
+    right = queries.select("query_id", F.col("embedding").alias("q_embedding"), embedding.salt_of("query_id", q_blocks).alias("_q"),
+                           every(n_blocks).alias("_n"))
+    schema = T.StructType([queries.schema["query_id"], *[nodes.schema[c] for c in names], T.StructField("n", T.LongType()),
+                           T.StructField("best", T.DoubleType()), T.StructField("total", T.DoubleType())])
+    columns = ["query_id", *names, "n", "best", "total"]
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        query, first, n, best, total = [], [], [], [], []
+        if a.num_rows and b.num_rows:
+            scores, groups = _table_scores(a, b, metric), _groups(a, names)
+            for group in np.unique(groups):
+                at = np.flatnonzero(groups == group)
+                query += range(b.num_rows)
+                first += [int(at[0])] * b.num_rows
+                n += [len(at)] * b.num_rows
+                best += scores[at].max(0).tolist()
+                total += scores[at].sum(0).tolist()
+        rows = pa.array(first, pa.int64())
+        return pa.table([b.column("query_id").take(pa.array(query, pa.int64())), *[a.column(c).take(rows) for c in names],
+                         pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], names=columns)
+
+    met = left.groupBy("_n", "_q").cogroup(right.groupBy("_n", "_q")).applyInArrow(cell, schema)
+    return met.groupBy("query_id", *names).agg(
+        F.sum("n").alias("n"), F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -228,14 +228,14 @@ def glossary_scan(spark, sf):
 
 
 _TERMS = r"""
-    terms AS (SELECT DISTINCT w AS term, upper(w) AS full_name, 'zh ' || w AS translation,
+    terms AS (SELECT DISTINCT w AS term, 'full ' || w AS full_name, 'zh ' || w AS translation,
                      CASE WHEN length(w) % 2 = 0 THEN 'even' ELSE '' END AS remarks
-              FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) x WHERE length(w) >= 9)"""
+              FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark) x)"""
 
 
 def _terms(spark, sf):
-    w = tb.table(spark, sf, "benchmark").select(F.explode(tx.terms(F.col("text"))).alias("term")).filter(F.length("term") >= 9).distinct()
-    return w.select("term", F.upper("term").alias("full_name"), F.concat(F.lit("zh "), "term").alias("translation"),
+    w = tb.table(spark, sf, "benchmark").select(F.explode(tx.terms(F.col("text"))).alias("term")).distinct()
+    return w.select("term", F.concat(F.lit("full "), "term").alias("full_name"), F.concat(F.lit("zh "), "term").alias("translation"),
                     F.when(F.length("term") % 2 == 0, "even").otherwise("").alias("remarks"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,20 +91,9 @@ def filtered_dense_search(spark, sf):
 @query("j10_similarity_pairs", f"""
     WITH {_VEC} SELECT query_id, label, count(*) AS n, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM cos GROUP BY ALL""")
 def similarity_pairs(spark, sf):
-    """Every query against every node: a block of queries at a time is one array."""
-    queries = _centroids(spark, sf)
-    blocks = -(-queries.count() // 500) or 1
-    parts = []
-    for i in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
-        if rows:
-            batch = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.embedding).alias("qv")) for r in rows])
-            parts.append(_vectors(spark, sf).select(
-                "label", F.inline(F.transform(batch, lambda q: F.struct(
-                    q["query_id"].alias("query_id"), vectors.cosine(q["qv"], F.col("embedding")).alias("score"))))))
-    scored = reduce(DataFrame.unionByName, parts)
-    out = scored.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"), F.avg("score").alias("mean"))
-    return _rounded(out, "best", "mean")
+    """Every query against every node, by blocks of both: only a row for each query, label and block leaves a task."""
+    scored = rt.score_groups(_vectors(spark, sf), _centroids(spark, sf), ["label"])
+    return _rounded(scored, "best", "mean")
 
 
 @query("o6_top_k_per_query", f"""
@@ -117,9 +105,8 @@ def top_k_per_query(spark, sf):
 
 @query("p13_similarity_cutoff", f"WITH {_VEC} SELECT query_id, node_id, round(score, 6) AS score FROM cos WHERE score >= 0.25")
 def similarity_cutoff(spark, sf):
-    v = _vectors(spark, sf)
-    hits = rt.dense_search(v, _centroids(spark, sf), v.count())
-    return _rounded(rt.cutoff(hits, 0.25)).select("query_id", "node_id", "score")
+    hits = rt.range_search(_vectors(spark, sf), _centroids(spark, sf), 0.25)
+    return _rounded(hits).select("query_id", "node_id", "score")
 
 
 @query("p18_output_fields", "SELECT vec_id AS node_id, 'label ' || label AS text FROM embeddings")
@@ -474,7 +461,8 @@ def index_operations(spark, sf):
     WITH e AS (SELECT DISTINCT source AS site_id, content AS text, content_hash, lang FROM docs),
     r AS (SELECT site_id, CASE WHEN lang = 'de' THEN sha256(text || ' replaced') ELSE content_hash END AS h,
                  CASE WHEN lang = 'de' THEN text || ' replaced' ELSE text END AS t FROM e)
-    SELECT DISTINCT site_id || ':' || h AS doc_id, CAST(len({_WORDS.format('t')}) AS BIGINT) AS tokens FROM r WHERE len({_WORDS.format('t')}) BETWEEN 1 AND 1024""", "docs"))
+    SELECT DISTINCT site_id || ':' || h AS doc_id, CAST(greatest(1, ceil((n - 256) / 768.0)) AS BIGINT) AS chunks, n AS tokens
+    FROM (SELECT *, CAST(len({_WORDS.format('t')}) AS BIGINT) AS n FROM r) y WHERE n > 0""", "docs"))
 def content_replacement(spark, sf):
     cols = ["node_id", "doc_id", "site_id", "content_hash", "chunk_no", "text"]
     base = tb.documents(spark, sf).select(F.col("source").alias("site_id"), "content_hash", F.col("content").alias("text"), "lang").dropDuplicates(["site_id", "content_hash"])
@@ -482,5 +470,7 @@ def content_replacement(spark, sf):
     edits = base.filter("lang = 'de'").select(
         "site_id", F.col("content_hash").alias("prev_content_hash"), F.concat("text", F.lit(" replaced")).alias("text"))
     after = rt.replace_content(fresh(base).select(*cols), edits, fresh)
-    whole = after.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(tx.word_count(F.col("text"))).alias("tokens"))
-    return whole.filter("n = 1").select("doc_id", "tokens")
+    # neighbouring chunks share 256 words
+    return after.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("chunks"),
+        (F.sum(tx.word_count(F.col("text"))) - 256 * (F.count(F.lit(1)) - 1)).cast("bigint").alias("tokens"))

@@ -574,25 +574,25 @@ def history_of_site(spark, sf):
 
 
 @query("o1_whitelisted_sort", sql("""
-    SELECT * FROM (SELECT 'title' AS by, document_id FROM docs ORDER BY title, document_id LIMIT 50)
-    UNION ALL SELECT * FROM (SELECT 'other', document_id FROM docs ORDER BY created_at DESC, document_id LIMIT 50)""", "docs"))
+    SELECT 'title' AS by, document_id, row_number() OVER (ORDER BY title, document_id) AS row_no FROM docs
+    UNION ALL SELECT 'other', document_id, row_number() OVER (ORDER BY created_at DESC, document_id) FROM docs""", "docs"))
 def whitelisted_sort(spark, sf):
     d = tb.documents(spark, sf)
-    by = lambda name, order: d.orderBy(*order).limit(50).select(F.lit(name).alias("by"), "document_id")
+    by = lambda name, order: ls.numbered(d, order, ["document_id"]).withColumn("by", F.lit(name))
     return by("title", ls.sort_columns("title", "asc")).unionByName(by("other", ls.sort_columns("n_chars", "asc")))
 
 
 @query("o2_search_sort", sql("""
-    SELECT * FROM (SELECT 'date' AS by, document_id FROM docs ORDER BY created_at DESC, document_id LIMIT 30)
-    UNION ALL SELECT * FROM (SELECT 'title', document_id FROM docs ORDER BY title, document_id LIMIT 30)
-    UNION ALL SELECT * FROM (SELECT 'custom', document_id FROM docs ORDER BY n_chars DESC, document_id LIMIT 30)
-    UNION ALL SELECT * FROM (SELECT 'default', document_id FROM docs ORDER BY document_id LIMIT 30)""", "docs"))
+    SELECT 'date' AS by, document_id, row_number() OVER (ORDER BY created_at DESC, document_id) AS row_no FROM docs
+    UNION ALL SELECT 'title', document_id, row_number() OVER (ORDER BY title, document_id) FROM docs
+    UNION ALL SELECT 'custom', document_id, row_number() OVER (ORDER BY n_chars DESC, document_id) FROM docs
+    UNION ALL SELECT 'default', document_id, row_number() OVER (ORDER BY document_id) FROM docs""", "docs"))
 def search_sort(spark, sf):
     d = tb.documents(spark, sf)
-    top = lambda name, order: d.orderBy(*order).limit(30).select(F.lit(name).alias("by"), "document_id")
-    return (top("date", ls.search_order("date")).unionByName(top("title", ls.search_order("title")))
-            .unionByName(top("custom", ls.search_order("custom", F.col("n_chars").desc())))
-            .unionByName(top("default", ls.search_order("relevance"))))
+    by = lambda name, order: ls.numbered(d, order, ["document_id"]).withColumn("by", F.lit(name))
+    return (by("date", ls.search_order("date")).unionByName(by("title", ls.search_order("title")))
+            .unionByName(by("custom", ls.search_order("custom", F.col("n_chars").desc())))
+            .unionByName(by("default", ls.search_order("relevance"))))
 
 
 @query("o3_page_with_total", sql("""

@@ -144,7 +144,7 @@ def as_task_events(events: DataFrame) -> DataFrame:
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").filter(F.col("event_type") == "view").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("log_id"),
         F.concat(F.lit("query "), "user_id").alias("query"),
         F.lit("semantic").alias("search_type"),
@@ -370,7 +370,7 @@ SQL: dict[str, str] = {
                  'site' || (user_id % 10) AS site_id,
                  CAST(json_extract_string(props, '$.k') AS BIGINT) AS results_count,
                  value AS execution_time_ms, ts AS created_at
-          FROM events WHERE event_type = 'view')""",
+          FROM events)""",
     "hist": """
         hist AS (
           SELECT 'https://site.example/' || user_id AS url, event_type AS content_hash,

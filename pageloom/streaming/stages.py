@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import chunks, cleaning, docstore as ds, ordered, queues
+from ..operators import chunks, cleaning, docstore as ds, queues
 from ..sources import tables
+from .log_table import LogTable
 
 
 def file_stream(
@@ -73,10 +74,9 @@ STORED = (
 MEMBERS = "site_id string, document_id bigint, created_at timestamp"
 CHANGED = "document_id bigint, url string, site_id string, content_hash string, prev_content_hash string, operation string, version int, ts timestamp"
 NODES = "node_id string, doc_id string, site_id string, content_hash string, chunk_no int, text string"
-REMOVED = "doc_id string"
-DELETED = "document_id bigint"
+LOOKUP = "key string, document_id bigint"
 REJECTED = "url string, site_id string, mimetype string, ts timestamp"
-DEAD = "url string, site_id string, reason string, content string, ts timestamp"
+DEAD = "url string, site_id string, reason string, content string, ts timestamp, stage string, retry_count int"
 
 
 @dataclass(frozen=True)
@@ -84,65 +84,79 @@ class Site:
     """Where the tables of an ingest live."""
 
     root: str
+    buckets: int = 16
+    fan: int = 4
 
     def at(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _log(self, name: str, schema: str, key: tuple[str, ...], bucket: str) -> LogTable:
+        return LogTable(self.at(name), schema, key, bucket, self.buckets, self.fan)
 
-def alive(spark: SparkSession, site: Site, log: DataFrame, before: int | None = None) -> DataFrame:
-    """Rows of a log that were written after their document was last deleted."""
-    gone = read_log(spark, site.at("deleted"), DELETED, before).groupBy("document_id").agg(F.max("batch").alias("_gone"))
-    return log.join(gone, "document_id", "left").filter(F.col("_gone").isNull() | (F.col("batch") > F.col("_gone"))).drop("_gone")
+    @property
+    def documents(self) -> LogTable:
+        return self._log("documents", STORED, ("document_id",), "document_id")
+
+    @property
+    def members(self) -> LogTable:
+        return self._log("members", MEMBERS, ("site_id", "document_id"), "document_id")
+
+    @property
+    def nodes(self) -> LogTable:
+        return self._log("nodes", NODES, ("doc_id",), "doc_id")
+
+    @property
+    def lookup(self) -> LogTable:
+        """Documents by ``u:`` and URL, and by ``h:`` and content hash."""
+        return self._log("lookup", LOOKUP, ("key", "document_id"), "key")
+
+    def tables(self) -> list[LogTable]:
+        return [self.documents, self.members, self.nodes, self.lookup]
 
 
 def current_documents(spark: SparkSession, site: Site, before: int | None = None) -> DataFrame:
-    log = alive(spark, site, read_log(spark, site.at("documents"), STORED, before), before)
-    return latest(log, ["document_id"]).drop("batch")
+    return site.documents.current(spark, before)
 
 
 def current_members(spark: SparkSession, site: Site, before: int | None = None) -> DataFrame:
-    log = alive(spark, site, read_log(spark, site.at("members"), MEMBERS, before), before)
-    return log.groupBy("site_id", "document_id").agg(F.min("created_at").alias("created_at"))
+    return site.members.current(spark, before)
 
 
-def touched_state(spark: SparkSession, site: Site, batch: DataFrame, before: int):
-    """(documents, memberships, their persisted ids) a batch can match by URL or hash.
+def current_nodes(spark: SparkSession, site: Site) -> DataFrame:
+    return site.nodes.current(spark)
 
-    The keys of the batch go to the stored tables, not the other way round:
-    two scans of narrow columns, and only matching rows are grouped.
-    """
-    log = read_log(spark, site.at("documents"), STORED, before).select(
-        "document_id", "url", "content_hash", "created_at", "version", "batch"
-    )
-    ids = (
-        ordered.only_keys(log, batch, "url").select("document_id")
-        .unionByName(ordered.only_keys(log, batch.filter("content_hash <> ''"), "content_hash").select("document_id"))
-        .distinct().persist()
-    )
-    known = alive(spark, site, ordered.only_keys(log, ids, "document_id"), before)
-    known = latest(known, ["document_id"]).drop("batch")
-    members = alive(spark, site, ordered.only_keys(read_log(spark, site.at("members"), MEMBERS, before), ids, "document_id"), before)
-    return known, members.select("site_id", "document_id", "created_at"), ids
 
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """Keys of the look-up table for URLs and content hashes of ``rows``."""
+    marks = {"url": "u:", "content_hash": "h:", "prev_content_hash": "h:"}
+    keys = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(marks[c]), F.col(c))) for c in columns])
+    return rows.select("*", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+
+
+def _by_keys(site: Site, rows: DataFrame, before: int, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, memberships, their persisted ids) that rows meet by URL or hash, in narrow columns."""
+    ids = site.lookup.find(_keys(rows, *columns).select("key"), before).select("document_id").distinct().persist()
+    known = site.documents.find(ids, before, ["document_id", "url", "content_hash", "created_at", "version"])
+    return known, site.members.find(ids, before, ["site_id", "document_id", "created_at"]), ids
 
-def current_nodes(spark: SparkSession, site: Site) -> DataFrame:
-    """Nodes written after their document was last removed."""
-    gone = read_log(spark, site.at("removed"), REMOVED).groupBy("doc_id").agg(F.max("batch").alias("_gone"))
-    return (
-        read_log(spark, site.at("nodes"), NODES).join(gone, "doc_id", "left")
-        .filter(F.col("_gone").isNull() | (F.col("batch") >= F.col("_gone"))).drop("batch", "_gone")
-    )
+
+def unheld(candidates: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
+    """The (site_id, content_hash) pairs of ``candidates`` that no living member of the site holds."""
+    holders = members.join(known.select("document_id", "content_hash"), "document_id").select("site_id", "content_hash").distinct()
+    return candidates.join(holders, ["site_id", "content_hash"], "left_anti")
 
 
 def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFrame, int], None]:
     """One micro-batch of records (url, site_id, content, mimetype, title, ts, status, crawler_operation).
 
-    A batch costs a scan of the narrow key columns of what is stored and writes
-    only rows that changed. Classifying comes before cleaning and indexing, so
-    unchanged pages skip both. A record whose operation is ``delete`` removes
-    the document of its URL with memberships and nodes; of all records of a URL
-    the last one counts. Records of an unsupported type go to ``rejected``,
-    records that lack URL or content to ``dead``; those without a site are
+    A batch looks up the documents it meets by URL or hash in bucketed tables
+    and writes only rows that changed. Classifying comes before cleaning and
+    indexing, so unchanged pages skip both. A record whose operation is
+    ``delete`` removes the document of its URL with its memberships; of all
+    records of a URL the last one counts. The nodes of a text belong to all
+    documents of a site that hold it and go with the last of them. Records of
+    an unsupported type go to ``rejected``, records that lack URL or content
+    and records that a strategy fails on to ``dead``; those without a site are
     skipped.
     """
 
@@ -153,71 +167,94 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
         try:
             routed = ds.precondition(records)
             write = lambda df, name: df.write.mode("overwrite").parquet(f"{site.at(name)}/batch={batch_id}")
-            write(routed.filter("route = 'error'").select("url", "site_id", "reason", "content", "ts"), "dead")
             unsupported = (F.coalesce("mimetype", F.lit("")) != "") & (ds.u.mime_class(F.col("mimetype")) == "unsupported")
             fine = routed.filter("route = 'process'")
             write(fine.filter(unsupported).select("url", "site_id", "mimetype", "ts"), "rejected")
             gone = routed.filter("route = 'pass' AND crawler_operation = 'delete' AND url IS NOT NULL")
             last = ds.latest_per_url(
                 fine.filter(~unsupported).unionByName(gone).withColumn("content_hash", ds.tx.content_hash(F.col("content")))
-            )
+            ).persist()
+            held.append(last)
             todo = last.filter("route = 'process'")
-            known, members, ids = touched_state(spark, site, last, batch_id)
+            known, members, ids = _by_keys(site, last, batch_id, "url", "content_hash")
             known, members = known.persist(), members.persist()  # narrow, and used several times
-            held += [known, members]
-            # by URL alone: content that another URL holds as well stays
-            lost = known.join(last.filter("route = 'pass'").select("url"), "url", "left_semi").select("document_id", "content_hash")
-            write(lost.select("document_id"), "deleted")
-            lost_nodes = lost.join(members, "document_id").select(F.concat_ws(":", "site_id", "content_hash").alias("doc_id"))
-            known = known.join(lost.select("document_id"), "document_id", "left_anti")
-            members = members.join(lost.select("document_id"), "document_id", "left_anti")
-            held.append(ids)
-            todo = todo.persist()
-            held.append(todo)
+            held += [known, members, ids]
+            lost = known.join(last.filter("route = 'pass'").select("url"), "url", "left_semi").persist()
+            lost_members = members.join(lost.select("document_id"), "document_id", "left_semi").persist()
+            held += [lost, lost_members]
+            kept = known.join(lost.select("document_id"), "document_id", "left_anti")
+            kept_members = members.join(lost.select("document_id"), "document_id", "left_anti")
             changes = ds.settle_copies(
-                ds.classify(todo.select("url", "site_id", "content_hash", "ts"), known.drop("version"), members)
+                ds.classify(todo.select("url", "site_id", "content_hash", "ts"), kept.drop("version"), kept_members)
             )
-            versions = known.select("document_id", F.col("version").alias("_version"))
+            versions = kept.select("document_id", F.col("version").alias("_version"))
             changes = changes.join(versions, "document_id", "left").withColumn(
                 "version",
                 F.coalesce("_version", F.lit(0)) + F.when(F.col("operation").isin("new", "edit"), 1).otherwise(0),
             )
-            write(
-                changes.select(
-                    "document_id", "url", "site_id", "content_hash", "prev_content_hash", "operation", "version", "ts"
-                ),
-                "changes",
-            )
+            write(changes.select("document_id", "url", "site_id", "content_hash", "prev_content_hash", "operation", "version", "ts"), "changes")
             # the written outcome is read back: it is narrow, and nothing is computed twice
             outcome = spark.read.schema(CHANGED).parquet(f"{site.at('changes')}/batch={batch_id}")
             touched = outcome.filter("operation IN ('new', 'new_site', 'edit')").select(
                 "url", "document_id", "operation", "prev_content_hash", "version"
             )
-            full = cleaning.clean(todo.join(touched, "url"), strategies).persist()
-            held.append(full)
-            first_seen = known.select("document_id", F.col("created_at").alias("_created"))
-            write(
-                full.filter("operation IN ('new', 'edit')").join(first_seen, "document_id", "left").select(
+            full, failed = cleaning.clean_or_fail(todo.join(touched, "url"), strategies)
+            # what could not be cleaned stays out of the store; its record can be sent again
+            failed_urls = failed.select("url")
+            outcome = outcome.join(failed_urls, "url", "left_anti").persist()
+            held.append(outcome)
+            dead = routed.filter("route = 'error'").select(
+                "url", "site_id", "reason", "content", "ts", F.lit("store").alias("stage"), F.lit(0).alias("retry_count"))
+            before = read_log(spark, site.at("dead"), DEAD, batch_id).filter("stage = 'clean'").join(
+                failed_urls, "url", "left_semi").groupBy("url").agg(F.count("*").cast("int").alias("retry_count"))
+            write(dead.unionByName(failed.join(before, "url", "left").select(
+                "url", "site_id", F.col("clean_error").alias("reason"), "content", "ts", F.lit("clean").alias("stage"),
+                F.coalesce("retry_count", F.lit(0)).alias("retry_count"))), "dead")
+            wrote = full.filter("operation IN ('new', 'edit')")
+            site.documents.write(
+                wrote.join(kept.select("document_id", F.col("created_at").alias("_created")), "document_id", "left").select(
                     "document_id", "url", "content_hash", "title", "content", "clean_content", "mimetype", "version",
                     F.coalesce("_created", "ts").alias("created_at"), F.col("ts").alias("updated_at"),
                 ),
-                "documents",
+                batch_id, lost.select("document_id"),
             )
-            write(
-                outcome.filter("document_id IS NOT NULL").select("site_id", "document_id", F.col("ts").alias("created_at")),
-                "members",
+            site.lookup.write(
+                _keys(wrote, "url", "content_hash").select("key", "document_id"), batch_id,
+                _keys(lost, "url", "content_hash").select("key", "document_id").unionByName(
+                    _keys(wrote.filter("operation = 'edit'").select("document_id", "prev_content_hash"), "prev_content_hash")
+                    .select("key", "document_id")),
             )
-            write(
-                outcome.filter("operation IN ('new', 'new_site', 'edit')").select(
-                    F.explode(F.array_distinct(F.array_compact(F.array("content_hash", "prev_content_hash")))).alias("_h"), "site_id"
-                ).select(F.concat_ws(":", "site_id", "_h").alias("doc_id")).union(lost_nodes).distinct(),
-                "removed",
+            joined = outcome.filter("document_id IS NOT NULL").select("site_id", "document_id", F.col("ts").alias("created_at"))
+            site.members.write(
+                joined.groupBy("site_id", "document_id").agg(F.min("created_at").alias("created_at"))
+                .join(kept_members, ["site_id", "document_id"], "left_anti"),
+                batch_id, lost_members.select("site_id", "document_id"),
             )
+            # texts that lost a holder keep their nodes while another document of the site holds them
+            edited = outcome.filter("operation = 'edit'").select("document_id", F.col("prev_content_hash").alias("content_hash"))
+            left = kept_members.select("site_id", "document_id").unionByName(joined.select("site_id", "document_id")).join(
+                edited, "document_id").unionByName(lost_members.select("site_id", "document_id").join(
+                    lost.select("document_id", "content_hash"), "document_id")).select("site_id", "content_hash").distinct()
+            left = left.persist()
+            held.append(left)
+            free = left.select(F.concat_ws(":", "site_id", "content_hash").alias("doc_id"))
+            if not left.isEmpty():
+                others, other_members, other_ids = _by_keys(site, left, batch_id, "content_hash")
+                held.append(other_ids)
+                now = wrote.select("document_id", "content_hash").unionByName(
+                    others.join(wrote.select("document_id").unionByName(lost.select("document_id")), "document_id", "left_anti")
+                    .select("document_id", "content_hash"))
+                now_members = joined.select("site_id", "document_id").unionByName(
+                    other_members.join(lost.select("document_id"), "document_id", "left_anti").select("site_id", "document_id")).unionByName(
+                    kept_members.select("site_id", "document_id"))
+                free = unheld(left, now, now_members).select(F.concat_ws(":", "site_id", "content_hash").alias("doc_id"))
             nodes = chunks.document_nodes(
                 full.select("site_id", "content_hash", F.coalesce("clean_content", F.lit("")).alias("text"))
                 .dropDuplicates(["site_id", "content_hash"])
             )
-            write(nodes.select("node_id", "doc_id", "site_id", "content_hash", "chunk_no", "text"), "nodes")
+            site.nodes.write(nodes.select("node_id", "doc_id", "site_id", "content_hash", "chunk_no", "text"), batch_id, free)
+            for table in site.tables():
+                table.merge(spark, batch_id)
         finally:
             for df in held:
                 df.unpersist()

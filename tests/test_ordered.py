@@ -102,7 +102,7 @@ def test_last_record_of_a_url_with_nulls(spark):
     assert {tuple(r) for r in got} == {("u", None, None), ("v", 1, "h"), (None, 2, "h")}
 
 
-def test_glossary_rule_is_the_same_on_both_paths(spark, monkeypatch):
+def test_glossary_rule_is_the_same_on_both_paths(spark):
     from pageloom.operators import glossary
 
     terms = spark.createDataFrame(
@@ -110,8 +110,9 @@ def test_glossary_rule_is_the_same_on_both_paths(spark, monkeypatch):
         "term string, full_name string, translation string, remarks string")
     said = spark.createDataFrame([(1, "an ai here"), (2, "none"), (3, "")], "id int, text string")
     small = sorted(map(tuple, glossary.matches(said, terms, ["id"]).collect()))
-    monkeypatch.setattr(glossary, "SMALL_GLOSSARY", 0)
-    assert sorted(map(tuple, glossary.matches(said, terms, ["id"]).collect())) == small
+    assert sorted(map(tuple, glossary.matches(said, terms, ["id"], sent_bytes=10).collect())) == small
+    words = glossary.matches(said, terms, ["id"], whole_word=True)
+    assert [r[:2] for r in sorted(map(tuple, words.collect()))] == [(1, "AI")]
     assert [r[:2] for r in small] == [(1, "AI"), (1, "e"), (2, "e")]
     empty = glossary.matches(said, terms.filter("term = ''"), ["id"])
     assert empty.count() == 0 and glossary.hints(empty, ["id"]).count() == 0

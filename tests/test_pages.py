@@ -51,10 +51,12 @@ def test_metadata(one):
 
 
 def test_routing(one):
-    route = lambda url, mime, content: one(
-        cleaning.route(F.col("u"), F.col("m"), F.col("c")), u=url, m=mime, c=content)
-    assert route("http://a/x", "application/pdf", "") == "pdf"
-    assert route("http://a/teacher-search", "text/html", '<p id="content">') == "search_page"
+    def route(url, mime, content, strategies=cleaning.STRATEGIES):
+        return one(cleaning.route(F.col("u"), F.col("m"), F.col("c"), strategies), u=url, m=mime, c=content)
+
+    site = cleaning.page_strategies(search_paths=("find-people",))
+    assert route("http://a/find-people", "text/html", '<p id="content">', site) == "search_page"
+    assert route("http://a/find-people", "text/html", '<p id="content">') == "markdown"
     assert route("http://a/page/1", "text/html", '<p id="main">') == "common_page"
     assert route("http://a/x", "text/html;charset=x", "") == "markdown"
     assert route("http://a/x", "text/plain", "") == "plain"

@@ -1,8 +1,13 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pageloom import hooks
+from pageloom.operators import cleaning
 from pageloom.session import scratch_path
 from pageloom.streaming import stages as st
+from pageloom.streaming.log_table import LogTable
 
 RECORD = "url string, site_id string, content string, mimetype string, title string, ts timestamp, status string, crawler_operation string"
 
@@ -46,6 +51,80 @@ def test_ingest_is_idempotent(spark):
     assert [d[0] for d in docs] == ["u1", "u2"] and ("s", "one b") in nodes
 
 
+def test_nodes_live_as_long_as_a_document_holds_their_text(spark):
+    """u1 is edited to the text of u2 and goes: the node of u2 stays; so with two sites and with a further edit."""
+    site = st.Site(scratch_path(spark, "site"), fan=2)
+    run = st.ingest_batch(site)
+    gone = lambda *rows: records(spark, *rows).withColumn("crawler_operation", F.lit("delete"))
+    run(records(spark, ("u1", "s", "one"), ("u2", "s", "two"), ("u3", "t", "three")), 0)
+    run(records(spark, ("u1", "s", "two"), ("u3", "t", "two")), 1)
+    assert state(spark, site)[1] == [("s", "two"), ("t", "two")]
+    run(records(spark, ("u3", "t", "four")), 2)
+    assert state(spark, site)[1] == [("s", "two"), ("t", "four")]
+    run(gone(("u1", "s", None)), 3)
+    docs, nodes = state(spark, site)
+    assert [d[0] for d in docs] == ["u2", "u3"] and nodes == [("s", "two"), ("t", "four")]
+    run(records(spark, ("u4", "s", "two"), ("u2", "s", "five")), 4)
+    # u4 is a copy of what u2 held before this batch: the same document, which u2 changes
+    docs, nodes = state(spark, site)
+    assert ("u2", 2, "five") in docs and ("s", "five") in nodes and ("s", "two") not in nodes
+    run(gone(("u2", "s", None), ("u3", "t", None)), 5)
+    assert state(spark, site) == ([], [])
+
+
+def test_log_table_equals_a_dict_and_stays_small(spark):
+    """Random changes over ten batches: the same rows as a dict, few runs, hardly more rows than live."""
+    table = LogTable(scratch_path(spark, "log"), "name string, v int", ("name",), "name", buckets=4, fan=2)
+    rng, model, schema = random.Random(4), {}, "name string, v int"
+    for batch in range(10):
+        put = {f"n{rng.randrange(12)}": batch * 100 + i for i in range(5)}
+        gone = [n for n in rng.sample(sorted(model), min(2, len(model))) if n not in put]
+        changed = spark.createDataFrame(list(put.items()), schema).coalesce(1)
+        dead = spark.createDataFrame([(n,) for n in gone], "name string").coalesce(1)
+        for _ in range(2 if batch in (3, 7) else 1):  # a batch that is run again changes nothing
+            table.write(changed, batch, dead)
+            table.merge(spark, batch)
+        model.update(put)
+        for n in gone:
+            del model[n]
+        if batch in (2, 3, 7, 9):
+            assert {r.name: r.v for r in table.current(spark).collect()} == model
+    assert table.cover(spark) == [(0, 7), (8, 9)] and table.cover(spark, 8) == [(0, 7)]
+    assert table.cover(spark, 7) == [(0, 3), (4, 5), (6, 6)] and LogTable(table.root + "-none", schema, ("name",), "name").cover(spark) == []
+    assert table.log(spark).count() <= len(model) + 12
+    # a look-up of one key reads its folder alone
+    for name in ("n1", "n5", "none"):
+        keys = spark.createDataFrame([(name,)], "name string")
+        bucket = keys.select(table._bucket_of("name")).first()[0]
+        found = table.find(keys, 10)
+        assert {r.name: r.v for r in found.collect()} == {n: v for n, v in model.items() if n == name}
+        assert all(f"bucket={b}/" not in f for f in found.inputFiles() for b in range(4) if b != bucket)
+
+
+@pytest.mark.parametrize("kind", ["function", "expression"])
+def test_a_failing_strategy_fails_one_record(spark, kind):
+    def strict(text):
+        if "bad" in text:
+            raise ValueError("cannot read this")
+        return text.upper()
+
+    handles = lambda url, mime, content: mime.startswith("text/plain")
+    raising = lambda c: F.when(c.contains("bad"), F.raise_error(F.lit("cannot read this"))).otherwise(F.upper(c))
+    strategy = cleaning.Strategy("strict", handles, function=strict) if kind == "function" else cleaning.Strategy("strict", handles, raising)
+    site = st.Site(scratch_path(spark, "site"))
+    run = st.ingest_batch(site, (strategy,))
+    rows = [(f"u{i}", "s", "bad" if i == 3 else f"text {i}") for i in range(8)]
+    run(records(spark, *rows), 0)
+    run(records(spark, ("u3", "s", "bad again"), ("u9", "s", "fine")), 1)
+    docs, nodes = state(spark, site)
+    assert [d[0] for d in docs] == [f"u{i}" for i in (0, 1, 2, 4, 5, 6, 7, 9)] and ("s", "TEXT 0") in nodes
+    dead = sorted(st.read_log(spark, site.at("dead"), st.DEAD).collect(), key=lambda r: r.batch)
+    assert [(r.url, r.content, r.stage, r.retry_count) for r in dead] == [("u3", "bad", "clean", 0), ("u3", "bad again", "clean", 1)]
+    assert all("cannot read this" in r.reason for r in dead)
+    run(records(spark, ("u3", "s", "good now")), 2)
+    assert ("s", "GOOD NOW") in state(spark, site)[1]
+
+
 def test_task_state_goes_on_over_batches(spark):
     inbox, root, mark = (scratch_path(spark, n) for n in ("inbox", "sink", "mark"))
     schema = "queue string, task_id string, event string, seq bigint, ts timestamp, processing_time double"
