@@ -69,12 +69,17 @@ class LogTable:
                     found.setdefault(int(ends[0]), []).append(int(ends[-1]))
         return found
 
-    def cover(self, spark: SparkSession, before: int | None = None) -> list[tuple[int, int]]:
-        """The fewest runs, first batch to last batch, that hold all batches before ``before``."""
-        found, out, at = self._runs(spark), [], 0
+    def cover(
+        self, spark: SparkSession, before: int | None = None, start: int = 0, below: int | None = None
+    ) -> list[tuple[int, int]]:
+        """The fewest runs, first batch to last batch, that hold the batches from ``start`` up to ``before``.
+
+        With ``below`` only runs of fewer batches than that.
+        """
+        found, out, at = self._runs(spark), [], start
         last = max((e for ends in found.values() for e in ends), default=-1) if before is None else before - 1
         while at <= last:
-            ends = [e for e in found.get(at, []) if e <= last]
+            ends = [e for e in found.get(at, []) if e <= last and (below is None or e - at + 1 < below)]
             if ends:
                 out.append((at, max(ends)))
             at = max(ends, default=at) + 1
@@ -123,7 +128,7 @@ class LogTable:
         width = self.fan
         while (batch_id + 1) % width == 0:
             first = batch_id + 1 - width
-            parts = [r for r in self.cover(spark, batch_id + 1) if r[0] >= first and r != (first, batch_id)]
+            parts = self.cover(spark, batch_id + 1, first, width)  # also when the batch was merged before and runs again
             rows = self._last(reduce(DataFrame.unionByName, [self._read(spark, r, None) for r in parts]))
             if first == 0:
                 rows = rows.filter("live")
