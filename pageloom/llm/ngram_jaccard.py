@@ -301,13 +301,16 @@ def _tries(postings: DataFrame, percent: int, round_: int) -> DataFrame:
     """
     # without regard to size a row would mostly meet rows that are far longer or shorter
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("band")
-    p = postings.select("gram", band, "node", "n", "rank", "before", "component")
     told = ("node", "n", "rank", "before")
-    seeds = [F.min(F.struct(F.xxhash64("node", F.lit(round_ * SEEDS + s)).alias("h"), *told)).alias(f"s{s}")
-             for s in range(SEEDS if round_ else 1)]
+    p = postings.select("gram", band, *told, "component", (F.col("rank") - F.col("before")).alias("own"))
+    # first the row with the fewest columns of its own: what others were copied from, or nearest to it
+    seeds = [F.min(F.struct("own", F.xxhash64("node", F.lit(round_)).alias("h"), *told)).alias("s0")]
+    seeds += [F.min(F.struct(F.lit(0).alias("own"), F.xxhash64("node", F.lit(round_ * SEEDS + s)).alias("h"), *told)).alias(f"s{s}")
+              for s in range(1, SEEDS if round_ else 1)]
     part = p.groupBy("gram", "band", "component").agg(F.count("*").alias("c"), *seeds)
     main = part.groupBy("gram", "band").agg(
-        F.max(F.struct("c", F.col("component").alias("main"), *[f"s{s}" for s in range(len(seeds))])).alias("m"),
+        F.max(F.struct("c", (-F.col("s0.own")).alias("near"), F.col("component").alias("main"),
+                       *[f"s{s}" for s in range(len(seeds))])).alias("m"),
         F.sum("c").alias("all")).filter("all > 1")
     tried = p.join(main, ["gram", "band"]).filter("component <> m.main").select(
         *told, F.explode(F.array(*[f"m.s{s}" for s in range(len(seeds))])).alias("s"))
