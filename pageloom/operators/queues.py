@@ -123,7 +123,7 @@ def health(
 
 
 def summary(healths: DataFrame) -> DataFrame:
-    """Totals over all queues; the unhealthy ones stay rows of ``healths``."""
+    """Totals over all queues; ``unhealthy`` has the details."""
     return healths.agg(
         F.count(F.lit(1)).alias("total_queues"),
         F.count_if(~F.col("healthy")).alias("unhealthy_queues"),
@@ -133,6 +133,17 @@ def summary(healths: DataFrame) -> DataFrame:
     )
 
 
+def unhealthy(healths: DataFrame) -> DataFrame:
+    """A row for each unhealthy queue: what waits, its error rate and why it is listed."""
+    return healths.filter(~F.col("healthy")).select("queue", "pending", "processing", "error_rate", "stalled", "message")
+
+
+def longest_stalls(snapshots: DataFrame, timeout_seconds: float) -> DataFrame:
+    """(queue, stalled, gap_seconds) of queues that stood still, as ``health`` takes it: the longest gap of each."""
+    seen = stalled(snapshots, timeout_seconds).filter("stalled")
+    return seen.groupBy("queue").agg(F.max("gap_seconds").alias("gap_seconds"), F.lit(True).alias("stalled"))
+
+
 def run_summary(events: DataFrame) -> DataFrame:
     """Per task: crawled, failed and queued URLs, start, end, seconds."""
     return events.groupBy("task_id").agg(

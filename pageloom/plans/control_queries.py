@@ -345,6 +345,22 @@ def health_summary(spark, sf):
     return qu.summary(qu.health(qu.counter_metrics(tb.task_events(spark, sf)), 10, 0.5))
 
 
+@query("a7_unhealthy_details", sql(f"""
+    WITH {_HEALTH}, {_SNAP},
+    p AS (SELECT *, lag(processing) OVER w AS pp, lag(ts) OVER w AS pt FROM snap WINDOW w AS (PARTITION BY queue ORDER BY ts, seq)),
+    still AS (SELECT queue, max((epoch_us(ts) - epoch_us(pt)) / 1e6) AS gap FROM p
+      WHERE processing > 0 AND processing = pp AND (epoch_us(ts) - epoch_us(pt)) / 1e6 > 900 GROUP BY queue)
+    SELECT f.queue, pending, f.processing, round(coalesce(error_rate, 0), 6) AS error_rate, gap IS NOT NULL AS stalled,
+      CASE WHEN backlog_warning THEN '队列积压任务过多 (' || pending || '>10). ' ELSE '' END ||
+      CASE WHEN error_rate_warning THEN '队列错误率过高 (' || format('{{:.2f}}', error_rate * 100) || '%>50.00%). ' ELSE '' END ||
+      CASE WHEN gap IS NOT NULL THEN '队列处理活动长时间无变化 (' || CAST(floor(gap) AS BIGINT) || '秒). ' ELSE '' END AS message
+    FROM flags f LEFT JOIN still s ON s.queue = f.queue WHERE backlog_warning OR error_rate_warning OR gap IS NOT NULL""", "tasks"))
+def unhealthy_details(spark, sf):
+    metrics = qu.counter_metrics(tb.task_events(spark, sf))
+    listed = qu.unhealthy(qu.health(metrics, 10, 0.5, qu.longest_stalls(_snapshots(spark, sf), 900)))
+    return listed.withColumn("error_rate", F.round("error_rate", 6))
+
+
 @query("a8_run_summary", sql("""
     SELECT task_id, count(*) FILTER (event = 'complete') AS crawled, count(*) FILTER (event = 'fail') AS failed,
       count(*) FILTER (event = 'enqueue') AS queued, min(ts) AS started_at, max(ts) AS ended_at,

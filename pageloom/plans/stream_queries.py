@@ -130,6 +130,18 @@ def session_windows(spark, sf):
     return st.session_windows(e, "12 hours")
 
 
+@query("t7_ended_sessions", """
+    WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM s)
+    SELECT user_id AS session_id, min(ts) AS started_at, max(ts) AS last_activity, count(*) AS events FROM n GROUP BY user_id, no
+    HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def ended_sessions(spark, sf):
+    e = _events(spark, sf).select(F.col("user_id").alias("session_id"), "ts")
+    schema = "session_id bigint, started_at timestamp, last_activity timestamp, events bigint"
+    ended = _written(spark, st.session_windows(e, "12 hours", "1 hour"), schema)
+    return ended.select("session_id", "started_at", "last_activity", "events")
+
+
 @query("t8_back_pressure", "SELECT count(*) AS rows, CAST(3 AS BIGINT) AS batches, max(event_id) AS last_id FROM events")
 def back_pressure(spark, sf):
     """Five files, at most two per trigger."""

@@ -290,7 +290,12 @@ def session_activity(stream: DataFrame) -> DataFrame:
 
 
 def session_windows(events: DataFrame, gap: str = "24 hours", late: str | None = None) -> DataFrame:
-    """Sessions parted by ``gap`` of silence; a stream needs ``late``."""
+    """Sessions parted by ``gap`` of silence.
+
+    A stream needs ``late``, the time that an event may come late. In append
+    mode a session is written once, when the watermark has passed its end by
+    ``gap``, and its state goes with it: what is kept are open sessions only.
+    """
     rows = events if late is None else events.withWatermark("ts", late)
     return (
         rows.groupBy(F.session_window("ts", gap).alias("_w"), "session_id")

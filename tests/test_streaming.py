@@ -1,3 +1,5 @@
+import datetime as dt
+import os
 import random
 import re
 
@@ -163,3 +165,36 @@ def test_task_processor_turns_errors_into_rows(spark):
     got = {r.n: (r.result, r.error) for r in hooks.process_tasks(df, work, "m int").collect()}
     assert got[1][0].m == 10 and got[1][1] is None
     assert got[2] == (None, "ValueError: no")
+
+
+def test_sessions_end_alike_in_one_and_five_batches(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(u, start + dt.timedelta(hours=h)) for u, hours in {
+        1: [0, 5, 40, 45, 100], 2: [1, 70, 71], 3: [2, 20, 38, 56, 74, 92, 110], None: [3, 119]}.items() for h in hours]
+    folder = tmp_path / "events"
+    folder.mkdir()
+    for n in range(5):
+        part = [r for r in rows if 24 * n <= (r[1] - start).total_seconds() / 3600 < 24 * (n + 1)]
+        spark.createDataFrame(part, "session_id bigint, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        (file,) = (tmp_path / f"part{n}").glob("*.parquet")
+        file.rename(folder / f"{n}.parquet")
+        os.utime(folder / f"{n}.parquet", (1_700_000_000 + 60 * n,) * 2)
+
+    def run(files):
+        seen, progress = [], []
+        stream = st.file_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, max_files=files)
+        q = (st.session_windows(stream, "20 hours", "1 hour").writeStream.outputMode("append")
+             .option("checkpointLocation", scratch_path(spark, "mark")).trigger(availableNow=True)
+             .foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect())).start())
+        q.awaitTermination(120)
+        progress = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+        return sorted(seen, key=str), progress
+
+    hour = lambda h: start + dt.timedelta(hours=h)
+    # the last event is at 119, so sessions whose last event is at 98 or before have ended
+    expected = [(1, hour(0), hour(5), 2), (1, hour(40), hour(45), 2), (2, hour(1), hour(1), 1), (2, hour(70), hour(71), 2),
+                (None, hour(3), hour(3), 1)]
+    one, _ = run(None)
+    five, held = run(1)
+    assert one == five == sorted(expected, key=str)
+    assert held[-1] == 3 and max(held) <= 5
