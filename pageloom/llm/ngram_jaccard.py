@@ -12,7 +12,8 @@ with the same set are one row (its node is a hash of the set).
 * Blocks. Columns of one row alone are found by ranges of columns
   (``recurring``) and dropped; what is left is a small sparse matrix.
 * Rounds. Rows of a dense column are first compared with a few rows of the
-  column's largest component; after that only rows outside it are multiplied
+  column's largest component, among them the one with the fewest columns of its
+  own, from which others differ least; after that only rows outside it are multiplied
   with the rest, and overlap counts are accumulated pair by pair. Rows of one
   component need no comparison, so a group of copies costs its rows, not its
   pairs. The last round is complete, so no link between components is lost.
