@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..session import materialize
 
 DIMENSIONS = 64
-BROADCAST_TERMS = 500_000  # term rows of some 40 bytes each
+BROADCAST_TERMS = 100_000  # term rows of some 100 bytes each in the memory of the driver and of a task
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -91,7 +91,7 @@ def term_counts(df: DataFrame, key: str, text: str = "text", keep: Sequence[str]
     rows in place; the far larger token rows are never shuffled.
     """
     return (
-        df.select(key, *keep, text).repartition(key)
+        _by_key(df.select(key, *keep, text), key)
         .select(key, *keep, F.explode(tx.terms(F.col(text))).alias("term"))
         .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -108,13 +108,48 @@ def join_terms(rows: DataFrame, small: DataFrame, key: str, limit: int = BROADCA
         return rows.join(F.broadcast(small), "term")
     return (
         rows.withColumn("_salt", salt_of(key, salts))
-        .join(spread_table(small, salts), ["term", "_salt"]).drop("_salt")
+        .join(spread_table(small, salts).hint("merge"), ["term", "_salt"]).drop("_salt")
     )
 
 
+def _frequent_from(idf: DataFrame, limit: int) -> int:
+    """The power of two from which on at most ``limit`` terms are in that many texts; 0 if that is all terms."""
+    digits = F.length(F.bin("n")).alias("digits")
+    counts = dict(idf.groupBy(digits).agg(F.count(F.lit(1))).collect())  # a row for each number of digits, 63 at most
+    if sum(counts.values()) <= limit:
+        return 0
+    least, terms = max(counts) + 1, 0
+    while terms + counts.get(least - 1, 0) <= limit:
+        least -= 1
+        terms += counts.get(least, 0)
+    return 1 << (least - 1)
+
+
+def join_idf(counts: DataFrame, idf: DataFrame, key: str, limit: int = BROADCAST_TERMS) -> DataFrame:
+    """Add idf to (key, …, term, tf), which lie by ``key``.
+
+    The most frequent terms, which are most rows, go to every task up to a
+    checked number, so their rows stay where they are. Only rows of rarer
+    terms are shuffled, to their term and back to their key; no such term is
+    in many texts, so it is no hot key, and neither side is ever copied.
+    """
+    least = _frequent_from(idf, limit)
+    if not least:
+        return counts.join(F.broadcast(idf.drop("n")), "term")
+    frequent = F.broadcast(idf.filter(F.col("n") >= least).drop("n"))
+    rare = idf.filter(F.col("n") < least).drop("n").hint("merge")
+    far = counts.join(frequent.select("term"), "term", "left_anti").join(rare, "term")
+    return counts.join(frequent, "term").unionByName(_by_key(far, key))
+
+
+def _by_key(df: DataFrame, key: str) -> DataFrame:
+    """By ``key`` into a fixed number of partitions, so that tables dealt alike can be put together in place."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def weigh(counts: DataFrame, idf: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
     """(key, *keep, term, weight): tf × idf, scaled to length one per key."""
-    raw = join_terms(counts, idf, key).withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = join_idf(counts, idf, key).withColumn("_w", F.col("tf") * F.col("idf"))
     # one key is one text, so this window stays as small as that text
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(key)))
     return raw.select(key, *keep, "term", (F.col("_w") / length).alias("weight"))
@@ -125,14 +160,13 @@ def sparse_postings(
 ) -> tuple[DataFrame, DataFrame]:
     """(postings, idf) of a text table; queries are weighed with the same idf.
 
-    The idf table, ln(1 + N / df) per term, is written once: postings and
-    queries both read it, and its size decides how it is joined.
+    The idf table, ln(1 + N / n) for a term in n of N texts, is written once:
+    postings and queries both read it, and its size decides how it is joined.
     """
     distinct = df.select(F.explode(F.array_distinct(tx.terms(F.col(text)))).alias("term"))
     total = df.count()
-    idf = materialize(
-        distinct.groupBy("term").agg(F.log(1 + total / F.count(F.lit(1))).alias("idf")), "idf"
-    )
+    found = distinct.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    idf = materialize(found.withColumn("idf", F.log(1 + total / F.col("n"))), "idf")
     return weigh(term_counts(df, key, text, keep), idf, key, keep), idf
 
 

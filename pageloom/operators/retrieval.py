@@ -27,7 +27,8 @@ from . import docstore, embedding, ordered
 
 METRICS = ("IP", "L2", "COSINE")
 QUERY_BLOCK = 4096
-BROADCAST_HITS = 200_000
+BROADCAST_HITS = 100_000
+SENT_BYTES = 16 << 20  # of hits that are sent to all tasks with all they hold
 DECIMALS = 9  # scores are rounded, so that equal vectors tie in any block
 
 
@@ -468,10 +469,18 @@ def beside(hits: DataFrame, big: DataFrame, key: str) -> DataFrame:
     """Join hits to a big table without shuffling it.
 
     Hits are written, which also keeps them from being searched for again, and
-    sent to the tasks when there are few enough.
+    sent to the tasks up to ``SENT_BYTES``; they may hold texts, so their
+    number says little. Beyond it only their keys are sent, and both sides meet
+    by key with what is left of the big table.
     """
     stored = materialize(hits, "hits")
-    return big.join(F.broadcast(stored) if stored.count() <= BROADCAST_HITS else stored, key)
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct(*stored.columns))))).first()[0] or 0
+    if size <= SENT_BYTES:
+        return big.join(F.broadcast(stored), key)
+    keys = stored.select(key).distinct()
+    if keys.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
+        big = big.join(F.broadcast(keys), key, "left_semi")
+    return big.join(stored.hint("merge"), key)
 
 
 def mmr_search(

@@ -126,6 +126,42 @@ def test_sparse_search_broadcast_and_salted_agree(spark, monkeypatch):
     assert len(first) == 10 and [r[1] for r in first if r[0] == 2 and r[3] == 1] == ["d5"]
 
 
+def test_more_terms_than_are_sent(spark, monkeypatch):
+    # word0 to word6 are frequent, the 60 tails are not
+    docs = spark.createDataFrame([(f"d{i}", f"the word{i % 7} word{i % 7} tail{i}") for i in range(60)], "node_id string, text string")
+
+    def run():
+        return em.sparse_postings(docs, "node_id")[0]
+
+    rows = lambda df: sorted((r.node_id, r.term, round(r.weight, 9)) for r in df.collect())
+    first = rows(run())
+    assert len(first) == 180
+    for limit in (0, 10, 67):
+        monkeypatch.setattr(em.join_idf, "__defaults__", (limit,))
+        _, idf = em.sparse_postings(docs, "node_id")
+        least = em._frequent_from(idf, limit)
+        assert idf.filter(idf.n >= least).count() <= limit
+        assert rows(run()) == first
+    monkeypatch.setattr(em.join_idf, "__defaults__", (10,))
+    plan = run()._jdf.queryExecution().executedPlan().toString()
+    # one join of rare terms, no copies of the terms, and the texts' own dealing serves the lengths too
+    assert plan.count("SortMergeJoin") == 1 and "explode(sequence" not in plan
+    assert "Exchange" not in plan[: plan.index("Union")]
+
+
+def test_hits_with_long_texts_are_not_sent(spark, monkeypatch):
+    hits = spark.createDataFrame([(q, f"n{n}", "x" * 500) for q in range(5) for n in range(q, 8)], "query_id int, node_id string, said string")
+    big = spark.range(20).select(F.concat(F.lit("n"), "id").alias("node_id"), F.col("id").alias("v"))
+    rows = lambda: sorted(map(tuple, rt.beside(hits, big, "node_id").select("query_id", "node_id", "said", "v").collect()))
+    first = rows()
+    assert len(first) == 30
+    monkeypatch.setattr(rt, "SENT_BYTES", 1000)
+    assert rows() == first
+    assert "SortMergeJoin" in rt.beside(hits, big, "node_id")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rt, "BROADCAST_HITS", 3)
+    assert rows() == first
+
+
 def test_fusion(spark):
     leg = lambda rows: spark.createDataFrame(rows, "query_id int, node_id string, score double, rank int")
     a, b = leg([(1, "x", 0.9, 1), (1, "y", 0.8, 2)]), leg([(1, "y", 5.0, 1), (1, "z", 4.0, 2)])
