@@ -310,9 +310,11 @@ def _by_cells(
         return F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(1)) if pairs else F.lit(1)
 
     n_blocks, q_blocks = blocks(held, node_block), blocks(many, query_block)
+    # both sides need keys of one type: an int and a long of one value go to different tasks
+    dealt = lambda count, *columns: F.pmod(F.xxhash64(*columns), count).cast("int")
     others = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    left = wanted.select("node_id", "embedding", *names, "cell", F.pmod(F.xxhash64("node_id"), n_blocks).alias("_n"), others(q_blocks).alias("_q"))
-    right = asked.select("query_id", "q_embedding", "cell", F.pmod(F.xxhash64("query_id", "q_embedding"), q_blocks).alias("_q"),
+    left = wanted.select("node_id", "embedding", *names, "cell", dealt(n_blocks, "node_id").alias("_n"), others(q_blocks).alias("_q"))
+    right = asked.select("query_id", "q_embedding", "cell", dealt(q_blocks, "query_id", "q_embedding").alias("_q"),
                          others(n_blocks).alias("_n"))
     schema = T.StructType([asked.schema["query_id"], *[nodes.schema[c] for c in names], nodes.schema["node_id"],
                            T.StructField("score", T.DoubleType())])
