@@ -156,9 +156,19 @@ def back_pressure(spark, sf):
 
 # ---- hooks
 
-@query("x1_custom_strategy", r"""
+def _upper(text: str) -> str:
+    """Full upper case, as ß gives SS. DuckDB has one letter for one, and none for letters that came with Unicode 16."""
+    full = {c: c.upper() for c in map(chr, range(0xDF, 0xFB18)) if len(c.upper()) > 1}
+    new = {"\u019b": "\ua7dc", "\u0264": "\ua7cb", "\u1c8a": "\u1c89", "\ua7cd": "\ua7cc", "\ua7db": "\ua7da",
+           **{chr(i): chr(i - 0x20) for i in range(0x10D70, 0x10D86)}}
+    for letter, capital in {**full, **new}.items():
+        text = f"replace({text}, '{letter}', '{capital}')"
+    return f"upper({text})"
+
+
+@query("x1_custom_strategy", rf"""
     SELECT doc_id, CASE lang WHEN 'es' THEN 'shout' WHEN 'fr' THEN 'plain' ELSE 'unchanged' END AS strategy,
-      CASE lang WHEN 'es' THEN upper(text) WHEN 'fr' THEN array_to_string(list_filter(list_transform(string_split(text, chr(10)),
+      CASE lang WHEN 'es' THEN {_upper('text')} WHEN 'fr' THEN array_to_string(list_filter(list_transform(string_split(text, chr(10)),
         lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) ELSE text END AS clean_content FROM documents""")
 def custom_strategy(spark, sf):
     shout = cleaning.Strategy("shout", lambda url, mime, content: mime.startswith("text/x-es"), F.upper)
