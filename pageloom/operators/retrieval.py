@@ -690,8 +690,18 @@ def apply_index(nodes: DataFrame, operations: DataFrame, to_nodes: Callable[[Dat
     return nodes.join(gone, "doc_id", "left_anti").unionByName(fresh.select(*nodes.columns))
 
 
-def replace_content(nodes: DataFrame, edits: DataFrame, to_nodes: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """New text for indexed documents: (site_id, prev_content_hash, text)."""
+def replace_content(
+    nodes: DataFrame, edits: DataFrame, to_nodes: Callable[[DataFrame], DataFrame], held: DataFrame | None = None
+) -> DataFrame:
+    """New text for indexed documents: (site_id, prev_content_hash, text).
+
+    ``held`` names the (site_id, content_hash) of documents that are not
+    edited; a text that one of them holds keeps its nodes.
+    """
+    if held is not None:
+        still = held.select("site_id", F.col("content_hash").alias("prev_content_hash"), F.lit(True).alias("_held")).distinct()
+        edits = edits.join(still, ["site_id", "prev_content_hash"], "left").withColumn(
+            "prev_content_hash", F.when(F.col("_held").isNull(), F.col("prev_content_hash"))).drop("_held")
     ops = edits.withColumn("operation", F.lit(docstore.EDIT)).withColumn("content_hash", tx.content_hash(F.col("text")))
     return apply_index(nodes, ops, to_nodes)
 

@@ -465,11 +465,13 @@ def index_operations(spark, sf):
     FROM (SELECT *, CAST(len({_WORDS.format('t')}) AS BIGINT) AS n FROM r) y WHERE n > 0""", "docs"))
 def content_replacement(spark, sf):
     cols = ["node_id", "doc_id", "site_id", "content_hash", "chunk_no", "text"]
-    base = tb.documents(spark, sf).select(F.col("source").alias("site_id"), "content_hash", F.col("content").alias("text"), "lang").dropDuplicates(["site_id", "content_hash"])
+    docs = tb.documents(spark, sf).select(F.col("source").alias("site_id"), "content_hash", F.col("content").alias("text"), "lang").filter("text IS NOT NULL")
+    base = docs.dropDuplicates(["site_id", "content_hash"])
+    german = F.col("lang").eqNullSafe("de")  # copies of one text may differ in their language
     fresh = lambda d: chunks.document_nodes(d.select("site_id", "content_hash", "text"))
-    edits = base.filter("lang = 'de'").select(
+    edits = docs.filter(german).dropDuplicates(["site_id", "content_hash"]).select(
         "site_id", F.col("content_hash").alias("prev_content_hash"), F.concat("text", F.lit(" replaced")).alias("text"))
-    after = rt.replace_content(fresh(base).select(*cols), edits, fresh)
+    after = rt.replace_content(fresh(base).select(*cols), edits, fresh, docs.filter(~german))
     # neighbouring chunks share 256 words
     return after.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"),

@@ -126,6 +126,48 @@ def test_sparse_search_broadcast_and_salted_agree(spark, monkeypatch):
     assert len(first) == 10 and [r[1] for r in first if r[0] == 2 and r[3] == 1] == ["d5"]
 
 
+def test_blocks_of_nodes_and_queries_meet_in_many_tasks(vectors, spark):
+    data, nodes, queries = vectors
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {(r.query_id, r.node_id) for r in rt.range_search(nodes, queries, 0.5, pivots=3, node_block=20, query_block=2).collect()}
+        centres = rt.train_cells(nodes, 5)
+        every = rt.probed_search(rt.assign_cells(nodes, centres), queries, centres, 8, 5, node_block=20, query_block=2)
+        assert rt.recall(every, rt.dense_search(nodes, queries, 8)).filter("recall < 1").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    assert found == {(q, n) for q in range(6) for n in range(300) if round(float(unit[n] @ unit[q * 7]), 9) >= 0.5}
+
+
+def test_replaced_text_that_another_document_holds_stays(spark):
+    docs = spark.createDataFrame([("s", "h1", "one two"), ("s", "h2", "three")], "site_id string, content_hash string, text string")
+    edits = docs.select("site_id", F.col("content_hash").alias("prev_content_hash"), F.concat("text", F.lit(" more")).alias("text"))
+    left = lambda held: {r.text for r in rt.replace_content(
+        chunks.document_nodes(docs), edits, lambda d: chunks.document_nodes(d.select("site_id", "content_hash", "text")), held).collect()}
+    assert left(None) == {"one two more", "three more"}
+    assert left(docs.filter("content_hash = 'h1'")) == {"one two", "one two more", "three more"}
+
+
+def test_copies_in_two_languages_and_full_upper_case(spark, small_dir, tmp_path):
+    import duckdb
+
+    from pageloom.plans import catalog
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    rows = [(900000 + i, "straße ŉ one", lang, "src1") for i, lang in enumerate(("de", "en", None, "es", "de"))] + [
+        (900010, None, "de", "src2"), (900011, "", "de", "src2")]
+    more = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in docs.schema])
+    docs.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("d14_content_replacement", "x1_custom_strategy"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLES[name].strip()}) q").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want), name
+
+
 def test_more_terms_than_are_sent(spark, monkeypatch):
     # word0 to word6 are frequent, the 60 tails are not
     docs = spark.createDataFrame([(f"d{i}", f"the word{i % 7} word{i % 7} tail{i}") for i in range(60)], "node_id string, text string")
