@@ -15,7 +15,9 @@ from ..schemas import GLOSSARY_ENTRY
 HINT_HEAD = "\nHint for specific terms:\n"
 #: a glossary up to this size is sent to all tasks; characters of a block of messages beyond it
 SENT_BYTES = 16 << 20
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
+#: rows that a task holds before it hands them out
+OUT_ROWS = 20_000
 
 
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
@@ -60,6 +62,23 @@ class _Automaton:
         return sorted(i for term in met for i in self.rows[term])
 
 
+def _found(automaton: _Automaton, texts: pa.Array, whole_word: bool):
+    """(numbers of texts, numbers of terms) of what occurs, some ``OUT_ROWS`` at a time.
+
+    Texts are taken one by one, so neither they nor their terms are held as a whole.
+    """
+    message, row = [], []
+    for i, low in enumerate(texts):
+        hits = automaton.scan(low.as_py(), whole_word)
+        message += [i] * len(hits)
+        row += hits
+        if len(row) >= OUT_ROWS:
+            yield pa.array(message, pa.int64()), pa.array(row, pa.int64())
+            message, row = [], []
+    if row:
+        yield pa.array(message, pa.int64()), pa.array(row, pa.int64())
+
+
 def _in_word(text: str, at: int) -> bool:
     return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
 
@@ -85,16 +104,11 @@ def matches(
 
         def run(batches):
             table = sent.value
-            automaton = _Automaton(table.column("_low").to_pylist())
+            automaton, entries = _Automaton(table.column("_low").to_pylist()), table.select(columns)
             for batch in batches:
-                message, row = [], []
-                for i, low in enumerate(batch.column("_low_text").to_pylist()):
-                    hits = automaton.scan(low, whole_word)
-                    message += [i] * len(hits)
-                    row += hits
-                found = table.take(pa.array(row, pa.int64())).combine_chunks()
-                left = batch.take(pa.array(message, pa.int64()))
-                if message:
+                keys = batch.select(key)  # a text is not copied for each of its terms
+                for message, row in _found(automaton, batch.column("_low_text"), whole_word):
+                    left, found = keys.take(message), entries.take(row).combine_chunks()
                     yield pa.RecordBatch.from_arrays(
                         [left.column(k) for k in key] + [found.column(c).combine_chunks() for c in columns], names=[*key, *columns])
 
@@ -108,13 +122,11 @@ def matches(
 
     def cell(some: pa.Table, table: pa.Table) -> pa.Table:
         automaton = _Automaton(table.column("_low").to_pylist())
-        message, row = [], []
-        for i, low in enumerate(some.column("_low_text").to_pylist()):
-            hits = automaton.scan(low, whole_word)
-            message += [i] * len(hits)
-            row += hits
-        some, table = some.take(pa.array(message, pa.int64())), table.take(pa.array(row, pa.int64()))
-        return pa.table([some.column(k) for k in key] + [table.column(c) for c in columns], names=[*key, *columns])
+        keys, entries = some.select(key), table.select(columns)
+        parts = [(keys.take(message), entries.take(row)) for message, row in _found(automaton, some.column("_low_text"), whole_word)]
+        parts = parts or [(keys.slice(0, 0), entries.slice(0, 0))]
+        said, terms = (pa.concat_tables(side) for side in zip(*parts))
+        return pa.table([said.column(k) for k in key] + [terms.column(c) for c in columns], names=[*key, *columns])
 
     return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(cell, schema)
 
