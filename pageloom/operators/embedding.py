@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -56,21 +56,22 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding",
     Only the text column is sent to Python; a failing batch is tried again.
     """
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for texts in batches:
-            rows: list = []
+            parts = [pa.array([], pa.list_(pa.float32()))]
             for at in range(0, len(texts), batch):
-                part = texts.iloc[at : at + batch].tolist()
+                part = texts.slice(at, batch).to_pylist()  # of an Arrow batch only these become Python's
                 for attempt in range(attempts):
                     try:
-                        rows.extend(model(part))
+                        rows = [None if r is None else np.asarray(r, dtype="float32") for r in model(part)]
                         break
                     except Exception:
                         if attempt == attempts - 1:
                             raise
-            yield pd.Series(rows, dtype=object)
+                parts.append(pa.array(rows, pa.list_(pa.float32())))
+            yield pa.concat_arrays(parts)
 
     return df.withColumn(out, vectors(F.col(text)))
 
