@@ -20,10 +20,17 @@ def store_totals(docs: DataFrame, membership: DataFrame, approximate: bool = Fal
     return totals.withColumn("sites", sites.scalar())
 
 
-def index_stats(docs: DataFrame, by: str = "site_id", text: str = "content") -> DataFrame:
-    """Documents, white-space tokens and mean tokens per document of each site."""
-    n = tx.word_count(F.col(text)).cast("bigint")
-    return docs.groupBy(by).agg(
+def index_stats(docs: DataFrame, by: str = "site_id", text: str = "content", membership: DataFrame | None = None) -> DataFrame:
+    """Documents, white-space tokens and mean tokens per document of each site.
+
+    With ``membership`` (site_id, document_id) a text is counted once, however
+    many sites it is in, and only its number of tokens meets the sites.
+    """
+    counted = docs.withColumn("_n", tx.word_count(F.col(text)).cast("bigint"))
+    if membership is not None:
+        counted = counted.select("document_id", "_n").join(membership.select(by, "document_id"), "document_id")
+    n = F.col("_n")
+    return counted.groupBy(by).agg(
         F.count(F.lit(1)).alias("total_documents"),
         F.sum(n).alias("total_tokens"),
         (F.sum(n) / F.count(F.lit(1))).alias("average_length"),

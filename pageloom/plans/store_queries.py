@@ -683,8 +683,8 @@ def documents_per_type(spark, sf):
 def index_stats(spark, sf):
     from ..operators import reports
 
-    d = tb.documents(spark, sf).join(tb.membership(spark, sf).select("site_id", "document_id"), "document_id")
-    return reports.index_stats(d).withColumn("average_length", F.round("average_length", 6))
+    stats = reports.index_stats(tb.documents(spark, sf), membership=tb.membership(spark, sf))
+    return stats.withColumn("average_length", F.round("average_length", 6))
 
 
 @query("a9_sites_per_document", sql("""

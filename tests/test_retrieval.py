@@ -168,6 +168,27 @@ def test_copies_in_two_languages_and_full_upper_case(spark, small_dir, tmp_path)
         assert sorted(map(tuple, df.collect())) == sorted(want), name
 
 
+def test_found_terms_are_handed_out_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(glossary, "OUT_ROWS", 7)
+    automaton = glossary._Automaton(["a", "b", "ab", "c", "zz"])
+    texts = ["ab", "c", "", "abc", "zz"] * 6
+    pieces = [(m.to_pylist(), r.to_pylist()) for m, r in glossary._found(automaton, pa.array(texts), False)]
+    assert len(pieces) > 3 and max(len(m) for m, _ in pieces) < 7 + 4
+    got = [(i, t) for m, r in pieces for i, t in zip(m, r)]
+    assert sorted(got) == sorted((i, t) for i, x in enumerate(texts) for t, w in enumerate(["a", "b", "ab", "c", "zz"]) if w in x)
+
+
+def test_tokens_are_counted_before_documents_meet_their_sites(spark):
+    from pageloom.operators import reports
+
+    docs = spark.createDataFrame([(1, "one two"), (2, " "), (3, "three")], "document_id int, content string")
+    members = spark.createDataFrame([("a", 1), ("a", 3), ("b", 1), ("b", 2), ("c", 9)], "site_id string, document_id int")
+    stats = reports.index_stats(docs, membership=members)
+    assert sorted(map(tuple, stats.collect())) == [("a", 2, 3, 1.5), ("b", 2, 2, 1.0)]
+
+
 def test_more_terms_than_are_sent(spark, monkeypatch):
     # word0 to word6 are frequent, the 60 tails are not
     docs = spark.createDataFrame([(f"d{i}", f"the word{i % 7} word{i % 7} tail{i}") for i in range(60)], "node_id string, text string")
