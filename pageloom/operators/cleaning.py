@@ -134,7 +134,8 @@ def _functions(records: DataFrame, strategies, out: str) -> DataFrame:
 
 
 def clean_or_fail(
-    records: DataFrame, strategies=STRATEGIES, key: str = "url", out: str = "clean_content"
+    records: DataFrame, strategies=STRATEGIES, key: str = "url", out: str = "clean_content",
+    hold: Callable[[DataFrame, str], DataFrame] = materialize,
 ) -> tuple[DataFrame, DataFrame]:
     """(cleaned records, failed records with ``clean_error``): an error fails its record alone.
 
@@ -142,10 +143,11 @@ def clean_or_fail(
     whole job, so then the records are halved by a hash of ``key`` until those
     remain that fail by themselves: about ``2 log2(n)`` jobs for each, none
     while nothing fails. Records that do not differ in ``key`` fail together.
+    ``hold`` writes each part under a name of its own and reads it back.
     """
-    def attempt(rows: DataFrame, level: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    def attempt(rows: DataFrame, level: int, name: str) -> tuple[list[DataFrame], list[DataFrame]]:
         try:
-            done = materialize(_functions(clean(rows, strategies, out), strategies, out), "cleaned")
+            done = hold(_functions(clean(rows, strategies, out), strategies, out), name)
             return [done.filter("clean_error IS NULL").drop("clean_error")], [
                 done.filter("clean_error IS NOT NULL").select(*rows.columns, "clean_error")]
         except Exception as e:  # noqa: BLE001 - whatever a strategy raises
@@ -154,12 +156,12 @@ def clean_or_fail(
                 return [], [rows.withColumn("clean_error", F.lit(told))]
         parts: tuple[list, list] = [], []
         for half in (0, 1):
-            fine, bad = attempt(rows.filter(F.pmod(F.shiftright(F.xxhash64(key), level), F.lit(2)) == half), level + 1)
+            fine, bad = attempt(rows.filter(F.pmod(F.shiftright(F.xxhash64(key), level), F.lit(2)) == half), level + 1, f"{name}{half}")
             parts[0].extend(fine)
             parts[1].extend(bad)
         return parts
 
-    fine, bad = attempt(records, 0)
+    fine, bad = attempt(records, 0, "cleaned")
     if not fine:
         fine = [records.limit(0).withColumns({"strategy": F.lit(None).cast("string"), out: F.lit(None).cast("string")})]
     return reduce(DataFrame.unionByName, fine), reduce(DataFrame.unionByName, bad)

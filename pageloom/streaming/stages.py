@@ -110,6 +110,16 @@ class Site:
         """Documents by ``u:`` and URL, and by ``h:`` and content hash."""
         return self._log("lookup", LOOKUP, ("key", "document_id"), "key")
 
+    def hold(self, df: DataFrame, step: str) -> DataFrame:
+        """``df``, written over what the batch before held for ``step``, and read back.
+
+        A cached table would carry its whole plan into every plan above it, and
+        the plans of a batch, which the driver keeps, would double with each step.
+        """
+        path = self.at(f"held/{step}")
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def tables(self) -> list[LogTable]:
         return [self.documents, self.members, self.nodes, self.lookup]
 
@@ -133,11 +143,11 @@ def _keys(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("*", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
 
 
-def _by_keys(site: Site, rows: DataFrame, before: int, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, memberships, their persisted ids) that rows meet by URL or hash, in narrow columns."""
-    ids = site.lookup.find(_keys(rows, *columns).select("key"), before).select("document_id").distinct().persist()
+def _by_keys(site: Site, rows: DataFrame, before: int, step: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, memberships) that rows meet by URL or hash, in narrow columns."""
+    ids = site.hold(site.lookup.find(_keys(rows, *columns).select("key"), before).select("document_id").distinct(), f"{step}-ids")
     known = site.documents.find(ids, before, ["document_id", "url", "content_hash", "created_at", "version"])
-    return known, site.members.find(ids, before, ["site_id", "document_id", "created_at"]), ids
+    return known, site.members.find(ids, before, ["site_id", "document_id", "created_at"])
 
 
 def unheld(candidates: DataFrame, known: DataFrame, members: DataFrame) -> DataFrame:
@@ -162,8 +172,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
 
     def apply(records: DataFrame, batch_id: int) -> None:
         spark = records.sparkSession
-        records = records.persist()
-        held = [records]
+        records = records.withColumn("content_hash", ds.tx.content_hash(F.col("content"))).persist()
         try:
             routed = ds.precondition(records)
             write = lambda df, name: df.write.mode("overwrite").parquet(f"{site.at(name)}/batch={batch_id}")
@@ -171,19 +180,14 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             fine = routed.filter("route = 'process'")
             write(fine.filter(unsupported).select("url", "site_id", "mimetype", "ts"), "rejected")
             gone = routed.filter("route = 'pass' AND crawler_operation = 'delete' AND url IS NOT NULL")
-            last = ds.latest_per_url(
-                fine.filter(~unsupported).unionByName(gone).withColumn("content_hash", ds.tx.content_hash(F.col("content")))
-            ).persist()
-            held.append(last)
+            last = site.hold(ds.latest_per_url(fine.filter(~unsupported).unionByName(gone).drop("content")), "last")
             todo = last.filter("route = 'process'")
-            known, members, ids = _by_keys(site, last, batch_id, "url", "content_hash")
-            known, members = known.persist(), members.persist()  # narrow, and used several times
-            held += [known, members, ids]
-            lost = known.join(last.filter("route = 'pass'").select("url"), "url", "left_semi").persist()
-            lost_members = members.join(lost.select("document_id"), "document_id", "left_semi").persist()
-            held += [lost, lost_members]
-            kept = known.join(lost.select("document_id"), "document_id", "left_anti")
-            kept_members = members.join(lost.select("document_id"), "document_id", "left_anti")
+            known, members = _by_keys(site, last, batch_id, "met", "url", "content_hash")
+            deleted = last.filter("route = 'pass'").select("url", F.lit(True).alias("_lost"))
+            known = site.hold(known.join(deleted, "url", "left"), "known")
+            members = site.hold(members.join(known.filter("_lost").select("document_id", "_lost"), "document_id", "left"), "members")
+            lost, lost_members = (df.filter("_lost").drop("_lost") for df in (known, members))
+            kept, kept_members = (df.filter("_lost IS NULL").drop("_lost") for df in (known, members))
             changes = ds.settle_copies(
                 ds.classify(todo.select("url", "site_id", "content_hash", "ts"), kept.drop("version"), kept_members)
             )
@@ -197,12 +201,14 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             outcome = spark.read.schema(CHANGED).parquet(f"{site.at('changes')}/batch={batch_id}")
             touched = outcome.filter("operation IN ('new', 'new_site', 'edit')").select(
                 "url", "document_id", "operation", "prev_content_hash", "version"
-            )
-            full, failed = cleaning.clean_or_fail(todo.join(touched, "url"), strategies)
+            ).join(kept.select("document_id", F.col("created_at").alias("_created")), "document_id", "left")
+            # contents are moved once, to the records that need them; records of one URL and hash have one content
+            contents = records.filter("content IS NOT NULL").select("url", "content_hash", "content")
+            wanted = todo.join(touched, "url").join(contents, ["url", "content_hash"]).dropDuplicates(["url", "content_hash"])
+            full, failed = cleaning.clean_or_fail(wanted, strategies, hold=site.hold)
             # what could not be cleaned stays out of the store; its record can be sent again
             failed_urls = failed.select("url")
-            outcome = outcome.join(failed_urls, "url", "left_anti").persist()
-            held.append(outcome)
+            outcome = site.hold(outcome.join(failed_urls, "url", "left_anti"), "outcome")
             dead = routed.filter("route = 'error'").select(
                 "url", "site_id", "reason", "content", "ts", F.lit("store").alias("stage"), F.lit(0).alias("retry_count"))
             before = read_log(spark, site.at("dead"), DEAD, batch_id).filter("stage = 'clean'").join(
@@ -212,7 +218,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
                 F.coalesce("retry_count", F.lit(0)).alias("retry_count"))), "dead")
             wrote = full.filter("operation IN ('new', 'edit')")
             site.documents.write(
-                wrote.join(kept.select("document_id", F.col("created_at").alias("_created")), "document_id", "left").select(
+                wrote.select(
                     "document_id", "url", "content_hash", "title", "content", "clean_content", "mimetype", "version",
                     F.coalesce("_created", "ts").alias("created_at"), F.col("ts").alias("updated_at"),
                 ),
@@ -235,12 +241,10 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             left = kept_members.select("site_id", "document_id").unionByName(joined.select("site_id", "document_id")).join(
                 edited, "document_id").unionByName(lost_members.select("site_id", "document_id").join(
                     lost.select("document_id", "content_hash"), "document_id")).select("site_id", "content_hash").distinct()
-            left = left.persist()
-            held.append(left)
+            left = site.hold(left, "left")
             free = left.select(F.concat_ws(":", "site_id", "content_hash").alias("doc_id"))
             if not left.isEmpty():
-                others, other_members, other_ids = _by_keys(site, left, batch_id, "content_hash")
-                held.append(other_ids)
+                others, other_members = _by_keys(site, left, batch_id, "others", "content_hash")
                 now = wrote.select("document_id", "content_hash").unionByName(
                     others.join(wrote.select("document_id").unionByName(lost.select("document_id")), "document_id", "left_anti")
                     .select("document_id", "content_hash"))
@@ -256,8 +260,7 @@ def ingest_batch(site: Site, strategies=cleaning.STRATEGIES) -> Callable[[DataFr
             for table in site.tables():
                 table.merge(spark, batch_id)
         finally:
-            for df in held:
-                df.unpersist()
+            records.unpersist()
 
     return apply
 

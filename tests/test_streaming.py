@@ -65,6 +65,23 @@ def test_ingest_is_idempotent(spark):
     assert [d[0] for d in docs] == ["u1", "u2"] and ("s", "one b") in nodes
 
 
+def test_plans_of_a_batch_stay_short(spark):
+    """The driver keeps the plans of its jobs: a step may not carry those of all steps before it."""
+    site = st.Site(scratch_path(spark, "site"))
+    run = st.ingest_batch(site)
+    store = spark._jsparkSession.sharedState().statusStore()
+    run(records(spark, ("u1", "s", "one"), ("u2", "s", "two"), ("u3", "s", "three")), 0)
+    known = store.executionsCount()
+    changed, again = records(spark, ("u1", "s", "one b"), ("u2", "s", "two")), records(spark, ("u2", "s", "two"))
+    run(changed.unionByName(again).unionByName(records(spark, ("u3", "s", None)).withColumn("crawler_operation", F.lit("delete"))), 1)
+    plans = store.executionsList(int(known), 1000)
+    sizes = [len(re.findall(r"^\(\d+\) ", plans.apply(i).physicalPlanDescription(), re.M)) for i in range(plans.size())]
+    assert len(sizes) > 5 and max(sizes) < 150
+    assert state(spark, site) == ([("u1", 2, "one b"), ("u2", 1, "two")], [("s", "one b"), ("s", "two")])
+    held = {name: len(os.listdir(site.at(f"held/{name}"))) for name in os.listdir(site.at("held"))}
+    assert set(held) >= {"last", "known", "members", "cleaned"}  # one folder for each step, not for each batch
+
+
 def test_nodes_live_as_long_as_a_document_holds_their_text(spark):
     """u1 is edited to the text of u2 and goes: the node of u2 stays; so with two sites and with a further edit."""
     site = st.Site(scratch_path(spark, "site"), fan=2)
