@@ -171,6 +171,20 @@ def sparse_postings(
     return weigh(term_counts(df, key, text, keep), idf, key, keep), idf
 
 
+def query_postings(queries: DataFrame, idf: DataFrame, key: str, text: str = "text", limit: int = BROADCAST_TERMS) -> DataFrame:
+    """(key, term, weight) of query texts, weighed with the idf of the texts that are searched.
+
+    A batch of queries names few of all terms. Up to a checked number of rows
+    its terms go to the idf table and only theirs are taken from it, so neither
+    the frequent terms of all texts are sent to the tasks again nor the others
+    shuffled.
+    """
+    counts = materialize(term_counts(queries, key, text), "query-terms")
+    if counts.limit(limit + 1).count() <= limit:
+        idf = materialize(idf.join(F.broadcast(counts.select("term").distinct()), "term", "left_semi"), "query-idf")
+    return materialize(weigh(counts, idf, key), "query-postings")
+
+
 def term_id(term: Column) -> Column:
     """A stable integer for a term, as sparse vectors are keyed by integers."""
     return F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("int")

@@ -189,7 +189,7 @@ def _search_tables(spark, sf):
 def _postings(nodes, queries):
     """(node postings, query postings) as stored tables."""
     postings, idf = em.sparse_postings(nodes, "node_id", keep=["site_id"])
-    return postings, materialize(em.weigh(em.term_counts(queries, "query_id"), idf, "query_id"), "query-postings")
+    return postings, em.query_postings(queries, idf, "query_id")
 
 
 _WORDS = r"list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')"

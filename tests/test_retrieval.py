@@ -309,3 +309,18 @@ def test_glossary(spark, tmp_path):
     (tmp_path / "g.json").write_text("{broken")
     assert glossary.read_glossary(spark, str(tmp_path)).isEmpty()
     assert glossary.read_glossary(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_queries_take_only_their_terms_from_the_idf(spark, monkeypatch):
+    """The same weights as from the whole idf table, of which only rows of the queries' terms go on."""
+    docs = spark.createDataFrame([(f"n{i}", " ".join(f"w{j}" for j in range(i % 7 + 1)) + f" rare{i}") for i in range(40)], "node_id string, text string")
+    asked = spark.createDataFrame([(1, "w0 w0 w3 rare5"), (2, "w1 unknown"), (3, "unknown"), (4, None)], "query_id int, text string")
+    _, idf = em.sparse_postings(docs, "node_id")
+    whole = sorted((r.query_id, r.term, round(r.weight, 12)) for r in em.weigh(em.term_counts(asked, "query_id"), idf, "query_id").collect())
+    assert len(whole) == 4
+    met, join_idf = [], em.join_idf
+    monkeypatch.setattr(em, "join_idf", lambda counts, idf, *a: met.append(idf.count()) or join_idf(counts, idf, *a))
+    for limit, rows in ((100, 4), (5, idf.count())):
+        found = em.query_postings(asked, idf, "query_id", limit=limit)
+        assert sorted((r.query_id, r.term, round(r.weight, 12)) for r in found.collect()) == whole
+        assert met.pop() == rows
