@@ -18,6 +18,8 @@ from ..session import materialize
 
 DIMENSIONS = 64
 BROADCAST_TERMS = 100_000  # term rows of some 100 bytes each in the memory of the driver and of a task
+LONGEST_SENT = 128  # bytes of a term of all texts that is sent to all tasks
+SENT_BYTES = 16 << 20  # of rows of query terms that are sent to all tasks
 Embedder = Callable[[list[str]], np.ndarray]
 
 
@@ -105,7 +107,7 @@ def join_terms(rows: DataFrame, small: DataFrame, key: str, limit: int = BROADCA
     where they are. A larger one is copied per salt, so that the rows of one
     term are spread over many tasks.
     """
-    if small.limit(limit + 1).count() <= limit:
+    if _fits(small, limit):
         return rows.join(F.broadcast(small), "term")
     return (
         rows.withColumn("_salt", salt_of(key, salts))
@@ -113,14 +115,26 @@ def join_terms(rows: DataFrame, small: DataFrame, key: str, limit: int = BROADCA
     )
 
 
+def _fits(small: DataFrame, limit: int) -> bool:
+    """Whether a table of terms may go to all tasks, by its rows and by its bytes, as a term may be as long as a text."""
+    each = F.octet_length(F.to_json(F.struct(*small.columns))).cast("long")
+    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(each)).first()
+    return rows <= limit and (size or 0) <= SENT_BYTES
+
+
+def _is_short() -> Column:
+    return F.octet_length("term") <= LONGEST_SENT
+
+
 def _frequent_from(idf: DataFrame, limit: int) -> int:
-    """The power of two from which on at most ``limit`` terms are in that many texts; 0 if that is all terms."""
-    digits = F.length(F.bin("n")).alias("digits")
-    counts = dict(idf.groupBy(digits).agg(F.count(F.lit(1))).collect())  # a row for each number of digits, 63 at most
-    if sum(counts.values()) <= limit:
+    """The power of two from which on at most ``limit`` short terms are in that many texts; 0 if that is all terms."""
+    digits = F.when(_is_short(), F.length(F.bin("n"))).alias("digits")
+    counts = dict(idf.groupBy(digits).agg(F.count(F.lit(1))).collect())  # a row for each number of digits, 64 at most
+    if None not in counts and sum(counts.values()) <= limit:
         return 0
-    least, terms = max(counts) + 1, 0
-    while terms + counts.get(least - 1, 0) <= limit:
+    counts.pop(None, None)  # long terms
+    least, terms = max(counts, default=0) + 1, 0
+    while least > 1 and terms + counts.get(least - 1, 0) <= limit:
         least -= 1
         terms += counts.get(least, 0)
     return 1 << (least - 1)
@@ -132,13 +146,17 @@ def join_idf(counts: DataFrame, idf: DataFrame, key: str, limit: int = BROADCAST
     The most frequent terms, which are most rows, go to every task up to a
     checked number, so their rows stay where they are. Only rows of rarer
     terms are shuffled, to their term and back to their key; no such term is
-    in many texts, so it is no hot key, and neither side is ever copied.
+    in many texts, so it is no hot key, and neither side is ever copied. Terms
+    of more than ``LONGEST_SENT`` bytes are shuffled too, so the number bounds
+    the bytes that the driver sends; a frequent one is left to adaptive skew
+    handling.
     """
     least = _frequent_from(idf, limit)
     if not least:
         return counts.join(F.broadcast(idf.drop("n")), "term")
-    frequent = F.broadcast(idf.filter(F.col("n") >= least).drop("n"))
-    rare = idf.filter(F.col("n") < least).drop("n").hint("merge")
+    sent = (F.col("n") >= least) & _is_short()
+    frequent = F.broadcast(idf.filter(sent).drop("n"))
+    rare = idf.filter(~sent).drop("n").hint("merge")
     far = counts.join(frequent.select("term"), "term", "left_anti").join(rare, "term")
     return counts.join(frequent, "term").unionByName(_by_key(far, key))
 
@@ -180,7 +198,7 @@ def query_postings(queries: DataFrame, idf: DataFrame, key: str, text: str = "te
     shuffled.
     """
     counts = materialize(term_counts(queries, key, text), "query-terms")
-    if counts.limit(limit + 1).count() <= limit:
+    if _fits(counts, limit):
         idf = materialize(idf.join(F.broadcast(counts.select("term").distinct()), "term", "left_semi"), "query-idf")
     return materialize(weigh(counts, idf, key), "query-postings")
 

@@ -324,3 +324,25 @@ def test_queries_take_only_their_terms_from_the_idf(spark, monkeypatch):
         found = em.query_postings(asked, idf, "query_id", limit=limit)
         assert sorted((r.query_id, r.term, round(r.weight, 12)) for r in found.collect()) == whole
         assert met.pop() == rows
+
+
+def test_long_terms_are_not_sent(spark, monkeypatch):
+    """Few terms may be large: what goes to all tasks is bounded by bytes, and the weights stay the same."""
+    long = ["x" * 300, "y" * 100_000]
+    docs = spark.createDataFrame([(f"n{i}", f"the w{i % 3} {long[i % 2]} rare{i}") for i in range(30)], "node_id string, text string")
+    asked = spark.createDataFrame([(1, f"the {long[0]} rare5"), (2, f"w1 {long[1]}")], "query_id int, text string")
+
+    def run():
+        postings, idf = em.sparse_postings(docs, "node_id")
+        wanted = em.query_postings(asked, idf, "query_id")
+        weights = sorted((r.node_id, r.term, round(r.weight, 9)) for r in postings.collect())
+        return weights, sorted((r.query_id, r.node_id, r.score, r.rank) for r in rt.sparse_search(postings, wanted, 5).collect())
+
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df) or broadcast(df))
+    monkeypatch.setattr(em, "SENT_BYTES", 10_000, raising=False)
+    got = run()
+    assert sent and all(df.agg(F.sum(F.octet_length("term"))).first()[0] <= 10_000 for df in sent if "term" in df.columns)
+    monkeypatch.setattr(em, "SENT_BYTES", 1 << 30, raising=False)
+    monkeypatch.setattr(em, "LONGEST_SENT", 1 << 30, raising=False)
+    assert run() == got and len(got[0]) == 120
