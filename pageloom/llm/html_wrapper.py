@@ -31,8 +31,9 @@ import html
 import json
 import re
 import zlib
-from bisect import bisect_left
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +49,10 @@ SENT_BYTES, SENT_HOSTS = 32 << 20, 200_000
 SHARE, AGREED = 0.5, 3
 #: elements nested deeper are read as children of the element at this depth
 DEEPEST = 48
-#: pairs of children up to which both are compared in depth
+#: pairs of children up to which their grid is made at once; above it is made in arrays, with the same result
 IN_DEPTH = 40_000
+#: weights of pairs that a matching remembers; beyond it they are made again
+REMEMBERED = 1 << 20
 
 # fixed values: kinds of elements, roles, and words of class names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,9 +339,13 @@ class Matching:
         if not a.kids or not b.kids:
             return 1
         key = (id(a), id(b))
-        if key not in self.known:
-            self.known[key] = 1 + self._best(a.kids, b.kids, None)
-        return self.known[key]
+        weight = self.known.get(key)
+        if weight is None:
+            weight = 1 + self._best(a.kids, b.kids, None)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = weight
+        return weight
 
     def _best(self, one: list, two: list, pairs: list | None) -> int:
         """Weight of the best matching of two lists of children; ``pairs`` gets it."""
@@ -395,33 +402,44 @@ class Matching:
         return total + rows[-1][-1]
 
     def _wide(self, one: list, two: list, pairs: list | None) -> int:
-        """Very long lists: equal subtrees only, by a longest common subsequence of those that are there once."""
-        def once(nodes):
-            seen: dict[tuple, int] = {}
-            for k, node in enumerate(nodes):
-                key = (node.label, node.code)
-                seen[key] = -1 if key in seen else k
-            return {key: k for key, k in seen.items() if k >= 0}
-
-        first, second = once(one), once(two)
-        met = sorted((k, second[key]) for key, k in first.items() if key in second)
-        tails: list[int] = []
-        link, ends = [], []
-        for i, (_, j) in enumerate(met):
-            at = bisect_left(tails, j)
-            link.append(ends[at - 1] if at else -1)
-            if at == len(tails):
-                tails.append(j)
-                ends.append(i)
-            else:
-                tails[at], ends[at] = j, i
-        total, i = 0, ends[-1] if ends else -1
-        while i >= 0:
-            a, b = one[met[i][0]], two[met[i][1]]
-            total += a.size
-            if pairs is not None:
-                pairs.append((a, b))
-            i = link[i]
+        """As the grid of ``_best``, row by row in arrays, for lists of any length.
+
+        Every ``step``-th row is kept, and the rows between are made again on
+        the way back, so memory grows with the length times its root.
+        """
+        weights = _Weights(self, one, two)
+        m, n = len(one), len(two)
+        step = isqrt(m) + 1
+        row, kept = np.zeros(n + 1, np.int32), []
+
+        def following(above, i):
+            below = np.zeros(len(above), np.int32)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights.row(i)[: len(above) - 1]), out=below[1:])
+            return below
+
+        for i in range(m):
+            if pairs is not None and i % step == 0:
+                kept.append(row)
+            row = following(row, i)
+        total = int(row[-1])
+        if pairs is not None:
+            j, stop = n, m
+            while kept and j:
+                rows = [kept.pop()[: j + 1]]
+                start = len(kept) * step
+                for i in range(start, stop):
+                    rows.append(following(rows[-1], i))
+                i = stop
+                while i > start and j:
+                    here, above = rows[i - start], rows[i - start - 1]
+                    if here[j] == above[j]:
+                        i -= 1
+                    elif here[j] == here[j - 1]:
+                        j -= 1
+                    else:
+                        i, j = i - 1, j - 1
+                        pairs.append((one[i], two[j]))
+                stop = start
         return total
 
     def equal_leaves(self, a: Node, b: Node, out: list) -> None:
@@ -437,6 +455,85 @@ class Matching:
                 waiting.extend(p for p in pairs if p[0].label == p[1].label)
 
 
+class _Weights:
+    """Weights of all pairs of two long lists of children, a row at a time.
+
+    Texts of one list only equal nothing, so nodes that differ in such texts
+    alone weigh the same, and of two nodes without a common text only the
+    elements count. So few pairs of nodes are matched, one for each kind.
+    """
+
+    def __init__(self, matching: Matching, one: list, two: list) -> None:
+        self.matching, self.one, self.two = matching, one, two
+        self.shared = {c for a in one for c in _codes(a)} & {c for b in two for c in _codes(b)}
+        self.numbers: dict[tuple, int] = {}
+        self.first = [self._told(a) for a in one]
+        told = [self._told(b) for b in two]
+        # of the second list: places of each form; forms of each frame, and with each shared text
+        self.places: dict[int, list] = {}
+        self.frames: dict[int, dict] = {}
+        self.holding: dict[int, dict] = {}
+        for j, (frame, form, codes) in enumerate(told):
+            if form not in self.places:
+                self.frames.setdefault(frame, {})[form] = j
+                for code in codes:
+                    self.holding.setdefault(code, {})[form] = j
+            self.places.setdefault(form, []).append(j)
+        numbers = {frame: k for k, frame in enumerate(self.frames)}
+        self.frame_of = np.array([numbers[frame] for frame, _, _ in told], np.int64)
+        # by frame the weights where no text is shared; by form the places and weights of the others
+        self.apart: dict[int, np.ndarray] = {}
+        self.met: dict[int, tuple] = {}
+        self.held = 0
+
+    def _told(self, node: Node) -> tuple[int, int, frozenset]:
+        """Numbers of a node without its texts and with its shared texts, and the codes of these."""
+        number = lambda *key: self.numbers.setdefault(key, len(self.numbers))
+        if node.leaf >= 0:
+            own = node.code if node.code in self.shared else None
+            return number("#"), number("#", own), frozenset(() if own is None else (own,))
+        kids = [self._told(k) for k in node.kids]
+        label = node.label
+        return (number(0, label, *(k[0] for k in kids)), number(1, label, *(k[1] for k in kids)), frozenset().union(*(k[2] for k in kids)))
+
+    def row(self, i: int) -> np.ndarray:
+        frame, form, codes = self.first[i]
+        if form not in self.met:
+            if self.held > REMEMBERED:
+                self.met.clear()
+                self.apart.clear()
+                self.held = 0
+            self._weigh(self.one[i], frame, form, codes)
+        out = self.apart[frame][self.frame_of]
+        at, own = self.met[form]
+        out[at] = own
+        return out
+
+    def _weigh(self, a: Node, frame: int, form: int, codes: frozenset) -> None:
+        weight, two = self.matching.weight, self.two
+        met = {other: j for code in codes for other, j in self.holding.get(code, {}).items()}
+        if frame not in self.apart:
+            self.apart[frame] = np.full(len(self.frames), -1, np.int32)
+            self.held += len(self.frames)
+        apart = self.apart[frame]
+        if (apart < 0).any():
+            for k, forms in enumerate(self.frames.values()):
+                if apart[k] < 0:
+                    j = next((j for other, j in forms.items() if other not in met), None)
+                    if j is not None:
+                        apart[k] = weight(a, two[j])
+        at, own = [], []
+        for other, j in met.items():
+            at += self.places[other]
+            own += [weight(a, two[j])] * len(self.places[other])
+        self.met[form] = np.array(at, np.int64), np.array(own, np.int32)
+        self.held += len(at) + 1
+
+
+def _codes(node: Node) -> list[int]:
+    return [node.code] if node.leaf >= 0 else [c for k in node.kids for c in _codes(k)]
+
+
 def _leaves(node: Node) -> list[int]:
     if node.leaf >= 0:
         return [node.leaf]
@@ -612,9 +709,9 @@ def main_texts(pages: DataFrame, count: int = REFERENCES) -> DataFrame:
     page has no blocks. Pages without a host, and hosts of one page, have no
     references: for them tags, roles, class names and the share of links
     decide. Repeated rows are read alike, references are chosen by hashes, and
-    no rows give no rows. Whole pages are read, however long; lists of very many
-    children are matched by their equal parts only, nesting beyond ``DEEPEST``
-    levels is read flat.
+    no rows give no rows. Whole pages are read, however long, and lists of
+    children are matched alike at any length, in time that grows with the
+    product of two lists; nesting beyond ``DEEPEST`` levels is read flat.
     """
     spark = pages.sparkSession
     rows = _with_host(pages)

@@ -110,6 +110,34 @@ def test_matching_is_the_best_one(seed):
         assert len(found) == len(m._leaves(a))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 10**9), st.integers(2, 40))
+def test_long_lists_are_matched_as_short_ones(seed, n):
+    """The results do not depend on the length from which on lists are matched in arrays."""
+    r = random.Random(seed)
+    a, b = m.Node("r"), m.Node("r")
+    a.kids, b.kids = ([tree(r, r.randint(0, 2)) for _ in range(r.randint(1, n))] for _ in range(2))
+    for kid in r.sample(a.kids, len(a.kids) // 3):
+        b.kids.insert(r.randint(0, len(b.kids)), copy(kid))
+    a, b = numbered(a), numbered(b)
+    got = []
+    for limit in (10**9, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(m, "IN_DEPTH", limit)
+            patch.setattr(m, "REMEMBERED", r.choice((3, 1 << 20)), raising=False)
+            pairs, found = [], []
+            weight, total = m.Matching().weight(a, b), m.Matching()._best(a.kids, b.kids, pairs)
+            m.Matching().equal_leaves(a, b, found)
+            got.append((weight, total, [(id(x), id(y)) for x, y in pairs], found, m.Matching()._best(a.kids, b.kids, None)))
+    assert got[0] == got[1]
+
+
+def test_a_long_list_of_different_children_is_matched_in_depth():
+    """3,000 children on both sides, whose names differ and whose line below does not."""
+    page, other = (m.read_page("".join(f"<div><p>{who} {i}</p><p>a line that all have</p></div>" for i in range(3000))) for who in ("one", "two"))
+    assert len(m.votes(page, other.root)) == 3000
+
+
 def site(r, n, host="news.example.org"):
     """Pages without any telling names: menu, teaser list, article, box, footer in plain divs."""
     rows, want = [], {}
