@@ -9,6 +9,10 @@ from ..functions import html as h
 from ..functions import text as tx
 from ..functions import urls as u
 from ..session import materialize
+from . import digests
+
+#: bytes of the largest file that one task reads as a whole for its hash
+WHOLE_FILE = 64 << 20
 
 
 def page_records(pages: DataFrame, fetched_at: Column, with_metadata: bool = True) -> DataFrame:
@@ -99,13 +103,37 @@ def unseen(records: DataFrame, known_hashes: DataFrame) -> DataFrame:
     return fresh.join(first.select("record_id"), "record_id", "left_semi")
 
 
-def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def binary_files(spark: SparkSession, path: str | list[str], glob: str = "*") -> DataFrame:
     """Office and PDF files as rows of bytes with MIME type and route."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return _routed(raw.select("path", "length", "content"))
+
+
+def _routed(files: DataFrame) -> DataFrame:
     mime = u.mime_of_file(F.col("path"))
-    return raw.select(
-        "path", "length", "content", mime.alias("mimetype"), u.mime_class(mime).alias("kind")
-    )
+    return files.select("*", mime.alias("mimetype"), u.mime_class(mime).alias("kind"))
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE_FILE) -> DataFrame:
+    """Files with MIME type, route and SHA-256; those above ``whole`` bytes are read block by block.
+
+    The driver holds paths and hashes of those large files, no bytes. Large
+    files with the ending of a compression codec are read whole.
+    """
+    def hashed(df):
+        return df.select("path", "length", F.sha2("content", 256).alias("content_hash"))
+
+    files = binary_files(spark, path, glob)
+    large = [tuple(r) for r in files.filter(F.col("length") > whole).select("path", "length").collect()]
+    split = [f for f in large if digests.can_split(spark, f[0])]
+    rest = [digests.literal(p) for p, _ in set(large) - set(split)]
+    out = hashed(files.filter(F.col("length") <= whole))
+    if rest:
+        out = out.unionByName(hashed(binary_files(spark, rest)))
+    if split:
+        out = out.unionByName(
+            spark.createDataFrame(digests.block_hashes(spark, split), "path string, length long, content_hash string"))
+    return _routed(out)
 
 
 def robots_sitemaps(robots: DataFrame) -> DataFrame:
